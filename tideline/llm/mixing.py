@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     before = one.rowsBetween(W.unboundedPreceding, -1)
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     table = F.array(*[F.lit(float(w)) for w in weights])
-    everything = W.partitionBy()
+    everything = W.partitionBy()  # one row per source
     return (
         per.withColumn("weight", table[F.pmod(F.row_number().over(turn) - 1, F.lit(len(weights))).cast("int")])
         .withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -39,16 +39,15 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
         .withColumn("total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("level", level)
-        .withColumn("open", F.min(F.when(F.col("knee") >= F.col("level"), F.col("level"))).over(one))
-        .withColumn("final", F.min("open").over(everything))
-        .select("source", "rows", "source_size", F.when(F.col("open").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
+        .withColumn("final", F.first(F.when(F.col("knee") >= F.col("level"), F.col("level")), ignorenulls=True).over(one.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        .select("source", "rows", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), "cap")).alias("target"))
     )
 
 
 def _pivot(seed: int, last: bool):
     """Rounds one node of the tree: pairs fractions until one is left, which goes up (or is drawn at the root)."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size", "row"], kind="stable").reset_index(drop=True)
         name = "\0null" if key[0] is None or key[0] != key[0] else f"s{key[0]}"
         rng = np.random.Generator(np.random.PCG64([seed, int(key[1]), *name.encode()]))
