@@ -16,7 +16,7 @@ MOST = 3
 #: Rows of one leaf of the reduction tree, and children of an inner node.
 LEAF, FAN = 1024, 64
 
-_ROUNDED = "source string, bucket long, doc_id long, row long, size long, base long, p double, up boolean"
+_ROUNDED = "source string, bucket long, doc_id long, size long, base long, p double, up boolean"
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -44,40 +44,60 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     )
 
 
-def _pivot(seed: int, last: bool):
-    """Rounds one node of the tree: pairs fractions until one is left, which goes up (or is drawn at the root)."""
+def _trade(p_i: float, s_i: float, gain: float, loss: float, luck: float) -> float:
+    """Words that i takes (or gives, if negative) from a partner that can give ``gain`` and take ``loss``."""
+    a, b = min((1.0 - p_i) * s_i, gain), min(p_i * s_i, loss)
+    return a if luck * (a + b) < b else -b
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size", "row"], kind="stable").reset_index(drop=True)
-        name = "\0null" if key[0] is None or key[0] != key[0] else f"s{key[0]}"
-        rng = np.random.Generator(np.random.PCG64([seed, int(key[1]), *name.encode()]))
-        p, size = rows["p"].to_numpy(float).copy(), rows["size"].to_numpy(float)
-        luck = rng.random(len(p) + 1)
+
+def _snap(x: float) -> float:
+    return 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
+
+
+def round_fractions(p: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.ndarray:
+    """Pivotal rounding that leaves at most one fraction, and keeps sum(p * size) and every expectation.
+
+    ``size`` falls. Fractions are paired one after the other, in tiers of half of what is left. The one
+    that a tier leaves over trades with all the smaller rows together, which makes it integral and shifts
+    theirs a little; so what is left in the end belongs to the smallest row where that is possible.
+    """
+    p = p.copy()
+    live = np.flatnonzero((p > 0) & (p < 1))
+    while len(live) > 1:
+        tier, rest = live[: (len(live) + 1) // 2], live[(len(live) + 1) // 2 :]
         held = -1
-        for j in range(len(p)):
-            if not 0.0 < p[j] < 1.0:
-                continue
+        for j in tier.tolist():
             if held < 0:
                 held = j
                 continue
-            i = held
-            a = min((1.0 - p[i]) * size[i], p[j] * size[j])  # words that can go from j to i
-            b = min((1.0 - p[j]) * size[j], p[i] * size[i])
-            to_i = luck[j] * (a + b) < b
-            words = a if to_i else -b
-            p[i] += words / size[i]
-            p[j] -= words / size[j]
-            for k in (i, j):
-                if p[k] < 1e-9:
-                    p[k] = 0.0
-                elif p[k] > 1 - 1e-9:
-                    p[k] = 1.0
-            held = j if 0.0 < p[j] < 1.0 else i if 0.0 < p[i] < 1.0 else -1
-        if held >= 0 and last:
-            p[held] = float(luck[-1] < p[held])
-        rows["p"] = p
-        rows["up"] = (p > 0.0) & (p < 1.0)
-        return rows[["source", "bucket", "doc_id", "row", "size", "base", "p", "up"]]
+            words = _trade(p[held], size[held], p[j] * size[j], (1.0 - p[j]) * size[j], luck[j])
+            p[held], p[j] = _snap(p[held] + words / size[held]), _snap(p[j] - words / size[j])
+            held = j if 0.0 < p[j] < 1.0 else held if 0.0 < p[held] < 1.0 else -1
+        if held >= 0:
+            have, room = float(p[rest] @ size[rest]), float((1.0 - p[rest]) @ size[rest])
+            words = _trade(p[held], size[held], have, room, luck[held])
+            p[held] = _snap(p[held] + words / size[held])
+            p[rest] = p[rest] * (1.0 - words / have) if words > 0 else 1.0 - (1.0 - p[rest]) * (1.0 + words / room)
+            p[rest] = np.where(p[rest] < 1e-9, 0.0, np.where(p[rest] > 1 - 1e-9, 1.0, p[rest]))
+        live = np.array([k for k in ([held] if held >= 0 else []) + rest.tolist() if 0.0 < p[k] < 1.0], np.int64)
+        if held >= 0 and 0.0 < p[held] < 1.0:
+            break  # the smaller rows had too few words: all of them are integral
+    return p
+
+
+def _pivot(seed: int, last: bool):
+    """Rounds one node of the tree; the fraction that is left goes up, or is drawn at the root."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        name = "\0null" if key[0] is None or key[0] != key[0] else f"s{key[0]}"
+        luck = np.random.Generator(np.random.PCG64([seed, int(key[1]), *name.encode()])).random(len(rows) + 1)
+        p = round_fractions(rows["p"].to_numpy(float), rows["size"].to_numpy(float), luck)
+        up = (p > 0.0) & (p < 1.0)
+        if last:
+            p, up = np.where(up, luck[-1] < p, p).astype(float), np.zeros(len(p), bool)
+        rows["p"], rows["up"] = p, up
+        return rows[["source", "bucket", "doc_id", "size", "base", "p", "up"]]
 
     return run
 
@@ -88,9 +108,10 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, s
     Every row of a source asks for target / source_size copies. The whole part is taken as it is; the
     fractions are rounded by pivotal sampling: two fractional rows trade words, in the direction that
     chance picks without bias, until one of them is 0 or 1. Leaves are hash buckets of a source with
-    about LEAF rows, so a hot source has many; a leaf leaves one fractional row at most, and a tree of
-    fan-in FAN combines those. A source's taken words miss its target by less than its largest document.
-    Seeds come from the source and the node, rows are ordered by doc_id: reruns agree.
+    about LEAF rows, so a hot source has many; a leaf leaves one fractional row at most, its smallest
+    where possible, and a tree of fan-in FAN combines those. A source's taken words miss its target by
+    the share of one document, mostly a small one. Seeds come from the source and the node, rows are
+    ordered by size and doc_id: reruns agree.
 
     Returns doc_id, size, source_size, target, taken, copies, source. Null text: size 0; rows of size 0
     get the whole part only. Null source: a source of its own, ordered last. Repeated rows count apart.
@@ -109,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, s
         .withColumn("base", F.floor(F.col("ratio") + 1e-12))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - F.col("base"))).otherwise(F.lit(0.0)))
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), leaves))
-        .select("source", "bucket", "doc_id", F.xxhash64("size").alias("row"), "size", "base", "p", F.lit(True).alias("up"))
+        .select("source", "bucket", "doc_id", "size", "base", "p", F.lit(True).alias("up"))
     )
     top = targets.agg(F.max(F.ceil(F.col("rows") / LEAF))).first()[0] or 1
     done, level, width = [], asked, int(top)
