@@ -60,6 +60,8 @@ def round_fractions(p: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.nda
     ``size`` falls. Fractions are paired one after the other, in tiers of half of what is left. The one
     that a tier leaves over trades with all the smaller rows together, which makes it integral and shifts
     theirs a little; so what is left in the end belongs to the smallest row where that is possible.
+    A row too large for the smaller ones in one direction goes the other way (the only step that chance
+    doesn't decide: the sum comes before the expectation of such a row).
     """
     p = p.copy()
     live = np.flatnonzero((p > 0) & (p < 1))
@@ -76,6 +78,9 @@ def round_fractions(p: np.ndarray, size: np.ndarray, luck: np.ndarray) -> np.nda
         if held >= 0:
             have, room = float(p[rest] @ size[rest]), float((1.0 - p[rest]) @ size[rest])
             words = _trade(p[held], size[held], have, room, luck[held])
+            up, down = (1.0 - p[held]) * size[held], p[held] * size[held]
+            if (have >= up) != (room >= down):  # one way only leaves nothing over
+                words = up if have >= up else -down
             p[held] = _snap(p[held] + words / size[held])
             p[rest] = p[rest] * (1.0 - words / have) if words > 0 else 1.0 - (1.0 - p[rest]) * (1.0 + words / room)
             p[rest] = np.where(p[rest] < 1e-9, 0.0, np.where(p[rest] > 1 - 1e-9, 1.0, p[rest]))
