@@ -25,6 +25,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.quality import judge_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge_quality(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.mixing import mix_sources
 
@@ -34,6 +47,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op4_urls": op4_urls,
+    "op5_quality": op5_quality,
     "op9_mixing": op9_mixing,
 }
 
