@@ -53,6 +53,7 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARKS = np.array([b < 128 and not (65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -82,10 +83,11 @@ class Words:
 
     ``hash``: one per word; ``doc``: the row of each word; ``start``/``end``: byte positions in ``data``
     (A-Z lower-cased); ``first``: index of the first word of each row, with the total at the end.
-    Only white space 0x20 and 0x09-0x0D separates words; rows never share a word. Null is no word.
+    Only white space 0x20 and 0x09-0x0D separates words, or with ``letters`` every ASCII character that
+    is no letter; rows never share a word. Null is no word.
     """
 
-    def __init__(self, texts) -> None:
+    def __init__(self, texts, letters: bool = False) -> None:
         import pyarrow as pa
 
         if isinstance(texts, pa.ChunkedArray):
@@ -97,7 +99,7 @@ class Words:
         raw = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and n else np.zeros(0, np.uint8)
         bound = offsets - offsets[0]
         self.n_rows, self.data = n, _LOWER[raw]
-        solid = ~_SPACE[self.data]
+        solid = ~(_MARKS if letters else _SPACE)[self.data]
         # a word starts at a solid byte after a space or at a row's first byte
         prev = np.empty_like(solid)
         prev[:1], prev[1:] = False, solid[:-1]
@@ -119,3 +121,23 @@ class Words:
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
+
+
+def slices(batch, column: str, most: int = 4_000_000):
+    """Cuts an Arrow batch so that a slice has about ``most`` bytes of text, or a single row."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def crc_mod(column: str, n: int):
+    """crc32 of the column as text, modulo n: the folds of the contracts."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
