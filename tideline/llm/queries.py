@@ -50,6 +50,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tideline.llm.langid import label_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return label_language(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "n_switches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
