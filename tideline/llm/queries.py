@@ -38,6 +38,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.neighbours import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.toxicity import judge_toxicity
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
+    "op6_embeddings": op6_embeddings,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
