@@ -25,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.urls import judge_urls
 
@@ -68,6 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
