@@ -56,6 +56,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.mixing import mix_sources
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
     "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
 }
