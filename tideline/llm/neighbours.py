@@ -12,11 +12,11 @@ from tideline.llm.graphs import components
 
 COSINE = 0.95
 #: Vectors of a shard and of a block of queries; least number of shards.
-SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 32_768, 16_384, 4
+SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 32_768, 65_536, 6
 #: Links of a node on the ground layer (half above), beams of building and of the first search.
 DEGREE, BUILD_BEAM, BEAM = 24, 40, 32
-#: Queries of an audit, and the share of their true links and ten nearest that the beam must find.
-AUDIT, RECALL = 48, 0.97
+#: Vectors of an audit, and the share of their links and of planted neighbours that the beam must find.
+AUDIT, RECALL = 64, 0.98
 _LOCKSTEP = 256
 
 
@@ -78,6 +78,8 @@ class SmallWorld:
     def _link_back(self, links: np.ndarray, batch: np.ndarray, chosen: np.ndarray) -> None:
         a, b = chosen.ravel(), np.repeat(batch, chosen.shape[1])
         a, b = a[chosen.ravel() >= 0], b[chosen.ravel() >= 0]
+        if not len(a):
+            return
         order = np.lexsort((-np.einsum("nd,nd->n", self.x[a], self.x[b]), a))
         a, b = a[order], b[order]
         head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
@@ -135,21 +137,28 @@ class SmallWorld:
 
 
 def audited_beam(index: SmallWorld, q: np.ndarray, least: float) -> int:
-    """Doubles the beam until, over sampled queries, links and nearest ten are found to RECALL."""
-    probe = q[np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)]
-    truth = probe @ index.x.T
-    ten = np.argsort(-truth, axis=1)[:, :10]
+    """Doubles the beam until audits find RECALL of the links that brute force finds.
+
+    An audit asks for sampled queries, and for sampled vectors of the shard moved to a cosine just over
+    ``least``, so that there are links to be found in any shard.
+    """
+    rng = np.random.Generator(np.random.PCG64(3))
+    seeds = index.x[np.linspace(0, len(index.x) - 1, min(AUDIT, len(index.x))).astype(int)]
+    noise = rng.standard_normal(seeds.shape).astype(np.float32)
+    noise -= np.einsum("nd,nd->n", noise, seeds)[:, None] * seeds
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-9)
+    near = min(1.0, least + 0.005)
+    planted = near * seeds + np.sqrt(1 - near * near) * noise
+    probe = np.concatenate([q[np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)], planted.astype(np.float32)])
+    truth = probe @ index.x.T >= least
     width = BEAM
     while width < len(index.x):
         ids, _ = index.search(probe, width)
         hit = total = 0
         for k in range(len(probe)):
-            must = set(ten[k].tolist())
-            found = set(ids[k].tolist())
-            hit, total = hit + len(must & found), total + len(must)
-            close = np.flatnonzero(truth[k] >= least)
+            close = np.flatnonzero(truth[k])
             if len(close) < width:  # more than the beam holds is widened query by query
-                hit, total = hit + sum(x in found for x in close.tolist()), total + len(close)
+                hit, total = hit + int(np.isin(close, ids[k]).sum()), total + len(close)
         if hit >= RECALL * total:
             break
         width *= 2
