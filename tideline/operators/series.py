@@ -126,13 +126,26 @@ def drawdown(returns: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def trailing_moments(returns: DataFrame, n: int = 252) -> DataFrame:
-    """skew and excess kurtosis (bias-corrected) of the n rows before each row, 0 with three or fewer; their count."""
+    """skew and excess kurtosis (bias-corrected) of the n rows before each row, 0 with three or fewer; their count.
+
+    Power sums run once over each ticker; a window's are the difference of two, so a row costs the same for any n.
+    """
     from tideline.operators.moments import corrected_kurtosis, corrected_skew
 
-    w = BY.rowsBetween(-n, -1)
-    c = F.count("ret").over(w)
-    g1, g2 = F.skewness("ret").over(w), F.kurtosis("ret").over(w)
-    return returns.withColumn("n_before", c).withColumn("skew", F.when(c > 3, corrected_skew(g1, c)).otherwise(0.0)).withColumn("kurt", F.when(c > 3, corrected_kurtosis(g2, c)).otherwise(0.0))
+    out, run = returns, BY.rowsBetween(W.unboundedPreceding, -1)
+    center = F.avg("ret").over(ALL)
+    out = out.withColumn("_x", F.col("ret") - center).withColumn("_k", F.row_number().over(BY) - 1)
+    for p in range(1, 5):
+        out = out.withColumn(f"_s{p}", F.coalesce(F.sum(F.pow("_x", p)).over(run), F.lit(0.0)))
+    for p in range(1, 5):
+        out = out.withColumn(f"_d{p}", F.col(f"_s{p}") - F.coalesce(F.lag(f"_s{p}", n).over(BY), F.lit(0.0)))
+    c = F.least("_k", F.lit(n))
+    m1, m2, m3, m4 = (F.try_divide(F.col(f"_d{p}"), c) for p in range(1, 5))
+    var = m2 - m1 * m1
+    third, fourth = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1, m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
+    g1, g2 = F.try_divide(third, F.pow(var, 1.5)), F.try_divide(fourth, var * var) - 3
+    out = out.withColumn("n_before", c.cast("long")).withColumn("skew", F.when(c > 3, corrected_skew(g1, c)).otherwise(0.0)).withColumn("kurt", F.when(c > 3, corrected_kurtosis(g2, c)).otherwise(0.0))
+    return out.drop("_x", "_k", *[f"_{x}{p}" for x in "sd" for p in range(1, 5)])
 
 
 def window_ids(df: DataFrame, train: int, step: int, span: int) -> DataFrame:

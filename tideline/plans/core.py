@@ -202,7 +202,7 @@ def runs(spark, d):
     return fx.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), status.alias("status"), "value")
 
 
-@query("sink_run_lifecycle", f"select run_id, min("at") started, arg_max(status, "at") status, max("at") changed from ({_RUNS}) group by 1", i="run_id")
+@query("sink_run_lifecycle", f"select run_id, min(\"at\") started, arg_max(status, \"at\") status, max(\"at\") changed from ({_RUNS}) group by 1", i="run_id")
 def _(spark, d):
     return M.latest_runs(runs(spark, d))
 
@@ -500,7 +500,7 @@ def _(spark, d):
     return c.filter(S.matches(" 00 ", "name")).orderBy("id").limit(20)
 
 
-@query("top_runs", f"select run_id, "at", status from ({_RUNS}) order by "at" desc limit 50", i="run_id")
+@query("top_runs", f"select run_id, \"at\", status from ({_RUNS}) order by \"at\" desc limit 50", i="run_id")
 def _(spark, d):
     return runs(spark, d).orderBy(F.desc("at")).limit(50).select("run_id", "at", "status")
 
