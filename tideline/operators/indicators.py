@@ -13,7 +13,7 @@ def bundle(bars: DataFrame, least: int = 30) -> DataFrame:
     out = X.moving_averages(bars)
     for more, names in ((X.macd(bars), ["macd", "macd_signal"]), (X.rsi(bars), ["rsi14"]), (X.bollinger(bars), ["bb_mid", "bb_upper", "bb_lower"])):
         out = out.join(more.select("ticker", "dt", *names), ["ticker", "dt"])
-    return X.tail(out.withColumn("_c", F.count("*").over(X.ALL)).filter(F.col("_c") >= least).drop("_c"), 1)
+    return X.tail(out.withColumn("_c", F.count("*").over(X.whole())).filter(F.col("_c") >= least).drop("_c"), 1)
 
 
 def scored(last: DataFrame) -> DataFrame:

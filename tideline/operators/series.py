@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("ticker").orderBy("dt")
-LATEST = W.partitionBy("ticker").orderBy(F.col("dt").desc())
-ALL = W.partitionBy("ticker")
+
+def by():
+    """Rows of a ticker by date."""
+    return W.partitionBy("ticker").orderBy("dt")
+
+
+def latest():
+    return W.partitionBy("ticker").orderBy(F.col("dt").desc())
+
+
+def whole():
+    return W.partitionBy("ticker")
 
 
 def rows(low: int, high: int = 0):
-    return BY.rowsBetween(low, high)
+    return by().rowsBetween(low, high)
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     """close / previous close - 1, without the first row of a ticker."""
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(by())
     return prices.filter("close is not null").withColumn("ret", F.try_divide("close", before) - 1).filter("ret is not null")
 
 
 def tail(df: DataFrame, n: int) -> DataFrame:
     """The last n rows of each ticker."""
-    return df.withColumn("_rn", F.row_number().over(LATEST)).filter(F.col("_rn") <= n).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(latest())).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def numbered(df: DataFrame, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(BY))
+    return df.withColumn(name, F.row_number().over(by()))
 
 
 def full(value: Column, n: int) -> Column:
     """``value`` where the ticker has n rows so far."""
-    return F.when(F.row_number().over(BY) >= n, value)
+    return F.when(F.row_number().over(by()) >= n, value)
 
 
 def moving_averages(bars: DataFrame, windows: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
@@ -53,7 +62,7 @@ def smoothed(df: DataFrame, value: str, alpha: float, name: str, least: int) ->
     of a ticker, of which there are few. Nothing overflows, and every step is a window or a join.
     """
     block, decay = 256, 1.0 - alpha
-    t = F.row_number().over(BY) - 1
+    t = F.row_number().over(by()) - 1
     marked = df.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / block)).withColumn("_k", F.col("_t") % block)
     term = F.when(F.col("_t") == 0, F.col(value)).otherwise(alpha * F.col(value)) * F.pow(F.lit(decay), -F.col("_k").cast("double"))
     inside = W.partitionBy("ticker", "_b").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
@@ -81,7 +90,7 @@ def macd(bars: DataFrame) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """100 - 100 / (1 + smoothed gains / smoothed losses), smoothing 1/n; 100 without losses."""
-    step = F.col("close") - F.lag("close").over(BY)
+    step = F.col("close") - F.lag("close").over(by())
     moves = bars.withColumn("_up", F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0))).withColumn("_down", F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0)))
     both = smoothed(smoothed(moves, "_up", 1.0 / n, "_gain", n), "_down", 1.0 / n, "_loss", n)
     value = F.when(F.col("_loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide("_gain", "_loss")))
@@ -90,7 +99,7 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """True range smoothed by 1/n from the mean of its first n rows."""
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(by())
     true = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     ranged = numbered(bars.withColumn("tr", F.coalesce(true, F.col("high") - F.col("low"))), "_n")
     seeded = ranged.withColumn("_seed", F.when(F.col("_n") == n, F.avg("tr").over(rows(1 - n))).otherwise(F.col("tr")))
@@ -102,7 +111,7 @@ def crossings(bars: DataFrame, fast: int = 20, slow: int = 50) -> DataFrame:
     """entry where the fast average rises over the slow one, exit where it falls under it."""
     m = moving_averages(bars, (fast, slow))
     f, s = F.col(f"sma{fast}"), F.col(f"sma{slow}")
-    pf, ps = F.lag(f).over(BY), F.lag(s).over(BY)
+    pf, ps = F.lag(f).over(by()), F.lag(s).over(by())
     return m.withColumn("entry", F.coalesce((f > s) & (pf <= ps), F.lit(False))).withColumn("exit", F.coalesce((f < s) & (pf >= ps), F.lit(False)))
 
 
@@ -111,11 +120,11 @@ def ewma_variance(returns: DataFrame, decay: float = 0.94, first: int = 21) -> D
 
     Series under ``first`` rows keep the population variance of all their rows.
     """
-    rn = numbered(returns, "_n").withColumn("_c", F.count("*").over(ALL))
-    start = F.var_pop(F.when(F.col("_n") <= first, F.col("ret"))).over(ALL)
-    base = rn.withColumn("_v0", start).withColumn("_x", F.when(F.col("_n") == 1, F.col("_v0")).otherwise(F.pow(F.lag("ret").over(BY), 2)))
+    rn = numbered(returns, "_n").withColumn("_c", F.count("*").over(whole()))
+    start = F.var_pop(F.when(F.col("_n") <= first, F.col("ret"))).over(whole())
+    base = rn.withColumn("_v0", start).withColumn("_x", F.when(F.col("_n") == 1, F.col("_v0")).otherwise(F.pow(F.lag("ret").over(by()), 2)))
     out = smoothed(base, "_x", 1 - decay, "_s", 1)
-    return out.withColumn("var", F.when(F.col("_c") < first, F.var_pop("ret").over(ALL)).otherwise(F.col("_s"))).drop("_n", "_c", "_v0", "_x", "_s")
+    return out.withColumn("var", F.when(F.col("_c") < first, F.var_pop("ret").over(whole())).otherwise(F.col("_s"))).drop("_n", "_c", "_v0", "_x", "_s")
 
 
 def drawdown(returns: DataFrame, key: str = "ticker") -> DataFrame:
@@ -132,13 +141,13 @@ def trailing_moments(returns: DataFrame, n: int = 252) -> DataFrame:
     """
     from tideline.operators.moments import corrected_kurtosis, corrected_skew
 
-    out, run = returns, BY.rowsBetween(W.unboundedPreceding, -1)
-    center = F.avg("ret").over(ALL)
-    out = out.withColumn("_x", F.col("ret") - center).withColumn("_k", F.row_number().over(BY) - 1)
+    out, run = returns, by().rowsBetween(W.unboundedPreceding, -1)
+    center = F.avg("ret").over(whole())
+    out = out.withColumn("_x", F.col("ret") - center).withColumn("_k", F.row_number().over(by()) - 1)
     for p in range(1, 5):
         out = out.withColumn(f"_s{p}", F.coalesce(F.sum(F.pow("_x", p)).over(run), F.lit(0.0)))
     for p in range(1, 5):
-        out = out.withColumn(f"_d{p}", F.col(f"_s{p}") - F.coalesce(F.lag(f"_s{p}", n).over(BY), F.lit(0.0)))
+        out = out.withColumn(f"_d{p}", F.col(f"_s{p}") - F.coalesce(F.lag(f"_s{p}", n).over(by()), F.lit(0.0)))
     c = F.least("_k", F.lit(n))
     m1, m2, m3, m4 = (F.try_divide(F.col(f"_d{p}"), c) for p in range(1, 5))
     var = m2 - m1 * m1
@@ -153,7 +162,7 @@ def window_ids(df: DataFrame, train: int, step: int, span: int) -> DataFrame:
 
     An equi-join key in place of a range join: a row is in span/step windows at most.
     """
-    rn = numbered(df, "_r").withColumn("_c", F.count("*").over(ALL))
+    rn = numbered(df, "_r").withColumn("_c", F.count("*").over(whole()))
     last = F.floor((F.col("_r") - 1) / step)
     first = F.greatest(F.lit(0), F.ceil((F.col("_r") - span) / step))
     out = rn.withColumn("w", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
@@ -168,5 +177,5 @@ def last_array(bars: DataFrame, n: int = 30) -> DataFrame:
 
 def forward_filled(spine: DataFrame, values: DataFrame) -> DataFrame:
     """ret of the last earlier row on every date of the ticker's spine, 0 before the first."""
-    w = BY.rowsBetween(W.unboundedPreceding, 0)
+    w = by().rowsBetween(W.unboundedPreceding, 0)
     return spine.join(values, ["ticker", "dt"], "left").withColumn("ret", F.coalesce(F.last("ret", ignorenulls=True).over(w), F.lit(0.0)))

@@ -27,9 +27,9 @@ def eval_grid(returns: DataFrame, train: int, forward: int, periods: int) -> Dat
     """Evaluation rows (ticker, dt, rn) of the reference calendar, the first ticker's: every ``forward`` rows from the end."""
     first = returns.agg(F.min("ticker").alias("_t"))
     rows = returns.join(F.broadcast(first), F.col("ticker") == F.col("_t"))  # one row
-    n = F.count("*").over(X.ALL)
-    left = n - F.row_number().over(X.BY) + 1
-    grid = rows.withColumn("rn", F.row_number().over(X.BY)).withColumn("_left", left)
+    n = F.count("*").over(X.whole())
+    left = n - F.row_number().over(X.by()) + 1
+    grid = rows.withColumn("rn", F.row_number().over(X.by())).withColumn("_left", left)
     return grid.filter((F.col("_left") % forward == 0) & F.floor(F.col("_left") / forward).between(1, periods) & (F.col("rn") > train)).select("ticker", "dt", "rn")
 
 
@@ -38,10 +38,10 @@ def crossover_backtest(bars: DataFrame, cash: float = 10_000.0, least: int = 60)
 
     ann_ret, sharpe (no risk-free rate), max_drawdown, trades and win_rate; tickers under ``least`` rows are left out.
     """
-    flags = X.crossings(bars).withColumn("_c", F.count("*").over(X.ALL)).filter(F.col("_c") >= least)
+    flags = X.crossings(bars).withColumn("_c", F.count("*").over(X.whole())).filter(F.col("_c") >= least)
     state = F.last(F.when(F.col("entry"), 1).when(F.col("exit"), 0), ignorenulls=True).over(X.rows(W.unboundedPreceding))
-    held = flags.withColumn("_in", F.coalesce(state, F.lit(0))).withColumn("_was", F.coalesce(F.lag("_in").over(X.BY), F.lit(0)))
-    step = F.when(F.col("_was") == 1, F.col("close") / F.lag("close").over(X.BY) - 1).otherwise(0.0)
+    held = flags.withColumn("_in", F.coalesce(state, F.lit(0))).withColumn("_was", F.coalesce(F.lag("_in").over(X.by()), F.lit(0)))
+    step = F.when(F.col("_was") == 1, F.col("close") / F.lag("close").over(X.by()) - 1).otherwise(0.0)
     run = held.withColumn("ret", step).withColumn("_trade", F.sum(F.when((F.col("_in") == 1) & (F.col("_was") == 0), 1).otherwise(0)).over(X.rows(W.unboundedPreceding)))
     trades = run.filter("_was = 1").groupBy("ticker", "_trade").agg(F.sum(F.log1p("ret")).alias("g"))
     won = trades.groupBy("ticker").agg(F.count("*").alias("trades"), F.avg((F.col("g") > 0).cast("int")).alias("win_rate"))

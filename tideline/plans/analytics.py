@@ -241,7 +241,7 @@ def _(spark, d):
 
 @query("agg_dr2")
 def _(spark, d):
-    rows = fx.aligned(spark, d).withColumn("mom", F.lag("ret", 21).over(X.BY)).filter("mom is not null")
+    rows = fx.aligned(spark, d).withColumn("mom", F.lag("ret", 21).over(X.by())).filter("mom is not null")
     return R.added_r2(R.regress(rows), R.regress(rows, (*R.FACTORS, "mom")), "mom")
 
 
@@ -250,7 +250,7 @@ fx.SQL["fx_breach"] = "select ticker, dt, ret, ret < -1.6449*sqrt(pv) breach fro
 
 
 def _breaches(spark, d):
-    v = X.numbered(X.ewma_variance(fx.returns(spark, d)), "r").withColumn("pv", F.lag("var").over(X.BY))
+    v = X.numbered(X.ewma_variance(fx.returns(spark, d)), "r").withColumn("pv", F.lag("var").over(X.by()))
     return v.filter("r > 21 and pv > 0").select("ticker", "dt", "ret", (F.col("ret") < -M.Z95 * F.sqrt("pv")).alias("breach"))
 
 
@@ -382,7 +382,7 @@ fx.SQL["fx_macd"] = f"select ticker, dt, f-s macd from ({_ema('fx_p300', 'close'
 
 
 def _p300(spark, d):
-    return fx.prices(spark, d).withColumn("_r", F.row_number().over(X.BY)).filter("_r <= 400").drop("_r")
+    return fx.prices(spark, d).withColumn("_r", F.row_number().over(X.by())).filter("_r <= 400").drop("_r")
 
 
 @query("win_ema", f"select m.ticker, m.dt, ema20, macd, macd_signal, macd - macd_signal macd_hist from fx_macd m join ({_ema('fx_p300', 'close', 2 / 21, 'ema20', 20)}) e using(ticker, dt) left join ({_ema('(select * from fx_macd where macd is not null)', 'macd', 0.2, 'macd_signal', 9)}) s using(ticker, dt)", d="ema20 macd macd_signal macd_hist", digits=5)

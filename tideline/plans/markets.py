@@ -190,7 +190,7 @@ def _(spark, d):
 
 @query("k_experiment")
 def _(spark, d):
-    rows = fx.aligned(spark, d).withColumn("mom", F.lag("ret", 21).over(X.BY)).filter("mom is not null")
+    rows = fx.aligned(spark, d).withColumn("mom", F.lag("ret", 21).over(X.by())).filter("mom is not null")
     one = F.lit(1)
     summed = None
     for name, factors in (("five", R.FACTORS), ("six", (*R.FACTORS, "mom"))):
@@ -306,7 +306,7 @@ def _(spark, d):
 _PR = "select dt, sum(weight*ret) ret from fx_al join fx_rw using(ticker) group by 1"
 
 
-@query("pt_risk", f"with p as ({_PR}) select 1.6449*sqrt((select sum(x.weight*y.weight*cov) from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b)) var_95, (select covar_samp(p.ret, e.ret)/var_samp(e.ret) from p join fx_al e on e.dt=p.dt and e.ticker='EUROPE') beta, (select sum(weight*weight) from fx_rw) hhi", d="var_95 beta hhi")
+@query("pt_risk", f"with p as ({_PR}) select 1.6449*sqrt((select sum(x.weight*y.weight*cov) from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b)) var_95, (select case when count(*) >= 21 then covar_samp(p.ret, e.ret)/var_samp(e.ret) end from p join fx_al e on e.dt=p.dt and e.ticker='EUROPE') beta, (select sum(weight*weight) from fx_rw) hhi", d="var_95 beta hhi")
 def _(spark, d):
     r, w = _al(spark, d), _region_weights(spark)
     one = F.lit(1)
@@ -541,3 +541,22 @@ def _(spark, d):
 def _(spark, d):
     card = Q.risk_card(fx.returns(spark, d), fx.holdings_eur(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'"))
     return card.select("var_95", "sharpe", "hhi", "max_position")
+
+
+@query("sink_html")
+def _(spark, d):
+    page = Q.html("Risk report", {"Alerts": _alerts(spark, d), "Top positions": Q.top_positions(fx.holdings_eur(spark, d))})
+    return spark.createDataFrame([(len(page) > 500, "Top positions" in page)], "written boolean, has_positions boolean")
+
+
+@query("src_ws")
+def _(spark, d):
+    from tideline.plans.scratch import folder
+    from tideline.sources.services import pushed_events
+
+    base = folder(spark)
+    m = F.struct(F.lit("AM").alias("ev"), F.col("event_type").alias("sym"), F.col("value").alias("c"), F.col("user_id").cast("double").alias("v"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    fx.table(spark, d, "events").groupBy((F.col("event_id") % 20).alias("g")).agg(F.to_json(F.collect_list(m)).alias("value")).select("value").write.text(f"{base}/feed")
+    q = B.parse_events(pushed_events(spark, f"{base}/feed")).writeStream.format("parquet").option("path", f"{base}/bars").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("ticker string, price double, volume double, ts timestamp").parquet(f"{base}/bars").groupBy("ticker").agg(F.count("*").alias("n"))
