@@ -22,23 +22,34 @@ from tideline.session import attach
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """What the judges read, and the whole row beside it, whatever its columns are called."""
+    return docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tideline_row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and the adaptive thresholds of its language and source."""
-    return judge_quality(docs).filter("kept").select(*docs.columns)
+    return judge_quality(_packed(docs), keep=["tideline_row"]).filter("kept").select("tideline_row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or without a language that the field is sure of."""
-    labelled = label_language(docs)
-    return labelled.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    labelled = label_language(_packed(docs))
+    return labelled.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select("tideline_row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of similar documents, once."""
+    """Keeps the document with the least doc_id of each group of similar documents, once.
+
+    Rows without doc_id can't be in a group by name; they stay.
+    """
     found = written(similar_documents(docs), "pipeline-groups")
-    kept = found.filter("doc_id = component_id").select("doc_id")
+    named = found.filter("doc_id is not null")
+    kept = named.filter("doc_id = component_id").select("doc_id")
     out = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    return out if found.count() == found.select("doc_id").distinct().count() else out.dropDuplicates(["doc_id"])
+    if named.count() != named.select("doc_id").distinct().count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null")) if named.count() != found.count() else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ MOST = 3
 #: Rows of one leaf of the reduction tree, and children of an inner node.
 LEAF, FAN = 1024, 64
 
+_NO_ID = -(1 << 63)  # stands for a null doc_id where pandas would make floats of all
 _ROUNDED = "source string, bucket long, doc_id long, size long, base long, p double, up boolean"
 
 
@@ -122,7 +123,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, s
     get the whole part only. Null source: a source of its own, ordered last. Repeated rows count apart.
     """
     rows = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     )
     targets = written(source_targets(rows, weights, most), "mix-targets")
@@ -153,14 +154,15 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, s
     copies = F.col("base") + F.round("p").cast("long")
     back = small(targets.withColumnRenamed("source", "s"))
     return rounded.join(back, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source",
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` repeated as often as the mix takes them; columns stay as they are."""
-    copies = mix_sources(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.collect_list("copies").alias("many"))
-    turn = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    numbered = docs.withColumn("mix_row", F.row_number().over(turn))
-    return numbered.join(copies, "doc_id").withColumn("mix_n", F.coalesce(F.expr("get(many, mix_row - 1)"), F.lit(0))).filter("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).select(*docs.columns)
+    copies = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.collect_list("copies").alias("_mix_many"))
+    turn = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    packed = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_doc"), F.row_number().over(turn).alias("_mix_row"))
+    joined = packed.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return joined.withColumn("_mix_n", F.expr("get(_mix_many, _mix_row - 1)")).filter("_mix_n > 0").select(F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy"), "_mix_doc").select("_mix_doc.*")

@@ -54,19 +54,19 @@ def measured(docs: DataFrame) -> DataFrame:
         return _let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _repeated(h).alias("n_repeat_words"), stutter(h).cast("long").alias("n_stutter")))
 
     return (
-        docs.withColumn("_w", _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
-        .withColumn("_l", _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))))
-        .withColumn("n_words", F.col("_w.n_words"))
+        docs.withColumn("_quality_words", _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
+        .withColumn("_quality_lines", _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))))
+        .withColumn("n_words", F.col("_quality_words.n_words"))
         .withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", F.col("_l.dup").cast("long"))
-        .withColumn("n_repeat_words", F.col("_w.n_repeat_words"))
+        .withColumn("n_dup_lines", F.col("_quality_lines.dup").cast("long"))
+        .withColumn("n_repeat_words", F.col("_quality_words.n_repeat_words"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("symbol_ratio", F.col("n_symbols") / F.greatest("word_chars", F.lit(1)))
-        .withColumn("dup_line_ratio", F.col("n_dup_lines") / F.greatest("_l.n", F.lit(1)))
+        .withColumn("dup_line_ratio", F.col("n_dup_lines") / F.greatest("_quality_lines.n", F.lit(1)))
         .withColumn("mean_word_chars", F.col("word_chars") / F.greatest("n_words", F.lit(1)))
-        .withColumn("stutter_ratio", F.col("_w.n_stutter") / F.greatest("n_words", F.lit(1)))
-        .drop("_w", "_l")
+        .withColumn("stutter_ratio", F.col("_quality_words.n_stutter") / F.greatest("n_words", F.lit(1)))
+        .drop("_quality_words", "_quality_lines")
     )
 
 
@@ -93,7 +93,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
         keys.join(own, F.col("l").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left")
         .join(by_lang, F.col("l").eqNullSafe(F.col("l2")), "left")
         .join(F.broadcast(by_all), "any", "left")  # one row
-        .select("l", "s", F.coalesce("own", "by_lang", "by_all").alias("most"))
+        .select(F.col("l").alias("_quality_lang"), F.col("s").alias("_quality_source"), F.coalesce("own", "by_lang", "by_all").alias("_quality_most"))
     )
     out = written(out, "quality-limits")
     dropped(fine)
@@ -115,7 +115,7 @@ def judge_quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     limits = small(thresholds(rows))
     exceeds = F.lit(False)
     for r in RATIOS:
-        exceeds = exceeds | (F.col(r) > F.coalesce(F.col(f"most.{r}"), F.lit(float("inf"))))
-    judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
+        exceeds = exceeds | (F.col(r) > F.coalesce(F.col(f"_quality_most.{r}"), F.lit(float("inf"))))
+    judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("_quality_lang")) & F.col("source").eqNullSafe(F.col("_quality_source")), "left")
     gone = [c for c in ("lang", "source") if keep is not None and c not in keep]
-    return judged.withColumn("kept", ~F.col("base_failed") & ~exceeds).drop("l", "s", "most", *gone)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~exceeds).drop("_quality_lang", "_quality_source", "_quality_most", *gone)

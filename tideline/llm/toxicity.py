@@ -145,7 +145,7 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     intercept. Labels that repeat a doc_id count as toxic if any does; null labels are ignored. Without
     both classes all scores are 0. Repeated documents are scored each.
     """
-    held_out = crc_mod("doc_id", folds) == held
+    held_out = F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False))
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     marks = written(marks.filter(crc_mod("id", folds) != held), "toxic-labels")
     joined = F.broadcast(marks) if marks.count() <= LABEL_ROWS else marks
