@@ -21,9 +21,18 @@ def session(name: str = "tideline", **options: str) -> SparkSession:
     return build.getOrCreate()
 
 
+#: Rows of an Arrow batch: documents are long, and a batch lies in the JVM and in Python at once.
+BATCH_ROWS = "1000"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers where PYTHONPATH doesn't do that already."""
+    """Makes the package importable in Python workers where PYTHONPATH doesn't do that already.
+
+    Arrow batches get BATCH_ROWS rows at most unless the session sets a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(context, "_tideline", False):
         return spark
     path = Path(tempfile.mkdtemp(prefix="tideline-")) / "tideline.zip"
