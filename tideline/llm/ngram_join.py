@@ -15,17 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Words, dropped, mix64, slices, written
+from tideline.llm.common import Words, dropped, mix64, slices, small as checked, written
 from tideline.llm.graphs import components
 
 #: Words of a shingle and the least similarity, in hundredths.
 SHINGLE, PERCENT = 4, 85
-#: A shingle in so many documents at least may go to the end of the lists' order; at most so many do.
+#: A shingle that is in so many documents, counted where a task has it twice, goes to the end of the lists'
+#: order (an order is right whatever it is; this one keeps lists short); at most so many do.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Longer lists are joined by leaders and components instead of pair by pair.
 LIST = 64
+#: Entries of lists in one task.
+LIST_ROWS = 2_500_000
 #: Largest set that may count as small, and the cost of checking a candidate, in written rows.
 SMALL_LIMIT, CHECK_COST = 20, 20.0
+#: Sets of a block that is compared at once (in small and large clusters), shingles of one, and rounds of
+#: blocks dealt by chance.
+BLOCK, LARGE_BLOCK, BLOCK_SHINGLES, ROUNDS = 128, 384, 2_000_000, 1
+#: Sets that hang together by long lists are compared in blocks up to so many; larger ones list by list.
+CLUSTER = 100_000
+#: Buckets of the counts that bound how much two sets have in common.
+SPREAD = 128
+#: Component labels up to so many are broadcast; more are joined by shuffle.
+LABELS = 200_000
 #: Wanted documents up to so many are broadcast to fetch their texts; more are joined by shuffle.
 WANTED_ROWS = 500_000
 
@@ -94,24 +106,24 @@ def _count(held: list[np.ndarray]) -> pa.RecordBatch:
     at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
     n = np.diff(np.append(at, len(s)))
     keys = s[at[n > 1]].view(np.int64)
-    none = pa.nulls(len(keys), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(keys), pa.array(n[n > 1])], ["doc_id", "key", "n"])
+    no = pa.array(np.zeros(len(keys), bool))
+    return pa.RecordBatch.from_arrays([no, pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(n[n > 1])], ["row", "doc_id", "key", "n"])
 
 
 def _measure(batches):
-    """Rows (doc_id, digest, set size), and rows (null, shingle, documents) of shingles that repeat in a task."""
+    """Rows (true, doc_id, digest, set size), and (false, null, shingle, documents) of shingles that repeat in a task."""
     held, total, seen = [], 0, set()
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(part["text"])
             names = [digest(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sets), bool)), part["doc_id"], pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["row", "doc_id", "key", "n"])
             for name, s in zip(names, sets):
                 if name is not None and name not in seen:
                     seen.add(name)
                     held.append(s)
                     total += len(s)
-            if total > 6_000_000:
+            if total > 3_000_000:
                 yield _count(held)
                 held, total, seen = [], 0, set()
     yield _count(held)
@@ -131,7 +143,7 @@ def _post(frequent, small: int):
                     n = len(s)
                     if not n or (name := digest(s)) in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(name)
                     keys, kinds, at = [], [], []
                     if n <= small:
@@ -224,7 +236,7 @@ def _check(batches):
     """The pairs of texts that are similar, by their exact sets."""
     for batch in batches:
         out = []
-        for part in slices(batch, "text_x", 2_000_000):
+        for part in slices(batch, "text_x", 1_000_000):
             a, b = shingle_sets(part["text_x"]), shingle_sets(part["text_y"])
             for x, y, s, t in zip(part["x"].to_pylist(), part["y"].to_pylist(), a, b):
                 both = len(np.intersect1d(s, t, assume_unique=True))
@@ -234,20 +246,123 @@ def _check(batches):
         yield pa.RecordBatch.from_arrays([pa.array(xs[:, 0]), pa.array(xs[:, 1])], ["a", "b"])
 
 
+def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The text of one document of each set in ``names(name)``."""
+    wanted = written(names.join(classes, "name").select("name", F.col("doc").alias("doc_id")), "ngram-wanted")
+    side = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
+    texts = written(docs.join(side, "doc_id").select("name", "text"), "ngram-texts")
+    dropped(wanted)
+    return texts
+
+
+def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    return written(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "ngram-comp")
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    """A forest of the similar pairs of a block: common shingles of all pairs by products of membership matrices."""
+    names, sets = group["name"].to_numpy(), shingle_sets(group["text"])
+    good = [digest(s) == x if len(s) else False for s, x in zip(sets, names.tolist())]
+    names, sets = names[good], [s for s, g in zip(sets, good) if g]
+    size = np.array([len(s) for s in sets], np.int64)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if len(sets):
+        keys, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        row, shared = np.repeat(np.arange(len(sets)), size), count[back] > 1
+        row, column = row[shared], column[back[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int((count > 1).sum()), 8_192):
+            a, b = np.searchsorted(column, [low, low + 8_192])
+            m = np.zeros((len(sets), 8_192), np.float32)
+            m[row[a:b], column[a:b] - low] = 1
+            both += m @ m.T
+    hits = np.triu(100 * both >= PERCENT * (size[:, None] + size[None, :] - both), 1)
+    root, edges = list(range(len(sets))), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hits))):
+        a, b = i, j
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            edges.append((i, j))
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(names[e[:, 0]], pa.int64()), "b": pa.array(names[e[:, 1]], pa.int64())})
+
+
+def _blocks(members: DataFrame, comp: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Components after all sets of a cluster have met that are in different ones.
+
+    Rounds of blocks dealt by chance join most of a cluster. What is outside its largest component then
+    meets the whole cluster, block by block, so no pair of sets of two components is left out.
+    """
+    texts = None
+    for turn in range(ROUNDS + 1):
+        labelled = members.join(checked(comp, LABELS), F.col("name") == F.col("id"), "left").select("cluster", "name", "n", F.coalesce("component", "name").alias("c"))
+        cells = labelled.groupBy("cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        state = cells.groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k"), F.sum("n").alias("shingles"), F.count("*").alias("cells"))
+        state = state.filter((F.col("cells") > 1) & (F.col("k") <= CLUSTER)).withColumn("blocks", F.greatest(F.ceil(F.col("k") / LARGE_BLOCK), F.least(F.lit(16), F.ceil(F.col("k") / BLOCK)), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+        active = written(labelled.join(state, "cluster").select("cluster", "name", "c", "main", "k", "most", "blocks"), "ngram-active")
+        if not active.count():
+            return comp
+        if texts is None:
+            texts = _texts(active.select("name"), docs, classes)
+        block = F.pmod(F.xxhash64("name", F.lit(turn)), F.col("blocks")).cast("int")
+        if turn < ROUNDS:
+            dealt = active.select("cluster", block.alias("i"), F.lit(0).alias("j"), "name")
+        else:
+            few = F.ceil((F.col("k") - F.col("most")) * F.col("blocks") / F.col("k")).cast("int")  # blocks of outsiders
+            out = active.filter("c != main").select("cluster", F.pmod(F.xxhash64("name", F.lit(turn)), few).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "name")
+            every = active.select("cluster", F.explode(F.sequence(F.lit(0), few - 1)).alias("i"), block.alias("j"), "name")
+            dealt = out.unionByName(every).distinct()
+        edges = dealt.join(texts, "name").groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long")
+        comp = _joined(comp, written(edges.distinct(), "ngram-edges"))
+    return comp
+
+
+def _spread(batches):
+    """(name, spread): how many shingles of each set fall into each of SPREAD buckets."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            spread = [np.bincount((s >> np.uint64(17)).astype(np.int64) % SPREAD, minlength=SPREAD).clip(0, 65_535).astype(np.uint16).tobytes() for s in shingle_sets(part["text"])]
+            yield pa.RecordBatch.from_arrays([part["name"], pa.array(spread, pa.binary())], ["name", "spread"])
+
+
+def _close(batches):
+    """Pairs that can be similar: sets have no more in common than the sum of their lesser bucket counts.
+
+    Buckets over 65,535 count as unbounded, so no similar pair is lost.
+    """
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SPREAD).astype(np.int64) for c in ("spread_x", "spread_y"))
+        full = (a == 65_535) | (b == 65_535)
+        both = np.minimum(a, b).sum(1)
+        good = full.any(1) | (100 * both >= PERCENT * (a.sum(1) + b.sum(1) - both))
+        yield pa.RecordBatch.from_arrays([batch["x"].filter(pa.array(good)), batch["y"].filter(pa.array(good))], ["x", "y"])
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) of the pairs (x, y) of set names whose documents are similar."""
-    ends = pairs.select(F.col("x").alias("name")).unionByName(pairs.select(F.col("y").alias("name"))).distinct()
-    wanted = written(ends.join(classes, "name").select("name", F.col("doc").alias("doc_id")), "ngram-wanted")
+    ends = lambda p: p.select(F.col("x").alias("name")).unionByName(p.select(F.col("y").alias("name"))).distinct()
+    wanted = written(ends(pairs).join(classes, "name").select("name", F.col("doc").alias("doc_id")), "ngram-wanted")
     side = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
-    texts = written(docs.join(side, "doc_id").select("name", "text"), "ngram-texts")
+    spread = written(docs.join(side, "doc_id").select("name", "text").mapInArrow(_spread, "name long, spread binary"), "ngram-spread")
+    x, y = (spread.select(F.col("name").alias(c), F.col("spread").alias(f"spread_{c}")) for c in ("x", "y"))
+    pairs = written(pairs.join(x, "x").join(y, "y").select("x", "y", "spread_x", "spread_y").mapInArrow(_close, "x long, y long").distinct(), "ngram-close")
+    dropped(wanted, spread)
+    texts = _texts(ends(pairs), docs, classes)
     x, y = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in ("x", "y"))
     edges = written(pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(_check, "a long, b long"), "ngram-edges")
-    dropped(wanted, texts)
+    dropped(texts)
     return edges
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
+    comp = checked(comp, LABELS)
     own = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     joined = pairs.join(own("x"), "x", "left").join(own("y"), "y", "left")
     return joined.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
@@ -257,16 +372,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs(doc_id, text, ...)``.
 
     Components are those of the links with a Jaccard similarity of PERCENT/100 or more. Documents with
-    equal sets are one vertex (a 64-bit digest). In each list, pairs with a leader are checked first; of
-    the other pairs only those that no chain of links joins yet. A null text or one without words has no
-    shingle and its doc_id as component. Rows may repeat; an empty table gives no rows.
+    equal sets are one vertex (a 64-bit digest). Each set is first checked with two leaders (least names)
+    of its lists; of all other pairs only those that no chain of links joins yet. A null text or one without words has no
+    shingle and its doc_id as component. Rows without doc_id are linked by equal sets only. Rows may
+    repeat; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    measured = written(texts.mapInArrow(_measure, "doc_id long, key long, n long"), "ngram-measured")
-    rows = measured.filter("doc_id is not null")
-    counts = measured.filter("doc_id is null").groupBy("key").agg(F.sum("n").alias("n"))
-    total = measured.filter("doc_id is null").agg(F.sum("n")).first()[0] or 0
+    measured = written(texts.mapInArrow(_measure, "row boolean, doc_id long, key long, n long"), "ngram-measured")
+    rows = measured.filter("row")
+    counts = measured.filter("not row").groupBy("key").agg(F.sum("n").alias("n"))
+    total = measured.filter("not row").agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT, -(-total // MOST_FREQUENT))  # so there are MOST_FREQUENT at most
     late = np.sort(np.array([r["key"] for r in counts.filter(F.col("n") >= least).select("key").collect()], np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(late)
@@ -277,7 +393,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     posts = written(texts.mapInArrow(_post(frequent, small), "kind byte, key long, name long, n int, at int"), "ngram-posts")
     entry = posts.filter("kind = 1").select("key", "name", "n", "at")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(6, -(-posts.count() // LIST_ROWS))  # a pair is found once in each task that holds a shingle of it
     found = written(entry.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_lists, "x long, y long, first boolean, key long, n int, at int"), "ngram-found")
     pairs = found.filter("y is not null").groupBy("x", "y").agg(F.max("first").alias("first"))
     long = written(posts.filter("kind = 2").select("key", "name", "n", "at").unionByName(found.filter("y is null").select("key", F.col("x").alias("name"), "n", "at")).distinct(), "ngram-long")
@@ -288,21 +404,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     enough = F.col("size") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("h.n"))
     by_subset = signs.join(heads, ["key", "size"]).filter(enough & (F.col("name") != F.col("h.name"))).select(F.col("name").alias("a"), F.col("h.name").alias("b"))
 
-    # long lists: three leaders each, then what their components leave apart
-    order = [F.col("name"), F.xxhash64("name", F.lit(1)), F.xxhash64("name", F.lit(2))]
-    leaders = long.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct("name", "n", "at"), F.struct(o, "name")) for o in order])).alias("l"))
-    led = long.join(leaders, "key").withColumn("l", F.explode("l"))
-    star = _possible(led, "l.").select(F.least("name", "l.name").alias("x"), F.greatest("name", "l.name").alias("y"))
-    firsts = written(pairs.filter("first").select("x", "y").unionByName(star).distinct(), "ngram-pairs")
+    # every set is checked with two of its lists' leaders, then with what its components leave apart
+    leaders = long.groupBy("key").agg(F.min_by(F.struct("name", "n", "at"), "name").alias("l"))
+    led = long.join(leaders, "key")
+    star = _possible(led, "l.").select("name", F.col("l.name").alias("l"))
+    clusters = components(led.select(F.col("name").alias("a"), F.col("l.name").alias("b")))
+    led = pairs.filter("first").select(F.col("y").alias("name"), F.col("x").alias("l")).unionByName(star)
+    led = led.groupBy("name").agg(F.array(F.min("l"), F.max("l")).alias("l")).select("name", F.explode(F.array_distinct("l")).alias("l"))
+    firsts = written(led.select(F.least("name", "l").alias("x"), F.greatest("name", "l").alias("y")).distinct(), "ngram-pairs")
     edges = _checked(firsts, texts, classes).unionByName(by_subset)
     comp = written(components(edges), "ngram-comp")
-    rest = pairs.filter("not first").select("x", "y").unionByName(_crossing(long, comp))
+    members = written(long.groupBy("name").agg(F.max("n").alias("n")).join(clusters, F.col("name") == F.col("id")).select("name", "n", F.col("component").alias("cluster")), "ngram-members")
+    comp = _blocks(members, comp, texts, classes)
+    huge = members.groupBy("cluster").agg(F.count("*").alias("k")).filter(F.col("k") > CLUSTER)
+    listed = long.join(members.join(huge, "cluster", "left_semi"), "name", "left_semi")
+    rest = pairs.select("x", "y").unionByName(_crossing(listed, comp))
     rest = written(_apart(rest, comp).select("x", "y").distinct().join(firsts, ["x", "y"], "left_anti"), "ngram-rest")
     dropped(posts, found, long)
-    more = _checked(rest, texts, classes)
-    comp = written(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "ngram-comp")
+    comp = _joined(comp, _checked(rest, texts, classes))
 
-    named = classes.join(comp, F.col("name") == F.col("id"), "left").withColumn("c", F.coalesce("component", "name"))
+    named = classes.join(checked(comp, LABELS), F.col("name") == F.col("id"), "left").withColumn("c", F.coalesce("component", "name"))
     least_doc = named.groupBy("c").agg(F.min("doc").alias("component_id"))
     lookup = written(named.filter("component is not null or members > 1").join(least_doc, "c").select("name", "component_id"), "ngram-lookup")
     return rows.join(lookup, F.col("key") == F.col("name"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -317,7 +438,7 @@ def _possible(joined: DataFrame, other: str) -> DataFrame:
 
 def _crossing(long: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs within long lists whose ends are in different components, one end outside the list's largest."""
-    labelled = long.join(comp, F.col("name") == F.col("id"), "left").select("key", "name", "n", "at", F.coalesce("component", "name").alias("c"))
+    labelled = long.join(checked(comp, LABELS), F.col("name") == F.col("id"), "left").select("key", "name", "n", "at", F.coalesce("component", "name").alias("c"))
     cells = labelled.groupBy("key", "c").agg(F.count("*").alias("k"))
     largest = cells.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("cells")).filter("cells > 1").select("key", "main")
     mixed = written(labelled.join(largest, "key"), "ngram-mixed")
