@@ -29,11 +29,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and the adaptive thresholds of its language and source."""
+    attach(spark)
     return judge_quality(_packed(docs), keep=["tideline_row"]).filter("kept").select("tideline_row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or without a language that the field is sure of."""
+    attach(spark)
     labelled = label_language(_packed(docs))
     return labelled.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select("tideline_row.*")
 
@@ -43,6 +45,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id can't be in a group by name; they stay.
     """
+    attach(spark)
     found = written(similar_documents(docs), "pipeline-groups")
     named = found.filter("doc_id is not null")
     kept = named.filter("doc_id = component_id").select("doc_id")
@@ -54,11 +57,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target words."""
+    attach(spark)
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mixed documents into sequences; a row per piece."""
+    attach(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -123,7 +123,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def slices(batch, column: str, most: int = 4_000_000):
+def slices(batch, column: str, most: int = 1_000_000):
     """Cuts an Arrow batch so that a slice has about ``most`` bytes of text, or a single row."""
     import pyarrow.compute as pc
 
@@ -136,6 +136,20 @@ def slices(batch, column: str, most: int = 4_000_000):
         total += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system: Python workers stay alive between tasks and share an executor's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def crc_mod(column: str, n: int):

@@ -17,8 +17,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS = 250, 20_000, 120_000
 #: Words of a training sequence and of a block of the parallel forward-backward pass.
 SEQUENCE, BLOCK = 24, 32
 EPOCHS, RATE, RIDGE = 25, 0.3, 1e-5
-#: Words that a task remembers the scores of.
-CACHE = 400_000
+#: Words whose features are made at once, and words that a task remembers the scores of.
+CHUNK, CACHE = 16_384, 250_000
 
 
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +57,8 @@ class Crf:
         self.labels, self.weights, self.moves = labels, np.zeros((DIM + 1, k), np.float32), np.eye(k) * 1.0
 
     def unary(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(start) > CHUNK:
+            return np.concatenate([self.unary(data, start[k : k + CHUNK], end[k : k + CHUNK]) for k in range(0, len(start), CHUNK)])
         if not len(start):
             return np.zeros((0, len(self.labels)))
         flat, first = features(data, start, end)
@@ -220,7 +222,7 @@ def _label(field: Crf | None, column: str = "text"):
     def run(batches):
         known, scores = np.zeros(0, np.uint64), np.zeros((0, len(field.labels) if field else 0))
         for batch in batches:
-            for part in slices(batch, column, 3_000_000):
+            for part in slices(batch, column, 1_000_000):
                 n = part.num_rows
                 best, score, share = np.full(n, -1), np.zeros(n), np.zeros(n)
                 if field:
@@ -270,4 +272,4 @@ def label_language(docs: DataFrame, folds: int = 4, held: int = 2, learn: DataFr
     source = learn if learn is not None else docs
     field = train(source.filter(crc_mod("doc_id", folds) != held).select("text", "lang"))
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("n_switches", "long")
-    return docs.mapInArrow(_label(field), schema).withColumn("held_out", crc_mod("doc_id", folds) == held)
+    return docs.mapInArrow(_label(field), schema).withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)))
