@@ -264,6 +264,19 @@ def test_html(spark):
     assert got.count("\n") == 3 and "Shop" not in got and "Terms" not in got
 
 
+def test_html_by_line_blocks_beside_an_article():
+    from tideline.llm.html_text import main_lines, main_text
+
+    body = [f"{'main text of the page ' * 4}{k}" for k in range(4)]
+    divs = "".join(f"<div>{x}</div>" for x in body)
+    assert main_text(f"<article><h3>Teaser</h3></article>{divs}").split("\n") == body
+    assert set(body) <= set(main_text(f"<article><h3>A teaser of two lines</h3><p>{'short words ' * 9}</p></article><div><a href=x>Home</a></div>{divs}").split("\n"))
+    links = "".join(f"<p><a href=x>Another page {k}</a></p>" for k in range(6))
+    got = main_text(f"<article><h1><a href=x>Title</a></h1>{divs}<p>End.</p>{links}</article><div>{'legal words ' * 12}</div>").split("\n")
+    assert got[:6] == ["Title", *body, "End."] and "Another page 5" not in got and not any("legal" in x for x in got)
+    assert main_lines([("x" * 200, 0, True), ("y" * 300, 0, False)]) == ["x" * 200, "y" * 300]
+
+
 def test_mixing(spark, docs, empty):
     from tideline.llm.mixing import mix_sources, mixed_documents, round_fractions
 

@@ -115,22 +115,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(found: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[str]:
-    """The lines from each surge of the windowed text length to the dive after it.
-
-    Lines inside article or main elements are all of the text if there are any: the page has said itself
-    where its surge and dive are. Otherwise link lists weigh nothing; a stretch starts at the first line
-    with text of a window of at least ``surge`` characters, and ends before a window under ``dive``. Pages
-    without a surge keep all lines that aren't links.
-    """
-    marked = [t for t, _, inside in found if inside]
-    if marked:
-        return marked
-    size = np.array([0 if linked > LINKED * len(t) else len(t) for t, linked, _ in found])
-    if not len(size):
-        return []
-    total = np.convolve(size, np.ones(window, int))[window - 1 :]  # of a line and those after it
+def _stretches(size: np.ndarray, window: int, surge: int, dive: int) -> np.ndarray:
+    """The lines from each surge of the windowed weight to the dive after it."""
     keep, k = np.zeros(len(size), bool), 0
+    total = np.convolve(size, np.ones(window, int))[window - 1 :]  # of a line and those after it
     while k < len(size):
         if total[k] >= surge and size[k]:
             while k < len(size) and total[k] >= dive:
@@ -139,8 +127,30 @@ def main_lines(found: list[tuple[str, int, bool]], window: int = WINDOW, surge:
             keep[k : k + window - 1] |= (size[k : k + window - 1] > 0) & (np.cumsum(size[k : k + window - 1] == 0) == 0)
         else:
             k += 1
+    return keep
+
+
+def main_lines(found: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[str]:
+    """The lines from each surge of the windowed text length to the dive after it, on every page.
+
+    A line weighs its text length, link lists nothing; a stretch starts at the first line with text of a
+    window of at least ``surge``, and ends before a window under ``dive``. Article and main elements are a
+    weight and a bound: a line in one weighs ``dive`` more (a link list there under a ``window``-th of it, which
+    holds a stretch but starts none), windows don't reach over their edges, and where at least half of the
+    text of all stretches is theirs, stretches outside go. Pages without a surge keep all lines of weight.
+    """
+    if not found:
+        return []
+    links = np.array([linked > LINKED * len(t) for t, linked, _ in found])
+    inside = np.array([i for _, _, i in found])
+    length = np.array([len(t) for t, _, _ in found])
+    size = np.where(links, 0, length) + inside * np.where(links, (dive - 1) // window, dive)
+    edges = [0, *(np.flatnonzero(np.diff(inside)) + 1).tolist(), len(size)]
+    keep = np.concatenate([_stretches(size[a:b], window, surge, dive) for a, b in zip(edges, edges[1:])])
     if not keep.any():
         keep = size > 0
+    elif 2 * length[keep & inside].sum() >= length[keep].sum():
+        keep &= inside
     return [t for (t, _, _), k in zip(found, keep) if k]
 
 
