@@ -381,14 +381,9 @@ fx.SQL["fx_p300"] = "select * from fx_prices qualify row_number() over (partitio
 fx.SQL["fx_macd"] = f"select ticker, dt, f-s macd from ({_ema('fx_p300', 'close', 2 / 13, 'f', 12)}) join ({_ema('fx_p300', 'close', 2 / 27, 's', 26)}) using(ticker, dt)"
 
 
-def _p300(spark, d):
-    return fx.prices(spark, d).withColumn("_r", F.row_number().over(X.by())).filter("_r <= 400").drop("_r")
-
-
 @query("win_ema", f"select m.ticker, m.dt, ema20, macd, macd_signal, macd - macd_signal macd_hist from fx_macd m join ({_ema('fx_p300', 'close', 2 / 21, 'ema20', 20)}) e using(ticker, dt) left join ({_ema('(select * from fx_macd where macd is not null)', 'macd', 0.2, 'macd_signal', 9)}) s using(ticker, dt)", d="ema20 macd macd_signal macd_hist", digits=5)
 def _(spark, d):
-    p = _p300(spark, d)
-    return X.macd(X.ema(p, "close", 20, "ema20")).select("ticker", "dt", "ema20", "macd", "macd_signal", "macd_hist")
+    return X.macd(X.ema(fx.prices(spark, d), "close", 20, "ema20")).select("ticker", "dt", "ema20", "macd", "macd_signal", "macd_hist")
 
 
 fx.SQL["fx_moves"] = "select ticker, dt, coalesce(greatest(s, 0), 0) up, coalesce(greatest(-s, 0), 0) down from (select *, close-lag(close) over (partition by ticker order by dt) s from fx_p300)"
@@ -396,7 +391,7 @@ fx.SQL["fx_moves"] = "select ticker, dt, coalesce(greatest(s, 0), 0) up, coalesc
 
 @query("win_rsi", f"select ticker, dt, case when g is null then null when l = 0 then 100.0 else 100-100/(1+g/l) end rsi14 from ({_ema('fx_moves', 'up', 1 / 14, 'g', 14)}) join ({_ema('fx_moves', 'down', 1 / 14, 'l', 14)}) using(ticker, dt)", d="rsi14", digits=5)
 def _(spark, d):
-    return X.rsi(_p300(spark, d)).select("ticker", "dt", "rsi14")
+    return X.rsi(fx.prices(spark, d)).select("ticker", "dt", "rsi14")
 
 
 fx.SQL["fx_tr"] = "select ticker, dt, r, coalesce(greatest(high-low, abs(high-pc), abs(low-pc)), high-low) tr from (select *, lag(close) over (partition by ticker order by dt) pc, row_number() over (partition by ticker order by dt) r from fx_bars_d)"

@@ -217,9 +217,7 @@ def _(spark, d):
 
 @query("k_indicators", "select ticker, dt, close, sma20, bb_upper from (select ticker, dt, close, avg(close) over w sma20, avg(close) over w + 2*stddev_pop(close) over w bb_upper, count(*) over (partition by ticker) c from fx_p300 window w as (partition by ticker order by dt rows between 19 preceding and current row)) where c >= 30 qualify row_number() over (partition by ticker order by dt desc) = 1", d="close sma20 bb_upper", digits=5)
 def _(spark, d):
-    from tideline.plans.analytics import _p300
-
-    return I.bundle(_p300(spark, d)).select("ticker", "dt", "close", "sma20", "bb_upper")
+    return I.bundle(fx.prices(spark, d)).select("ticker", "dt", "close", "sma20", "bb_upper")
 
 
 _SIG = "select ticker, arg_max(close, dt) c, arg_max(m, dt) m from (select ticker, dt, close, avg(close) over (partition by ticker order by dt rows between 19 preceding and current row) m from fx_prices) group by 1"
@@ -227,10 +225,7 @@ _SIG = "select ticker, arg_max(close, dt) c, arg_max(m, dt) m from (select ticke
 
 @query("k_signals", f"select ticker, case when round(c,6) > round(m,6) then 0.25 else -0.25 end score from ({_SIG})", d="score")
 def _(spark, d):
-    none = F.lit(None).cast("double")
-    last = X.tail(X.moving_averages(fx.prices(spark, d)), 1).withColumn("sma20", F.round("sma20", 6))
-    last = last.select("ticker", "close", "sma20", F.lit(50.0).alias("rsi14"), *[none.alias(c) for c in ("sma50", "sma200", "macd", "macd_signal", "bb_lower", "bb_upper", "volume", "volume_sma10")])
-    return I.scored(last).select("ticker", "score")
+    return I.scored(I.bundle(fx.prices(spark, d))).select("ticker", "score")
 
 
 # ---------------------------------------------------------------- stress
