@@ -93,3 +93,67 @@ def test_indicators_and_signals_are_of_the_last_day(spark, series, long_prices):
         rules += [1.0] if c <= mean(20) - 2 * sd else [-1.0] if c >= mean(20) + 2 * sd else []
         rules += [0.5] if volume / vol10 > 1.5 else []
         assert close_to(score[name], sum(rules) / len(rules))
+
+
+def test_ic_windows_reach_the_end(spark, monkeypatch):
+    from tideline import plans
+    from tideline.plans import fixtures as fx
+
+    rng = random.Random(5)
+    rets = {t: [round(rng.gauss(0, 0.01), 9) for _ in range(147 + 21 * 25)] for t in "ABCDE"}
+    df = spark.createDataFrame([(t, day(k), x) for t, xs in rets.items() for k, x in enumerate(xs)], "ticker string, dt date, ret double")
+    monkeypatch.setattr(fx, "returns", lambda s, d: df)
+    ranks, hits = {}, {t: [] for t in rets}
+    for w in range(26):
+        x, z = ({t: round(sum(xs[21 * w + a : 21 * w + b]), 9) for t, xs in rets.items()} for a, b in ((0, 126), (126, 147)))
+        for t in rets:
+            hits[t].append((x[t] > 0) == (z[t] > 0))
+            ranks[w, t] = tuple(sorted(v, key=lambda k: (v[k], k)).index(t) + 1 for v in (x, z))
+    ics = {w: 1 - 6 * sum((a - b) ** 2 for (k, _), (a, b) in ranks.items() if k == w) / (5 * 24) for w in range(26)}
+    assert {(r.w, r.ticker): (r.rx, r.ry) for r in plans.QUERIES["win_rank_ic"](spark, "").collect()} == ranks
+    got = {r.w: r.ic for r in plans.QUERIES["agg_spearman_ic"](spark, "").collect()}
+    assert set(got) == set(ics) and all(close_to(got[w], ics[w]) for w in ics)
+    summary = plans.QUERIES["agg_ic_summary"](spark, "").first()
+    assert summary.periods == 26 and close_to(summary.mean_ic, sum(ics.values()) / 26)
+    assert all(close_to(r.hit_rate, sum(hits[r.ticker]) / 26) for r in plans.QUERIES["agg_hit_rate"](spark, "").collect())
+
+
+def test_all_paths_and_all_parts(spark, monkeypatch):
+    import math
+
+    from tideline import plans
+    from tideline.plans import fixtures as fx
+
+    rng = random.Random(6)
+    orders = [(c * 10 + k, c, day(rng.randrange(900)), rng.uniform(1000, 400000)) for c in range(150, 300) for k in range(9)]
+    part = [(k, f"Brand#1{1 + k % 4}", k) for k in range(40)]
+    lines = [(rng.randrange(40), day(rng.randrange(20)), float(rng.randrange(1, 50)), rng.uniform(900, 9000)) for _ in range(600)]
+    tables = {
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double"),
+        "part": spark.createDataFrame(part, "p_partkey long, p_brand string, p_size int"),
+        "lineitem": spark.createDataFrame(lines, "l_partkey long, l_shipdate date, l_quantity double, l_extendedprice double"),
+    }
+    monkeypatch.setattr(fx, "table", lambda s, d, name: tables[name])
+    falls, called, totals = {}, {}, []
+    for c in range(150, 300):
+        nav = peak = 1.0
+        falls[c], called[c] = 0.0, False
+        for _, _, _, price in sorted((o for o in orders if o[1] == c), key=lambda o: (o[2], o[0])):
+            nav *= 1 + (price - 200000) / 4000000
+            peak = max(peak, nav)
+            falls[c], called[c] = min(falls[c], nav / peak - 1), called[c] or (nav - 0.7) / nav < 0.25
+        totals.append(nav - 1)
+    got = {r.path: r.drawdown for r in plans.QUERIES["win_drawdown_nav"](spark, "").collect()}
+    assert set(got) == set(falls) and all(close_to(got[c], falls[c]) for c in falls)
+    assert {r.path: r.called for r in plans.QUERIES["fn_margin"](spark, "").collect()} == called
+    tail = plans.QUERIES["agg_mc_tail"](spark, "").first()
+    at = sorted(totals)[7] + 0.45 * (sorted(totals)[8] - sorted(totals)[7])  # 0.05 x 149 = 7.45
+    assert close_to(tail.var_95, -at) and close_to(tail.p_loss_5, sum(t < -0.05 for t in totals) / 150)
+    assert abs(plans.QUERIES["agg_mc_decision"](spark, "").first().win_rate - sum(t > 0 for t in totals) / 150) <= 5.1e-5  # 4 digits
+    sums = {}
+    for k, dt, quantity, price in lines:
+        if part[k][1] != "Brand#14":
+            a = sums.setdefault((part[k][1], dt), [0.0, 0.0])
+            a[0], a[1] = a[0] + price, a[1] + quantity
+    closes = {(r.ticker, r.dt): r.close for r in plans.QUERIES["src_batch_close"](spark, "").collect()}
+    assert set(closes) == set(sums) and all(close_to(closes[k], 100 + 10 * math.log(a / b)) for k, (a, b) in sums.items())

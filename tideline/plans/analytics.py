@@ -215,7 +215,7 @@ _IC = "select w, count(*) n, 1-6*sum((rx-ry)^2)/(count(*)*(count(*)*count(*)-1.0
 
 
 def _ic_rows(spark, d):
-    win = X.window_ids(fx.returns(spark, d), 126, 21, 147).filter("w < 20").groupBy("w", "ticker")
+    win = X.window_ids(fx.returns(spark, d), 126, 21, 147).groupBy("w", "ticker")
     return win.agg(F.round(F.sum(F.when(F.col("pos") < 126, F.col("ret"))), 9).alias("x"), F.round(F.sum(F.when(F.col("pos") >= 126, F.col("ret"))), 9).alias("z"))
 
 
@@ -431,7 +431,7 @@ fx.SQL["fx_paths"] = "select o_custkey path, row_number() over (partition by o_c
 
 
 def paths(spark, d):
-    o = fx.table(spark, d, "orders").filter("o_custkey < 200")
+    o = fx.table(spark, d, "orders")
     step = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return o.select(F.col("o_custkey").alias("path"), step.alias("step"), ((F.col("o_totalprice") - 200000) / 4000000).alias("ret"))
 
