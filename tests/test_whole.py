@@ -157,3 +157,41 @@ def test_all_paths_and_all_parts(spark, monkeypatch):
             a[0], a[1] = a[0] + price, a[1] + quantity
     closes = {(r.ticker, r.dt): r.close for r in plans.QUERIES["src_batch_close"](spark, "").collect()}
     assert set(closes) == set(sums) and all(close_to(closes[k], 100 + 10 * math.log(a / b)) for k, (a, b) in sums.items())
+
+
+def test_correlations_use_every_residual_and_start_at_the_last_state(spark):
+    import numpy as np
+
+    from tideline.kernels.paths import simulate
+    from tideline.operators.optimise import path_model
+
+    rng = np.random.default_rng(8)
+    n = 900
+    x, y = rng.standard_normal((2, n))
+    y = np.where(np.arange(n) < 150, 0.95 * x + 0.3 * y, y)  # linked in the oldest rows only
+    rows = [(t, day(k), float(v) * 0.01) for t, s in (("A", x), ("B", y)) for k, v in enumerate(s)]
+    _, model, _ = path_model(spark.createDataFrame(rows, "ticker string, dt date, ret double"))
+    base = np.corrcoef(model.residuals.T)
+    assert len(model.residuals) == n and np.allclose(model.corr, base) and abs(base[0, 1] - np.corrcoef(model.residuals[-750:].T)[0, 1]) > 0.05
+    q, (a, b) = base, model.dcc
+    for e in model.residuals:
+        q = (1 - a - b) * base + a * np.outer(e, e) + b * q
+    assert np.allclose(model.start, q) and not np.allclose(q, base)
+    model.start, model.residuals, model.jumps = np.array([[1.0, 0.8], [0.8, 1.0]]), None, {}
+    first = simulate(model, 40_000, 1, "hawkes", np.random.default_rng(1))[:, 0]
+    assert abs(np.corrcoef(first.T)[0, 1] - 0.8) < 0.02
+
+
+@pytest.mark.parametrize("name", ["k_paths_hawkes", "k_paths_garch", "k_paths_gbm", "k_simulate", "k_mc_portfolio", "rep_montecarlo"])
+def test_path_queries_are_of_the_shipped_size(spark, monkeypatch, name):
+    from tideline import plans
+    from tideline.operators import montecarlo as C
+
+    sizes = []
+
+    def simulated(spark, model, weights, paths, steps, kind):
+        sizes.append((paths, steps))
+        return spark.createDataFrame([(0, 1, 0.01), (0, 2, -0.01), (1, 1, 0.02), (1, 2, -0.03)], "path long, step long, ret double")
+
+    monkeypatch.setattr(C, "simulate_portfolio", simulated)
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() and sizes == [(50_000, 21)]

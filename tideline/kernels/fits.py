@@ -143,6 +143,14 @@ def dcc(resid: np.ndarray) -> tuple[float, float, np.ndarray]:
     return (*best, base) if math.isfinite(loss(*best)) else (0.03, 0.93, base)
 
 
+def dcc_state(resid: np.ndarray, a: float, b: float, base: np.ndarray) -> np.ndarray:
+    """Q after the last row, from the long-run correlation on."""
+    q = base.copy()
+    for row in np.asarray(resid, float):
+        q = (1 - a - b) * base + a * np.outer(row, row) + b * q
+    return q
+
+
 def hawkes(r: np.ndarray, vol: np.ndarray, k: float = 2.0, decay: float = 0.5) -> dict:
     """Base rate, excitation, mean and sd of jumps from the extreme rows (beyond k volatilities)."""
     r, vol = np.asarray(r, float), np.asarray(vol, float)

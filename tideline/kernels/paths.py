@@ -9,7 +9,10 @@ import numpy as np
 
 @dataclass
 class Model:
-    """Per-asset daily mean, variance recursion, standardised residuals, correlations and jump intensities."""
+    """Per-asset daily mean, variance recursion, standardised residuals, correlations and jump intensities.
+
+    ``start`` is the state of the dynamic correlations after the last row; without it, ``corr``.
+    """
 
     mean: np.ndarray
     omega: np.ndarray
@@ -20,6 +23,7 @@ class Model:
     dcc: tuple[float, float] = (0.03, 0.93)
     residuals: np.ndarray | None = None
     jumps: dict = field(default_factory=dict)
+    start: np.ndarray | None = None
 
 
 def psd(m: np.ndarray, floor: float = 1e-8) -> np.ndarray:
@@ -66,7 +70,7 @@ def _garch(model: Model, paths: int, steps: int, rng: np.random.Generator) -> np
 def _hawkes(model: Model, paths: int, steps: int, rng: np.random.Generator) -> np.ndarray:
     """Variance recursions on the diffusion, correlations that follow standardised returns, self-exciting jumps."""
     n, (a, b), j = len(model.mean), model.dcc, model.jumps
-    var, q = np.tile(model.variance, (paths, 1)), np.tile(model.corr, (paths, 1, 1))
+    var, q = np.tile(model.variance, (paths, 1)), np.tile(model.corr if model.start is None else model.start, (paths, 1, 1))
     lam0, jump, decay = j.get("base", np.zeros(n)), j.get("excite", np.zeros(n)), j.get("decay", 0.5)
     lam, mu, sd = np.tile(lam0, (paths, 1)), j.get("mean", np.zeros(n)), j.get("sd", np.zeros(n))
     boot = model.residuals is not None and len(model.residuals) >= 50

@@ -146,13 +146,14 @@ def path_model(returns: DataFrame) -> tuple[list[str], Model, pd.DataFrame]:
     names = [c for c in wide.columns if c != "dt"]
     fit = [fits.garch(wide[c].to_numpy()) for c in names]
     resid = np.stack([g["resid"] for g in fit], 1)
-    a, b, base = fits.dcc(resid[-750:])
+    a, b, base = fits.dcc(resid)
+    base = psd(base)
     vol = [np.sqrt(np.maximum(fits._recursion((wide[c].to_numpy()) ** 2, 0.0, 0.06, 0.94, float(wide[c].var()))[:-1], 1e-16)) for c in names]
     jump = [fits.hawkes(wide[c].to_numpy(), v) for c, v in zip(names, vol)]
     arr = lambda rows, k: np.array([r[k] for r in rows], float)
     jumps = {k: arr(jump, k) for k in ("base", "excite", "mean", "sd")} | {"decay": 0.5}
     jumps["base"] = jumps["base"] * 0.5
-    return names, Model(arr(fit, "mean"), arr(fit, "omega"), arr(fit, "alpha"), arr(fit, "beta"), arr(fit, "next_var"), psd(base), (a, b), resid, jumps), wide
+    return names, Model(arr(fit, "mean"), arr(fit, "omega"), arr(fit, "alpha"), arr(fit, "beta"), arr(fit, "next_var"), base, (a, b), resid, jumps, fits.dcc_state(resid, a, b, base)), wide
 
 
 def walk_forward(aligned: DataFrame, train: int = 252, step: int = 63, span: int = 63, rf: float = 0.035) -> DataFrame:

@@ -66,7 +66,7 @@ def _(spark, d):
     return O.jump_fits(fx.returns_region(spark, d))
 
 
-def _simulated(spark, d, kind, n=4000, steps=21):
+def _simulated(spark, d, kind, n=50_000, steps=21):
     names, model, _ = _model(spark, d)
     w = dict((r["ticker"], r["weight"]) for r in _region_weights(spark).collect())
     return C.simulate_portfolio(spark, model, np.array([w[t] for t in names]), n, steps, kind)
@@ -89,12 +89,12 @@ def _(spark, d):
 
 @query("k_simulate")
 def _(spark, d):
-    return _simulated(spark, d, "hawkes", 2000, 5).groupBy("step").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
+    return _simulated(spark, d, "hawkes").groupBy("step").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
 
 
 @query("k_mc_portfolio")
 def _(spark, d):
-    nav = C.nav_paths(_simulated(spark, d, "hawkes", 50_000, 21)).cache()
+    nav = C.nav_paths(_simulated(spark, d, "hawkes")).cache()
     one = F.lit(1)
     cost = fx.holdings_eur(spark, d).agg(F.sum(S.trading_cost("market_value_eur", F.lit(500000.0))).alias("cost"))
     out = C.tail_metrics(nav).withColumn("k", one).join(C.decision_metrics(nav).withColumn("k", one), "k").join(cost.withColumn("k", one), "k")
@@ -519,7 +519,7 @@ def _(spark, d):
 
 @query("rep_montecarlo")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "garch", 2000, 21))).select("var_95", "cvar_95", "p_loss_5", "dd_mean")
+    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "garch"))).select("var_95", "cvar_95", "p_loss_5", "dd_mean")
 
 
 @query("rep_corr_break", "select sqrt(sum(x.weight*y.weight*cov)) sigma from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b", d="sigma")
