@@ -86,6 +86,24 @@ def test_one_group_over_all_shards(spark):
     assert sum(count.values()) == 100 and max(count.values()) - min(count.values()) <= 1
 
 
+def test_groups_that_fit_stay_whole(spark):
+    from tideline.llm.sharding import balance_shards
+
+    def spread(sizes, shards):
+        rows = [f"g{k}" for k, m in enumerate(sizes) for _ in range(m)]
+        rows += [f"own {k}" for k in range(-len(rows) % shards)]
+        out = balance_shards(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shards=shards).collect()
+        count, where = Counter(r.shard for r in out), defaultdict(set)
+        for r in out:
+            where[rows[r.doc_id]].add(r.shard)
+        assert len(out) == len(rows) and len(set(count.values())) == 1 and len(count) == shards
+        return [len(where[f"g{k}"]) for k in range(len(sizes))]
+
+    assert spread([80] * 8 + [20] * 8, 8) == [1] * 16  # each over half of a shard of 100, small ones beside them
+    assert spread([340] + [1] * 660, 10)[0] == 4  # over a shard: cut at 100, 100, 100 and 40
+    assert spread([60] * 4 + [40] * 4, 4) == [1] * 8  # each shard is filled by one of both
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

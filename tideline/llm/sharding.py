@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -11,14 +13,14 @@ from tideline.llm.common import dropped, written
 BUCKET_ROWS = 1024
 
 
-def balance_shards(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def balance_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Assigns every row of ``docs(doc_id, text, ...)`` to a shard; shard counts differ by one at most.
 
-    Links join rows of equal text. Labels start from a hash; in each round a link group's cells (its rows
-    in one shard) ask to move to the shard that holds most of the group, and a shard admits at most the
-    quota it has left (requests over it are thinned by a hash of the group). A group larger than half a
-    shard is cut into parts first. Rows without links are the filler: at the end, rows beyond a shard's
-    quota, unlinked ones first, move to shards that lack rows.
+    Links join rows of equal text. Labels start from a hash; in each round a link group asks for the shard
+    that holds most of it among those with room for all of it, and a shard admits groups, large ones first,
+    within the quota it has left; rounds end when no group left fits anywhere. Only a group larger than a
+    shard's quota is cut, at the quota. Rows without links are the filler: at the end, rows beyond a
+    shard's quota, unlinked ones first, move to shards that lack rows.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law ('rows'), shard, slot (0.. without gaps in
     each shard), grown_shard (null). Null texts have size 1, checksum 0 and are linked with one another
@@ -41,34 +43,88 @@ def balance_shards(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFr
     n = rows.count()
     quota = max(1, n // shards)
     linked = written(groups.filter("members > 1"), "shard-groups")
-    # a group over half a shard becomes parts, each a link group of its own
-    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / F.lit(max(1.0, quota / 2)))).cast("int")
     start = F.pmod(F.xxhash64("doc_id", "uid"), F.lit(shards)).cast("int")
     placed = written(
-        rows.join(linked.withColumn("parts", parts), "text_key", "left").select(
-            "doc_id", "size", "text_crc32", "uid", start.alias("start"), F.col("members").isNotNull().alias("linked"),
-            F.xxhash64("text_key", F.pmod(F.xxhash64("uid", F.lit(7)), F.coalesce("parts", F.lit(1)))).alias("unit"),
+        _parts(rows, linked, quota).join(linked, "text_key", "left").select(
+            "doc_id", "size", "text_crc32", "uid", start.alias("start"), F.col("members").isNotNull().alias("linked"), F.xxhash64("text_key", "part").alias("unit"),
         ),
         "shard-placed",
     )
     dropped(rows)
-    cells = written(placed.filter("linked").groupBy("unit", "start").agg(F.count("*").alias("n")).withColumn("shard", F.col("start")), "shard-cells")
-    for k in range(rounds):
-        held = cells.groupBy("unit", "shard").agg(F.sum("n").alias("held"))
-        want = held.groupBy("unit").agg(F.max(F.struct("held", (-F.col("shard")).alias("s"))).alias("best"))
-        asked = written(cells.join(want.select("unit", (-F.col("best.s")).alias("want")), "unit"), "shard-asked")
-        load = {r["shard"]: r["n"] for r in asked.filter("want = shard").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        come = {r["want"]: r["n"] for r in asked.filter("want != shard").groupBy("want").agg(F.sum("n").alias("n")).collect()}
-        if not come:
+    cells = written(placed.filter("linked").groupBy("unit", "start").agg(F.count("*").alias("n")), "shard-cells")
+    settled = _settled(cells, quota, shards)
+    moved = cells.select("unit", "start").join(settled, "unit")
+    labelled = placed.join(moved, ["unit", "start"], "left").withColumn("shard", F.coalesce("moved", "start"))
+    return _even(labelled, n, shards, (placed, cells, linked, settled))
+
+
+def _parts(rows: DataFrame, linked: DataFrame, quota: int) -> DataFrame:
+    """``rows`` with part: groups over the quota are numbered and cut at it, by buckets of rows; others are part 0."""
+    large = {r["text_key"]: r["members"] for r in linked.filter(F.col("members") > quota).collect()}  # fewer than shards
+    if not large:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    buckets = F.create_map(*[F.lit(x) for k, m in large.items() for x in (k, -(-m // BUCKET_ROWS))])
+    own = F.col("text_key").isin(list(large))
+    dealt = rows.filter(own).withColumn("bucket", F.pmod(F.xxhash64("uid", F.lit(7)), buckets[F.col("text_key")]))
+    counts = dealt.groupBy("text_key", "bucket").agg(F.count("*").alias("n"))
+    heads = counts.select("text_key", "bucket", (F.sum("n").over(W.partitionBy("text_key").orderBy("bucket")) - F.col("n")).alias("head"))
+    at = F.row_number().over(W.partitionBy("text_key", "bucket").orderBy("uid")) - 1
+    cut = dealt.withColumn("at", at).join(heads, ["text_key", "bucket"]).withColumn("part", F.floor((F.col("head") + F.col("at")) / quota).cast("long"))
+    return rows.filter(~own).withColumn("part", F.lit(0).cast("long")).unionByName(cut.drop("bucket", "at", "head"))
+
+
+def _settled(cells: DataFrame, quota: int, shards: int) -> DataFrame:
+    """unit, moved: the shard of each unit that fits whole into one.
+
+    Units of a sixteenth of a shard or more are few: the driver places them, the largest first. Requests of
+    the others are summed by (shard, size class, hash) and admitted on the driver while they fit; where no sum
+    fits, single units of a bounded number of requests do, so each round with a request admits one at least.
+    """
+    spark, room, k, large, done = cells.sparkSession, [quota] * shards, 0, [], []
+    held = F.sort_array(F.collect_list(F.struct("n", (-F.col("start")).alias("s"))), asc=False)
+    turn = f"pmod(xxhash64(unit), {shards})"
+    units = cells.groupBy("unit").agg(F.sum("n").alias("total"), held.alias("held")).withColumn("first", F.expr("transform(held, x -> -x.s)"))
+    rest = f"filter(transform(sequence(0, {shards - 1}), x -> cast(pmod(x + {turn}, {shards}) as int)), x -> not array_contains(first, x))"
+    pending = written(units.select("unit", "total", F.expr(f"concat(first, {rest})").alias("prefs")), "shard-units")
+    for r in sorted(pending.filter(F.col("total") * 16 >= quota).collect(), key=lambda r: (-r["total"], r["unit"])):  # 16 x shards at most
+        if (to := next((x for x in r["prefs"] if room[x] >= r["total"]), None)) is not None:
+            room[to] -= r["total"]
+            large.append((r["unit"], to))
+    rest_of = written(pending.filter(F.col("total") * 16 < quota), "shard-units")
+    dropped(pending)
+    pending = rest_of
+    while True:
+        rooms = "array(" + ",".join(f"{x}L" for x in room) + ")"
+        want = pending.withColumn("want", F.expr(f"get(filter(prefs, s -> {rooms}[s] >= total), 0)")).filter("want is not null")
+        asked = written(want.withColumn("class", F.floor(F.log2("total"))).withColumn("luck", F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(256))), "shard-asked")
+        dropped(pending)
+        key, sums = ["want", "class", "luck"], asked.groupBy("want", "class", "luck").agg(F.sum("total").alias("n")).collect()
+        if not sums:
             dropped(asked)
             break
-        share = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, min(1.0, max(0.0, quota - load.get(s, 0)) / max(1, come.get(s, 0))))])
-        luck = F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        moved = written(asked.select("unit", "start", "n", F.when(luck < share[F.col("want")], F.col("want")).otherwise(F.col("shard")).alias("shard")), "shard-cells")
-        dropped(cells, asked)
-        cells = moved
-    labelled = placed.join(cells.select("unit", "start", F.col("shard").alias("moved")), ["unit", "start"], "left").withColumn("shard", F.coalesce("moved", "start"))
-    return _even(labelled, n, shards, (placed, cells, linked))
+        admitted = _admitted(sums, key, room)
+        if not admitted:
+            key = ["want", "unit"]
+            admitted = _admitted(asked.select("want", "unit", "class", F.lit(0).alias("luck"), F.col("total").alias("n")).limit(10_000).collect(), key, room)
+        types = {"want": "int", "class": "long", "luck": "long", "unit": "long"}
+        yes = F.broadcast(spark.createDataFrame(admitted, ", ".join(f"{c} {types[c]}" for c in key)))  # sums or 10,000 rows at most
+        done.append(written(asked.join(yes, key, "left_semi").select("unit", F.col("want").alias("moved")), "shard-settled"))
+        pending = written(asked.join(yes, key, "left_anti").select("unit", "total", "prefs"), "shard-units")
+        dropped(asked)
+        k += 1
+    out = written(reduce(DataFrame.unionByName, done, spark.createDataFrame(large, "unit long, moved int")), "shard-settled")
+    dropped(*done)
+    return out
+
+
+def _admitted(asks: list, key: list[str], room: list[int]) -> list[tuple]:
+    """Keys of the requests that fit, large classes first; takes their rows from ``room``."""
+    out = []
+    for r in sorted(asks, key=lambda r: (-r["class"], r["luck"], *(r[c] for c in key))):
+        if r["n"] <= room[r["want"]]:
+            room[r["want"]] -= r["n"]
+            out.append(tuple(r[c] for c in key))
+    return out
 
 
 def _even(labelled: DataFrame, n: int, shards: int, used: tuple) -> DataFrame:
