@@ -295,6 +295,21 @@ def test_html_by_line_blocks_beside_an_article():
     assert main_lines([("x" * 200, 0, True), ("y" * 300, 0, False)]) == ["x" * 200, "y" * 300]
 
 
+def test_packing_of_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tideline.llm.packing import pack
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext", "x <|endoftext|>\n\n", "plain"]
+    docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    got = {p.doc_id: (p.start, p.doc_tokens, p.ids_crc32) for p in pack(docs, *args).collect()}
+    ids = [[*own.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 50256 in ids[0] and got == {k: (0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 def test_mixing(spark, docs, empty):
     from tideline.llm.mixing import mix_sources, mixed_documents, round_fractions
 

@@ -23,6 +23,8 @@ OFFSET_ROWS = 200_000
 
 _TOKENS = "doc_id long, queue string, block int, place long, n int, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, source string"
+#: The added token of the JSON file: it is one id wherever a text has it, also in the middle.
+SPECIAL = {"<|endoftext|>": 50256}
 _encoders: dict[str, object] = {}
 
 
@@ -33,19 +35,19 @@ def encoder(path: str, pattern: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
 def _tokens(path: str, pattern: str, eos: int):
     def run(batches):
-        encode, block, places = encoder(path, pattern).encode_ordinary, TaskContext.get().partitionId(), {}
+        encode, block, places = encoder(path, pattern).encode, TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 queues, ns, ids, place = part["queue"].to_pylist(), [], [], []
                 for queue, text in zip(queues, part["text"]):
-                    own = encode(text.as_py() or "")
+                    own = encode(text.as_py() or "", allowed_special=set(SPECIAL))
                     own.append(eos)
                     place.append(places.get(queue, 0))
                     places[queue] = place[-1] + len(own)
