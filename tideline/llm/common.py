@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
+_recorders: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +34,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tideline_path = path
+    for made in _recorders:
+        made.append(out)
     return out
 
 
+@contextmanager
+def recording():
+    """The tables that are written inside, so that their owner can drop them once its result is written."""
+    made: list[DataFrame] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [m for m in _recorders if m is not made]
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
@@ -49,6 +64,15 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A 64-bit hash of whole rows, whatever their columns are called and hold (nested ones as JSON)."""
+    kinds = dict(df.dtypes)
+    plain = lambda c: F.col(f"`{c}`") if not kinds[c].startswith(("map", "struct", "array", "variant")) else F.to_json(F.struct(F.col(f"`{c}`").alias("v")))
+    names = columns if columns is not None else df.columns
+    marks = F.concat_ws("", *[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in names])  # a null isn't skipped
+    return F.xxhash64(marks, *[plain(c) for c in names])
+
+
 # ---------------------------------------------------------------- byte tokenising with numpy
 
 _SPACE = np.zeros(256, bool)

@@ -64,23 +64,25 @@ def _labels(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.fromiter((own.find(x) for x in ids.tolist()), np.int64, len(ids)))], ["id", "component"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of ``edges(a long, b long)`` reaches, itself included.
 
     Every task first reduces its edges to a forest. A forest of at most ONE_TASK edges (counted) goes to
     a single task; a larger one to rounds of large-star / small-star: every vertex joins its larger
     neighbours to its least neighbour, then its smaller ones, until no edge changes. Each round is a
-    partial aggregation and a join on the vertex, written to the shared folder.
+    partial aggregation and a join on the vertex, written to the shared folder; rounds go on until nothing
+    changes (about the logarithm of the longest chain).
     """
     both = edges.filter("a is not null and b is not null and a != b").select("a", "b")
-    now = written(both.mapInArrow(_forests, "u long, v long"), "cc")
-    if now.count() <= ONE_TASK:
-        return now.coalesce(1).mapInArrow(_labels, "id long, component long")
-    now = written(now.distinct(), "cc")
+    forests = written(both.mapInArrow(_forests, "u long, v long"), "cc")
+    if forests.count() <= ONE_TASK:
+        out = written(forests.coalesce(1).mapInArrow(_labels, "id long, component long"), "cc")
+        dropped(forests)
+        return out
+    now = written(forests.distinct(), "cc")
+    dropped(forests)
     mark = _mark(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -92,7 +94,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, before, mark = following, mark, _mark(following)
         if mark == before:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = written(stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "cc")
+    dropped(now)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
