@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, dropped, small, written
+from tideline.llm.common import WORD, dropped, row_key, small, written
 
 #: Weights that the sources get in turn, in code-point order, null last.
 WEIGHTS = (5, 2, 1)
@@ -15,18 +15,22 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Rows of one leaf of the reduction tree, and children of an inner node.
 LEAF, FAN = 1024, 64
+#: Copies of so many rows are broadcast to the documents; more are joined by one shuffle of the texts.
+COPIES_ROWS = 500_000
+
+#: Equal rows that stay in one leaf; more of them are spread over leaves.
+RUN = 64
 
 _NO_ID = -(1 << 63)  # stands for a null doc_id where pandas would make floats of all
-_ROUNDED = "source string, bucket long, doc_id long, size long, base long, p double, up boolean"
+_ROUNDED = "source string, bucket long, doc_id long, row_key long, size long, base long, p double, up boolean"
 
 
-def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
-    """Per source: rows, source_size and target, by weighted shares with capped and reshared excess.
+def source_targets(per: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
+    """``per(source, rows, source_size)`` with target, by weighted shares with capped and reshared excess.
 
     The caps bind in the order of most*size/weight; the first source under the common level ends it,
     so one cumulative sum over the table of sources replaces repeated resharing.
     """
-    per = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
     turn = W.orderBy(F.col("source").asc_nulls_last())
     one = W.orderBy("knee", F.col("source").asc_nulls_last())
     before = one.rowsBetween(W.unboundedPreceding, -1)
@@ -95,7 +99,7 @@ def _pivot(seed: int, last: bool):
     """Rounds one node of the tree; the fraction that is left goes up, or is drawn at the root."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id", "row_key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         name = "\0null" if key[0] is None or key[0] != key[0] else f"s{key[0]}"
         luck = np.random.Generator(np.random.PCG64([seed, int(key[1]), *name.encode()])).random(len(rows) + 1)
         p = round_fractions(rows["p"].to_numpy(float), rows["size"].to_numpy(float), luck)
@@ -103,47 +107,36 @@ def _pivot(seed: int, last: bool):
         if last:
             p, up = np.where(up, luck[-1] < p, p).astype(float), np.zeros(len(p), bool)
         rows["p"], rows["up"] = p, up
-        return rows[["source", "bucket", "doc_id", "size", "base", "p", "up"]]
+        return rows[["source", "bucket", "doc_id", "row_key", "size", "base", "p", "up"]]
 
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
-    """Copies for every row of ``docs(doc_id, text, source)``, so that sources' words meet their targets.
-
-    Every row of a source asks for target / source_size copies. The whole part is taken as it is; the
-    fractions are rounded by pivotal sampling: two fractional rows trade words, in the direction that
-    chance picks without bias, until one of them is 0 or 1. Leaves are hash buckets of a source with
-    about LEAF rows, so a hot source has many; a leaf leaves one fractional row at most, its smallest
-    where possible, and a tree of fan-in FAN combines those. A source's taken words miss its target by
-    the share of one document, mostly a small one. Seeds come from the source and the node, rows are
-    ordered by size and doc_id: reruns agree.
-
-    Returns doc_id, size, source_size, target, taken, copies, source. Null text: size 0; rows of size 0
-    get the whole part only. Null source: a source of its own, ordered last. Repeated rows count apart.
-    """
-    rows = written(
-        docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "mix-sizes",
-    )
-    targets = written(source_targets(rows, weights, most), "mix-targets")
+def _rounded(docs: DataFrame, weights: tuple, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their copies, targets by source), both written; a row is known by its doc_id and row_key."""
+    sized = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(docs).alias("row_key"))
+    rows = written(sized.groupBy("doc_id", "source", "size", "row_key").agg(F.count("*").alias("m")), "mix-sizes")
+    per = written(rows.groupBy("source").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("size")).alias("source_size")), "mix-sums")
+    targets = written(source_targets(per, weights, most), "mix-targets")
     wanted = small(targets.withColumnRenamed("source", "s"))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     leaves = F.greatest(F.lit(1), F.ceil(F.col("rows") / LEAF)).cast("long")
     asked = (
-        rows.join(wanted, F.col("source").eqNullSafe(F.col("s")))
+        rows.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+        .join(wanted, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("ratio", ratio)
         .withColumn("base", F.floor(F.col("ratio") + 1e-12))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - F.col("base"))).otherwise(F.lit(0.0)))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), leaves))
-        .select("source", "bucket", "doc_id", "size", "base", "p", F.lit(True).alias("up"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_key", F.floor(F.col("turn") / RUN)), leaves))
+        .select("source", "bucket", "doc_id", "row_key", "size", "base", "p", F.lit(True).alias("up"))
     )
     top = targets.agg(F.max(F.ceil(F.col("rows") / LEAF))).first()[0] or 1
-    done, level, width = [], asked, int(top)
+    done, above, level, width = [], [], asked, int(top)
     while True:
         last = width <= 1
         out = written(level.groupBy("source", "bucket").applyInPandas(_pivot(seed + len(done), last), _ROUNDED), "mix-level")
         done.append(out.filter("not up"))
+        above.append(out)
         if last:
             break
         level = out.filter("up").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
@@ -151,18 +144,53 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, s
     rounded = done[0]
     for more in done[1:]:
         rounded = rounded.unionByName(more)
-    copies = F.col("base") + F.round("p").cast("long")
+    if len(above) > 1:
+        rounded = written(rounded, "mix-rounded")
+        dropped(*above)
+    dropped(rows, per)
+    return rounded.withColumn("copies", F.col("base") + F.round("p").cast("long")), targets
+
+
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
+    """Copies for every row of ``docs(doc_id, text, source)``, so that sources' words meet their targets.
+
+    Every row of a source asks for target / source_size copies. The whole part is taken as it is; the
+    fractions are rounded by pivotal sampling: two fractional rows trade words, in the direction that
+    chance picks without bias, until one of them is 0 or 1. Leaves are hash buckets of a source with
+    about LEAF rows, so a hot source has many; a leaf leaves one fractional row at most, its smallest
+    where possible, and a tree of fan-in FAN combines those. A source's taken words miss its target by
+    the share of one document, mostly a small one. Seeds come from the source and the node, rows are
+    ordered by size, doc_id and content: reruns agree.
+
+    Returns doc_id, size, source_size, target, taken, copies, source. Null text: size 0; rows of size 0
+    get the whole part only, as do texts of white space only. Null source: a source of its own, ordered
+    last. Null doc_ids stay null and repeated rows count apart (both are told apart by content, and equal
+    rows are spread over leaves in runs of RUN). Long texts are counted whole. An empty table gives no
+    rows. Columns of ``docs`` named like an output are not read.
+    """
+    rounded, targets = _rounded(docs, weights, most, seed)
     back = small(targets.withColumnRenamed("source", "s"))
     return rounded.join(back, F.col("source").eqNullSafe(F.col("s"))).select(
         F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
-        (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source",
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", "source",
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` repeated as often as the mix takes them; columns stay as they are."""
-    copies = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.collect_list("copies").alias("_mix_many"))
-    turn = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    packed = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_doc"), F.row_number().over(turn).alias("_mix_row"))
-    joined = packed.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_n", F.expr("get(_mix_many, _mix_row - 1)")).filter("_mix_n > 0").select(F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy"), "_mix_doc").select("_mix_doc.*")
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` repeated as often as the mix takes them; columns stay as they are.
+
+    A row meets its copies by doc_id and a hash of the whole row, so rows that share a doc_id (or have
+    none) get their own; only rows that are equal throughout are interchangeable, and one of them stands
+    for all copies of them. Texts move once, to the copies' keys; copies under a checked number of rows
+    are broadcast instead, and no text moves. An empty table gives no rows.
+    """
+    rounded, _ = _rounded(docs, weights, most, seed)
+    taken = rounded.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_m")).filter("_mix_n > 0")
+    taken = written(taken.select(F.col("doc_id").alias("_mix_id"), F.col("row_key").alias("_mix_key"), "_mix_n", "_mix_m"), "mix-taken")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_mix_id"), row_key(docs).alias("_mix_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_doc"))
+    keys = ["_mix_id", "_mix_key"]
+    out = keyed.join(small(taken.filter("_mix_m = 1"), COPIES_ROWS), keys)
+    if (repeated := written(taken.filter("_mix_m > 1"), "mix-repeated")).count():
+        of_equal = keyed.join(small(repeated, COPIES_ROWS), keys).groupBy(*keys).agg(F.first("_mix_doc").alias("_mix_doc"), F.first("_mix_n").alias("_mix_n"), F.first("_mix_m").alias("_mix_m"))
+        out = out.unionByName(of_equal.select(*out.columns))
+    return out.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n"))).alias("_mix_copy"), "_mix_doc").select("_mix_doc.*")
