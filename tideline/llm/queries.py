@@ -28,7 +28,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.ngram_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.toxicity import judge_toxicity
 
-    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    from pyspark.sql import functions as F
+
+    out = judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
