@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small, written
-from tideline.llm.graphs import components
+from tideline.llm.common import dropped, written
+from tideline.llm.graphs import Forest, components
 
 COSINE = 0.95
 #: Vectors of a shard and of a block of queries; least number of shards.
@@ -136,11 +136,44 @@ class SmallWorld:
         return self._beam(self.layers[-1][1], q, self._descend(q, len(self.layers) - 1)[:, None], width)
 
 
-def audited_beam(index: SmallWorld, q: np.ndarray, least: float) -> int:
-    """Doubles the beam until audits find RECALL of the links that brute force finds.
+    def saved(self) -> tuple[list[bytes], list[bytes]]:
+        """Nodes and links of all layers, the sparsest first."""
+        return [nodes.astype(np.int64).tobytes() for nodes, _ in self.layers], [links.tobytes() for _, links in self.layers]
+
+    @classmethod
+    def loaded(cls, x: np.ndarray, nodes: list[bytes], links: list[bytes]) -> SmallWorld:
+        """The graph over ``x`` that ``saved`` wrote."""
+        out = cls.__new__(cls)
+        out.x = x
+        out.layers = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int32).reshape(len(x), -1)) for a, b in zip(nodes, links)]
+        return out
+
+    def linked(self, q: np.ndarray, width: int, least: float) -> list[np.ndarray]:
+        """Nodes of about ``least`` or more for each query; a beam is doubled while its last node is still one.
+
+        A beam of a quarter of the graph would cost more than a scan, so a scan ends the doubling.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        left = np.arange(len(q))
+        while len(left):
+            if width * 4 >= len(self.x):
+                for k in left.tolist():
+                    out[k] = np.flatnonzero(self.x @ q[k] >= least - 1e-4)
+                break
+            found, sims = self.search(q[left], width)
+            full = sims[:, -1] >= least - 1e-4
+            for k in np.flatnonzero(~full).tolist():
+                out[left[k]] = found[k][sims[k] >= least - 1e-4]
+            left, width = left[full], width * 2
+        return out
+
+
+def audited_beam(index: SmallWorld, q: np.ndarray, least: float) -> tuple[int, int, int]:
+    """(beam, links found, links there): doubles the beam until audits find RECALL of what brute force finds.
 
     An audit asks for sampled queries, and for sampled vectors of the shard moved to a cosine just over
-    ``least``, so that there are links to be found in any shard.
+    ``least``, so that there are links to be found in any shard. Each probe is searched as queries are,
+    with a beam that widens past its last link.
     """
     rng = np.random.Generator(np.random.PCG64(3))
     seeds = index.x[np.linspace(0, len(index.x) - 1, min(AUDIT, len(index.x))).astype(int)]
@@ -150,104 +183,102 @@ def audited_beam(index: SmallWorld, q: np.ndarray, least: float) -> int:
     near = min(1.0, least + 0.005)
     planted = near * seeds + np.sqrt(1 - near * near) * noise
     probe = np.concatenate([q[np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)], planted.astype(np.float32)])
-    truth = probe @ index.x.T >= least
-    width = BEAM
-    while width < len(index.x):
-        ids, _ = index.search(probe, width)
-        hit = total = 0
-        for k in range(len(probe)):
-            close = np.flatnonzero(truth[k])
-            if len(close) < width:  # more than the beam holds is widened query by query
-                hit, total = hit + int(np.isin(close, ids[k]).sum()), total + len(close)
-        if hit >= RECALL * total:
-            break
+    truth = [np.flatnonzero(row >= least) for row in probe @ index.x.T]
+    total, width = sum(map(len, truth)), BEAM
+    while True:
+        hit = sum(int(np.isin(close, got).sum()) for close, got in zip(truth, index.linked(probe, width, least)))
+        if hit >= RECALL * total or width * 4 >= len(index.x):
+            return width, hit, total
         width *= 2
-    return min(width, len(index.x))
 
 
-def _find(root: dict, a: int) -> int:
-    while root.get(a, a) != a:
-        root[a] = root.get(root[a], root[a])
-        a = root[a]
-    return a
+def _unit(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / (np.linalg.norm(x / top, axis=1, keepdims=True) * top)
+
+
+_GRAPH = "dim int, shard int, names binary, members binary, vectors binary, nodes array<binary>, links array<binary>"
+
+
+def _build(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+    """The graph of a shard, as one row."""
+    shard = shard.sort_values("name")
+    x = np.stack(shard["embedding"].to_numpy()).astype(np.float64)
+    nodes, links = SmallWorld(_unit(x).astype(np.float32)).saved()
+    whole = [shard[c].to_numpy().astype(np.int64).tobytes() for c in ("name", "members")]
+    return pd.DataFrame([[int(key[0]), int(key[1]), *whole, x.tobytes(), nodes, links]], columns=[f.split()[0] for f in _GRAPH.split(", ")])
+
+
+_FOUND = "vec long, other long, n long, hit long, total long"
 
 
 def _search(least: float):
-    """One block of queries against one shard: per query its links' weight, and a forest of the links."""
-
-    def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vec": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        if not len(shard) or not len(queries):
-            return empty
-        shard = shard.sort_values("cls")
-        wide = np.stack(shard["embedding"].to_numpy()).astype(np.float64)
-        wide /= np.linalg.norm(wide / np.abs(wide).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(wide).max(1, keepdims=True)
-        q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        q /= np.linalg.norm(q / np.abs(q).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(q).max(1, keepdims=True)
-        ids, weight, names = shard["cls"].to_numpy(), shard["members"].to_numpy(), queries["cls"].to_numpy()
-        index = SmallWorld(wide.astype(np.float32))
-        narrow = q.astype(np.float32)
-        beam = audited_beam(index, narrow, least)
-        counts, root, edges = np.zeros(len(q), np.int64), {}, []
-
-        def take(k: int, near: np.ndarray) -> None:
-            near = near[(wide[near] @ q[k] >= least) & (ids[near] != names[k])]
-            counts[k] = weight[near].sum()
-            a = _find(root, int(names[k]))
-            for b in ids[near].tolist():
-                other = _find(root, b)
-                if other != a:
-                    root[max(a, other)] = min(a, other)
-                    edges.append((int(names[k]), b))
-                    a = min(a, other)
+    """One block of queries against the graph of one shard: per query its links' weight, a forest of the links, and the audit."""
 
+    def run(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        columns = [f.split()[0] for f in _FOUND.split(", ")]
+        if not len(graph) or not len(queries):
+            return pd.DataFrame(np.zeros((0, 5), np.int64), columns=columns)
+        own = graph.iloc[0]
+        ids, weight = np.frombuffer(own["names"], np.int64), np.frombuffer(own["members"], np.int64)
+        wide = _unit(np.frombuffer(own["vectors"], np.float64).reshape(len(ids), -1))
+        q, names = _unit(np.stack(queries["embedding"].to_numpy()).astype(np.float64)), queries["name"].to_numpy()
+        index = SmallWorld.loaded(wide.astype(np.float32), list(own["nodes"]), list(own["links"]))
+        narrow = q.astype(np.float32)
+        beam, hit, total = audited_beam(index, narrow, least)
+        forest, rows = Forest(), [(0, 0, -1, hit, total)]
         for at in range(0, len(q), _LOCKSTEP):
-            left, width = np.arange(at, min(at + _LOCKSTEP, len(q))), beam
-            while len(left):
-                if width * 4 >= len(ids):  # a beam that wide is a scan
-                    for k in left.tolist():
-                        take(k, np.flatnonzero(wide @ q[k] >= least))
-                    break
-                found, sims = index.search(narrow[left], width)
-                full = sims[:, -1] >= least - 1e-4  # links up to the beam's end: widen
-                for k in np.flatnonzero(~full).tolist():
-                    take(int(left[k]), found[k][sims[k] >= least - 1e-4])
-                left, width = left[full], width * 2
-        out = pd.DataFrame({"vec": names, "other": np.full(len(names), -1), "n": counts})
-        if edges:
-            a, b = np.array(edges).T
-            out = pd.concat([out, pd.DataFrame({"vec": a, "other": b, "n": np.zeros(len(a), np.int64)})])
-        return out
+            for k, near in enumerate(index.linked(narrow[at : at + _LOCKSTEP], beam, least), at):
+                name = int(names[k])
+                near = near[(wide[near] @ q[k] >= least) & (ids[near] != name)]
+                rows.append((name, name, int(weight[near].sum()), 0, 0))
+                for b in ids[near].tolist():
+                    if forest.find(name) != forest.find(b):
+                        forest.join(name, b)
+                        rows.append((name, b, 0, 0, 0))
+        return pd.DataFrame(np.array(rows, np.int64), columns=columns)
 
     return run
 
 
-def near_embeddings(rows: DataFrame, least: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``rows(vec_id, embedding, ...)``.
+def near_embeddings(rows: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """vec_id, n_links, component_id, kept, audit_recall for every row of ``rows(vec_id, embedding, ...)``.
+
+    Equal vectors form a class first (known by a 64-bit hash); each class is in the small-world graph of one
+    shard. A shard's graph is built once and written; then blocks of queries are searched in every shard.
+    Beams widen until audits against brute force pass and past the last link of every query; cosines are
+    checked in double precision. audit_recall is the share of the audits' links that the chosen beams found.
 
-    Equal vectors form a class first; each class is in the small-world graph of one shard and is queried
-    against every shard, in blocks. Beams widen until audits against brute force pass and past the last
-    link of every query; cosines are checked in double precision. Vectors that are null, empty, zero, or
-    hold a null or non-finite component link with nothing; vectors of different lengths don't link.
-    Repeated rows of one vec_id link with each other as rows do. An empty table gives no rows.
+    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; vectors of
+    different lengths don't link. Rows without vec_id link like others; they are never kept where a row with
+    an id is in their component, and component_id is null where none is. Repeated rows of one vec_id link
+    with each other as rows do. An empty table gives no rows; other columns aren't read, whatever their names.
     """
-    spark = rows.sparkSession
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    base = rows.select("vec_id", "embedding", F.coalesce(good, F.lit(False)).alias("good"))
-    classes = base.filter("good").groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("members"))
+    base = rows.select("vec_id", "embedding", F.coalesce(good, F.lit(False)).alias("good")).withColumn("name", F.when(F.col("good"), F.xxhash64("embedding")))
+    classes = base.filter("good").groupBy("name").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("members"), F.first("embedding").alias("embedding"))
     classes = written(classes.withColumn("dim", F.size("embedding")), "near-classes")
     n = classes.count()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(LEAST_SHARDS, -(-n // QUERY_ROWS))
-    place = lambda salt, k: F.pmod(F.xxhash64("cls", F.lit(salt)), F.lit(k)).cast("int")
-    kept = classes.select("cls", "members", "embedding", "dim")
-    shard_side = kept.withColumn("shard", place(1, shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shards, blocks = max(least_shards, -(-n // shard_rows)), max(least_shards, -(-n // query_rows))
+    place = lambda salt, k: F.pmod(F.xxhash64("name", F.lit(salt)), F.lit(k)).cast("int")
+    kept = classes.select("name", "members", "embedding", "dim")
+    graphs = written(kept.withColumn("shard", place(1, shards)).groupBy("dim", "shard").applyInPandas(_build, _GRAPH), "near-graphs")
+    graph_side = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     query_side = kept.withColumn("block", place(2, blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ("dim", "shard", "block")
-    found = shard_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInPandas(_search(least), "vec long, other long, n long")
-    found = written(found, "near-found")
-    comp = components(found.filter("other >= 0").select(F.col("vec").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("vec").agg(F.sum("n").alias("n"))
-    table = classes.join(links, F.col("cls") == F.col("vec"), "left").join(comp, F.col("cls") == F.col("id"), "left")
-    table = written(table.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")), "near-table")
-    joined = base.join(table, F.col("good") & (F.col("embedding") == F.col("e")), "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
+    found = written(graph_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInPandas(_search(least), _FOUND), "near-found")
+    audit = found.agg(F.sum("hit").alias("hit"), F.sum("total").alias("total")).first()
+    recall = float(audit["hit"]) / audit["total"] if audit["total"] else 1.0
+    comp = components(found.filter("vec != other").select(F.col("vec").alias("a"), F.col("other").alias("b")))
+    links = found.filter("n >= 0").groupBy("vec").agg(F.sum("n").alias("n"))
+    table = classes.join(links, F.col("name") == F.col("vec"), "left").join(comp, F.col("name") == F.col("id"), "left")
+    table = table.select("name", "least_id", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "name").alias("group"))
+    table = written(table, "near-links")
+    dropped(classes, graphs, found, comp)
+    named = written(table.join(table.groupBy("group").agg(F.min("least_id").alias("component")), "group").select("name", "n_links", "component"), "near-table")
+    dropped(table)
+    joined = base.select("vec_id", "name").join(named, "name", "left")
+    return joined.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
+        F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.col("component").isNull()).alias("kept"), F.lit(recall).alias("audit_recall"),
+    )
