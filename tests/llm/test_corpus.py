@@ -147,22 +147,116 @@ def test_windows_hold_target_proportions():
     assert [plan.granted(q, 10**6) for q in range(3)] == totals
 
 
+def test_packing_plan_is_deficit_round_robin():
+    """The closed form against rounds that are played one after the other, with deficits and queues that run dry."""
+    from fractions import Fraction
+
+    from tideline.llm.packing import Plan
+
+    rng = random.Random(1)
+    for _ in range(150):
+        totals, window = [rng.randrange(1, 80) for _ in range(rng.randrange(1, 5))], rng.choice([1, 3, 8, 16])
+        weights = [rng.randrange(1, 6) for _ in totals] if rng.random() < 0.7 else None
+        plan, w = Plan(totals, window, weights), weights or totals
+        sent, credit = [0] * len(totals), [Fraction(0)] * len(totals)
+        for turn in range(-(-sum(totals) // window)):
+            quantum = Fraction(min(window, sum(totals) - turn * window))
+            while quantum:  # shared out until every queue is dry or the round's tokens are granted
+                live = [q for q in range(len(totals)) if credit[q] < totals[q]]
+                step = min([quantum / sum(w[q] for q in live), *((totals[q] - credit[q]) / w[q] for q in live)])
+                for q in live:
+                    credit[q] += step * w[q]
+                    quantum -= step * w[q]
+            sent = [int(c) for c in credit]  # the rest of a token is the deficit
+            assert [plan.granted(q, turn + 1) for q in range(len(totals))] == sent
+        assert sent == totals
+        place = {}
+        for q, total in enumerate(totals):
+            at = 0
+            while at < total:
+                n = min(rng.randrange(1, 9), total - at)
+                for start, take, p, k in plan.pieces(q, at, n, 7):
+                    assert plan.granted(q, k) <= at + start and at + start + take <= plan.granted(q, k + 1)
+                    assert p // 7 == (p + take - 1) // 7 and not any(p + j in place for j in range(take))
+                    place.update({p + j: (q, at + start + j) for j in range(take)})
+                at += n
+        assert sorted(place) == list(range(sum(totals)))
+
+
+def test_packing_by_weights(spark):
+    import public_tokenizers
+
+    from tideline.llm.packing import pack
+
+    docs = spark.createDataFrame([(k, prose(random.Random(k), 40), ["a", "b", None][k % 3]) for k in range(300)], "doc_id long, text string, source string")
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    pieces = pack(docs, *args, length=256, window_sequences=4, weights={"a": 6, None: 3}).collect()
+    share = defaultdict(Counter)
+    for p in pieces:
+        share[p.window][p.source] += p.length
+    for w in range(4):
+        assert all(abs(share[w][s] - 1024 * x / 10) <= 3 for s, x in (("a", 6), (None, 3), ("b", 1)))
+    assert sum(p.length for p in pieces) == pack(docs, *args).agg(F.sum("length")).first()[0]
+    with pytest.raises(ValueError):
+        pack(docs, *args, weights={"a": 0})
+
+
+def test_packing_of_many_sources(spark):
+    import public_tokenizers
+
+    from tideline.llm.packing import pack
+
+    docs = spark.createDataFrame([(k, "a few words", f"s{k % 1500}") for k in range(1600)], "doc_id long, text string, source string")
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert len({p.source for p in pieces}) == 1500 and all(p.source.startswith("s") and "#" not in p.source for p in pieces)
+
+
 def test_ngram_join(docs, empty):
     from tideline.llm.ngram_join import similar_documents
 
     assert similar_documents(empty).count() == 0
     rows = [r for r in {r[0]: r for r in rows_of()}.values() if r[0] is not None]
+    for size, percent in ((4, 85), (5, 80)):
+        sets = [shingles_of(r[1], size) for r in rows]
+        comp = components_of(sets, lambda a, b: bool(a) and 100 * len(a & b) >= percent * len(a | b))
+        found = similar_documents(docs, size, percent).collect()
+        out = {r.doc_id: r for r in found}
+        for r, s, c in zip(rows, sets, comp):
+            assert (out[r[0]].n_shingles, out[r[0]].component_id) == (len(s), rows[c][0]), r[0]
+        assert len(found) == len(rows_of())
+
 
-    def shingles(t):
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        return frozenset(zip(*(w[k:] for k in range(4)))) if len(w) >= 4 else frozenset([tuple(w)]) if w else frozenset()
+def shingles_of(t, size):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(zip(*(w[k:] for k in range(size)))) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
 
-    sets = [shingles(r[1]) for r in rows]
-    comp = components_of(sets, lambda a, b: bool(a) and 100 * len(a & b) >= 85 * len(a | b))
-    out = {r.doc_id: r for r in similar_documents(docs).collect()}
-    for r, s, c in zip(rows, sets, comp):
-        assert (out[r[0]].n_shingles, out[r[0]].component_id) == (len(s), rows[c][0]), r[0]
-    assert similar_documents(docs).count() == len(rows_of())
+
+def test_ngram_join_of_rows_without_doc_id(spark):
+    """Near copies link by their texts: ids may be null, or shared by different texts."""
+    from tideline.llm.ngram_join import similar_documents
+
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 150, x).split() for x in "abc")
+    edit = lambda t, k: " ".join([*t[:k], f"edit{k}", *t[k + 1 :]])
+    rows = [(None, edit(a, 9)), (7, " ".join(a)), (None, edit(a, 90)), (None, " ".join(b)), (None, edit(b, 3)), (5, edit(c, 1)), (5, "own words here are few"), (9, edit(c, 140)), (None, None), (None, " ".join(b))]
+    out = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, r.component_id) for r in out)
+    assert got == Counter([(None, 7), (7, 7), (None, 7), (None, None), (None, None), (None, None), (None, None), (5, 5), (5, 5), (9, 5)])
+    groups = Counter(r.group for r in out)
+    assert sorted(groups.values()) == [1, 1, 2, 3, 3]  # no words; few words; c; a; b
+
+
+def test_long_lists_go_out_as_they_come():
+    import pyarrow as pa
+
+    from tideline.llm import ngram_join as J
+
+    key = np.sort(np.r_[np.arange(50), np.full(1000, 20)])
+    name, n = np.arange(len(key)) * 7 + 1, np.full(len(key), 30, np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 90]), pa.array(name[k : k + 90]), pa.array(n[k : k + 90]), pa.array(np.zeros(len(key[k : k + 90]), np.int32))], ["key", "name", "n", "at"]) for k in range(0, len(key), 90)]
+    for most in (100, 10**6):
+        out = pa.Table.from_batches(list(J._lists(85, most)(iter(batches)))).to_pylist()
+        assert {r["x"] for r in out if r["y"] is None and r["key"] == 20} == set(name[key == 20].tolist()) and not any(r["y"] for r in out)
 
 
 def test_ngram_join_of_a_large_loose_group(spark):
@@ -207,6 +301,50 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_against_numpy(spark):
+    """Training and scores against the same regression in NumPy; long urls, repeated rows and clashing columns."""
+    from tideline.llm import urls as U
+
+    labelled = spark.createDataFrame(U.labelled_rows()[::9], "url string, label int")
+    bags = labelled.withColumn("x", U.grams(U.host_of(F.col("url")), U.path_of(F.col("url")))).orderBy(F.xxhash64("url"), "url", "label").collect()
+    x, y = np.zeros((len(bags), U.DIM)), np.array([float(r.label) for r in bags])
+    for row, r in zip(x, bags):
+        text = [c for part, n in ((f"^{U_host(r.url)}$", 3), (f"^{U_host(r.url)}$", 4), (">" + re.sub("[0-9]", "0", U_path(r.url)), 3), (">" + re.sub("[0-9]", "0", U_path(r.url)), 4)) for c in [part[i : i + n] for i in range(len(part) - n + 1)]]
+        assert len(text) == len(r.x)
+        np.add.at(row, r.x, 1 / max(1, len(r.x)) ** 0.5)
+    w = np.zeros(U.DIM + 1)
+    for _ in range(U.EPOCHS):
+        for k in range(0, len(y), U.BATCH):
+            e = (y[k : k + U.BATCH] - 1 / (1 + np.exp(-(x[k : k + U.BATCH] @ w[:-1] + w[-1])))) * U.RATE
+            w = w * (1 - U.DECAY) + np.r_[e @ x[k : k + U.BATCH], e.sum()]
+    assert np.allclose(U.train(labelled), w, atol=1e-9)
+    long = "https://casino.example.com/" + "é" * 100_000
+    pages = spark.createDataFrame([(1, long, "v"), (2, bags[0].url, "v"), (2, bags[0].url, "v"), (None, None, None)], "page_id long, url string, verdict string")
+    out = U.judge_urls(pages, rules=(), labelled=labelled).collect()
+    score = 1 / (1 + np.exp(-(x[0] @ w[:-1] + w[-1])))
+    assert len(out) == 4 and [r.score for r in out if r.page_id == 2] == pytest.approx([score, score], abs=1e-9) and all(r.verdict in ("allow", "block") for r in out)
+    with pytest.raises(ValueError):
+        U.train(spark.range(U.MOST_LABELLED + 1).select(F.lit("http://a/").alias("url"), F.lit(1).alias("label")))
+
+
+def U_host(url):
+    return re.search("://([^/?#]*)", url)[1].lower()
+
+
+def U_path(url):
+    return re.search("://[^/?#]*([^?#]*)", url)[1]
+
+
+def test_url_model_on_held_out_rows(spark):
+    from tideline.llm import urls as U
+
+    rows = U.labelled_rows()
+    held = [r for k, r in enumerate(rows) if k % 5 == 0]
+    learn = spark.createDataFrame([r for k, r in enumerate(rows) if k % 5], "url string, label int")
+    out = {r.page_id: r.verdict for r in U.judge_urls(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string"), rules=(), labelled=learn).collect()}
+    assert np.mean([out[k] == ("block" if y else "allow") for k, (_, y) in enumerate(held)]) >= 0.9
+
+
 def test_quality(docs, empty):
     from tideline.llm.quality import judge_quality
 
@@ -223,6 +361,87 @@ def test_quality(docs, empty):
         assert o.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (o.base_failed and o.kept)
 
 
+def test_quality_fences_come_from_quantiles(spark):
+    """Fences against exact quartiles, for groups large and small; the verdict against plain Python."""
+    from tideline.llm import quality as Q
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(3000):
+        lang, source = ("en", ["big", "tables", "few"][0 if k % 10 < 6 else 1 if k % 10 < 9 else 2]) if k % 300 else (None, None)
+        words = [f"{rng.choice('abcdefgh') * rng.randrange(2, 8)}{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 90))]
+        marks = {"tables": 0.3, "big": 0.02}.get(source, 0.0)
+        words = [w + "|" if rng.random() < marks else w for w in words]
+        if k % 41 == 0:
+            words = [w + "$$$" for w in words]
+        rows.append((k, " ".join(words), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = Q.measured(docs).withColumns({f"v_{r}": Q.smoothed(r) for r in Q.RATES}).collect()
+    groups = defaultdict(list)
+    for r in found:
+        if not r.base_failed:
+            for g in ((r.lang, r.source), (r.lang,), ()):
+                groups[g].append(r)
+
+    def fences(g, rate, spread):
+        own = np.array([r[f"v_{rate}"] for r in groups[g]])
+        cut = lambda p: np.quantile(own, p, method="inverted_cdf")
+        low = (cut(0.25 - 0.01), cut(0.25 + 0.01)), (cut(0.75 - 0.01), cut(0.75 + 0.01))  # a KLL sketch of 400 is within 1 %
+        (a, b), (c, d) = low
+        return len(own), (a - spread * (d - a), b - spread * (c - b)), (c + spread * (c - b), d + spread * (d - a))
+
+    limits = {(r._quality_lang, r._quality_source): r._quality_limits for r in Q.thresholds(Q.measured(docs)).collect()}
+    assert set(limits) == {g for g in groups if len(g) == 2}
+    for g, limit in limits.items():
+        for rate in Q.RATES:
+            for end in (1, 2):
+                want = []
+                for side in (0, 1):
+                    value = None
+                    for level in ((), (g[0],), g):
+                        n, *ends = fences(level, rate, Q.SPREAD[rate])
+                        x = ends[end - 1][side]
+                        value = x if value is None else (n * x + Q.SHRINK * value) / (n + Q.SHRINK)
+                    want.append(value)
+                assert want[0] - 1e-9 <= limit[rate]["low" if end == 1 else "high"] <= want[1] + 1e-9, (g, rate)
+    high = {g[1]: limits[g].symbol_ratio.high for g in limits}
+    assert len({round(x, 3) for x in high.values()}) == len(high) and high["tables"] > high["big"]
+    out = {r.doc_id: r for r in Q.judge_quality(docs).collect()}
+    for r in found:
+        limit = limits[(r.lang, r.source)] if not r.base_failed else None
+        bad = r.base_failed or r.v_mean_word_chars < limit.mean_word_chars.low
+        for rate, (hits, of) in Q.RATES.items():
+            bad = bad or (r[hits] > 0 and np.log(r[hits] / max(r[of], 1)) > limit[rate].high)
+        assert out[r.doc_id].kept == (not bad)
+    assert not any(out[k].kept for k in range(0, 3000, 41)) and np.mean([out[k].kept for k in range(3000) if k % 41]) > 0.97
+
+
+def test_embeddings_by_graphs(spark):
+    """Shards large enough to be searched by their graphs, with a group of hundreds: recall against brute force, whole."""
+    from tideline.llm.neighbours import near_embeddings
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1800, 24))
+    v = np.concatenate([base, base[:900] + rng.normal(size=(900, 24)) * 0.2, base[:1] + rng.normal(size=(300, 24)) * 0.14, base[5:6] + rng.normal(size=(120, 24)) * 0.1]).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    out = {r.vec_id: r for r in near_embeddings(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>"), least_shards=1).collect()}
+    links = np.array([out[k].n_links for k in range(len(v))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.98 * near.sum() and out[0].audit_recall >= 0.98
+    comp = components_of(list(range(len(v))), lambda a, b: near[a, b])
+    assert np.mean([out[k].component_id == comp[k] for k in range(len(v))]) > 0.99
+
+
+def test_embeddings_without_ids(spark):
+    from tideline.llm.neighbours import near_embeddings
+
+    big = (1 << 53) + 1
+    rows = [(big, [1.0, 0.0], "x"), (None, [1.0, 0.01], "x"), (None, [0.0, 1.0], "x"), (None, [0.0, 1.0], None), (None, None, "x"), (3, [0.0, -1.0], "x")]
+    out = near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, kept string")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == Counter([(big, 1, big, True), (None, 1, big, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (3, 0, 3, True)])
+
+
 def test_embeddings(spark):
     from tideline.llm.neighbours import near_embeddings
 
@@ -249,7 +468,8 @@ def test_toxicity(spark, docs, empty):
     from tideline.llm.toxicity import judge_toxicity, segments
 
     rng = random.Random(1)
-    rows = [(k, prose(rng, 60) + (" vile nasty awful" if k % 4 == 0 else "")) for k in range(600)]
+    spelt = lambda n: " ".join("w" + "".join("abcdefghij"[int(c)] for c in str(rng.randrange(400))) for _ in range(n))
+    rows = [(k, spelt(60) + (f" vile {spelt(1)} nasty {spelt(2)} awful {spelt(1)}" if k % 4 == 0 else "")) for k in range(600)]
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     out = judge_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).filter("held_out").collect()
     assert out and all(r.predicted == (r.doc_id % 4 == 0) for r in out)
@@ -257,17 +477,111 @@ def test_toxicity(spark, docs, empty):
     plain = judge_toxicity(docs, labels).collect()
     assert len(plain) == len(rows_of()) and all(0 <= r.score <= 1 for r in plain)
     assert all(r.score == 0 or r.score < 1e-9 for r in judge_toxicity(docs, labels.limit(0)).collect())
+    assert all(p.score > 0 for r in judge_toxicity(docs, labels).collect() for p in r.passages)
     for _ in range(200):
         n = rng.randrange(1, 14)
-        scores = [rng.choice([-0.5, 2.0, 1.0]) for _ in range(n)]
-        at = [k for k, s in enumerate(scores) if s > 0]
+        scores = [rng.choice([-0.5, -0.5, 2.0, 1.0, -0.25, -2.0]) for _ in range(n)]
+        at = [k for k, s in enumerate(scores) if s != -0.5]
         got = segments(np.array(at, int), np.array([scores[k] for k in at]), 0.5)
         best = max((sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1)), default=0)
-        if at:
+        if best > 0:
             assert abs(max(s for *_, s in got) - best) < 1e-9
             assert all(abs(sum(scores[b:e]) - s) < 1e-9 for b, e, s in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
 
+def test_lexicon_and_extreme_values(spark):
+    """Every word's own log-odds against plain Python; the law's parameters against draws of it."""
+    from tideline.llm import toxicity as T
+    from tideline.llm.common import Words
+
+    rng = random.Random(3)
+    texts = [(f"{prose(rng, 20, 'q')} vile {prose(rng, 5, 'z')}" if k % 3 == 0 else prose(rng, 25, "q"), k % 3 == 0) for k in range(300)]
+    texts = [(re.sub("[0-9]", lambda m: "abcdefghij"[int(m[0])], t), y) for t, y in texts]
+    texts += [texts[0]] * 40  # copies speak once
+    keys, score, cost = T.lexicon(spark.createDataFrame(texts, "text string, toxic boolean"))
+    contexts = {True: defaultdict(set), False: defaultdict(set)}
+    import pyarrow as pa
+
+    for t, toxic in texts:
+        w = Words(pa.array([t]), letters=True)
+        seen, h = set(), [0, *w.hash.tolist(), 0]
+        for k in range(1, len(h) - 1):
+            if h[k] not in seen:
+                seen.add(h[k])
+                contexts[toxic][h[k]].add((h[k - 1], h[k + 1]))
+    bad, good = ({w: len(c) for w, c in contexts[y].items()} for y in (True, False))
+    n1, n0 = sum(bad.values()), sum(good.values())
+    want = {}
+    for w in {*bad, *good}:
+        b, g = bad.get(w, 0) + T.PRIOR * n1 / (n1 + n0), good.get(w, 0) + T.PRIOR * n0 / (n1 + n0)
+        odds = np.log(b / g) - np.log(n1 / n0)
+        if abs(odds) > T.ERRORS * (1 / b + 1 / g) ** 0.5:
+            want[w] = odds - np.sign(odds) * T.ERRORS * (1 / b + 1 / g) ** 0.5
+    rest = np.log1p(sum(good.get(w, 0) / n0 * np.expm1(s) for w, s in want.items()))
+    assert set(keys.tolist()) == set(want) and np.allclose(score, [want[w] - max(rest, 1e-4) for w in keys.tolist()]) and cost == pytest.approx(max(rest, 1e-4))
+    luck = np.random.default_rng(5)
+    n = luck.integers(20, 900, 20_000).astype(float)
+    best = np.maximum(0, -np.log(-np.log(luck.random(len(n))) / (0.03 * n)) / 0.8)
+    rate, density = T.extreme_values(n, best, np.ones(len(n)))
+    assert rate == pytest.approx(0.8, rel=0.05) and density == pytest.approx(0.03, rel=0.15)
+
+
+def test_html_scan_against_brute_force():
+    """Surge and dive over every page against a scan that sums each window anew; pages with and without article/main."""
+    from tideline.llm import html_text as H
+
+    rng = random.Random(2)
+    decided = 0
+    for trial in range(400):
+        found = [("x" * rng.choice([5, 15, 45, 90, 200]), 0, False) for _ in range(rng.randrange(1, 30))]
+        if trial % 2:
+            a, b = sorted(rng.sample(range(len(found) + 1), 2)) if len(found) > 1 else (0, 1)
+            found = [(t, k, a <= i < b) for i, (t, k, _) in enumerate(found)]
+        found = [(t, len(t) if rng.random() < 0.2 else 0, i) for t, _, i in found]
+        weight = [(0 if k else len(t)) + ((H.DIVE - 1) // H.WINDOW if k else H.DIVE) * i for t, k, i in found]
+        keep, at = [False] * len(found), 0
+        while at < len(found):
+            end = at
+            while end < len(found) and found[end][2] == found[at][2]:
+                end += 1
+            total = lambda k: sum(weight[k : min(k + H.WINDOW, end)])  # noqa: B023, E731
+            k = at
+            while k < end:
+                if total(k) >= H.SURGE and weight[k]:
+                    while k < end and total(k) >= H.DIVE:
+                        keep[k] = weight[k] > 0
+                        k += 1
+                    for j in range(k, min(k + H.WINDOW - 1, end)):
+                        if not weight[j]:
+                            break
+                        keep[j] = True
+                else:
+                    k += 1
+            at = end
+        decided += any(keep)
+        if not any(keep):
+            keep = [w > 0 for w in weight]
+        elif 2 * sum(len(t) for (t, _, i), k in zip(found, keep) if k and i) >= sum(len(t) for (t, _, _), k in zip(found, keep) if k):
+            keep = [k and i for (_, _, i), k in zip(found, keep)]
+        assert H.main_lines(found) == [t for (t, _, _), k in zip(found, keep) if k], trial
+    assert decided > 300
+
+
+def test_html_on_driver_pages(spark):
+    """The scan decides every page of the test tables: none is left to the rule for pages without a surge."""
+    import pyarrow.parquet as pq
+
+    from tideline.llm import html_text as H
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    lines = [H.lines(p["html"] or "") for p in pages]
+    surging = [bool(H._stretches(np.array([len(t) + H.DIVE * i for t, _, i in x]), H.WINDOW, H.SURGE, H.DIVE).any()) for x in lines if x]
+    assert surging and np.mean(surging) == 1
+    clash = spark.createDataFrame([(p["page_id"], p["url"], p["html"], "own", 3) for p in pages[:5]] * 2, "page_id long, url string, html string, text string, n_chars long")
+    out = H.extract_pages(clash).collect()
+    assert len(out) == 2 * len(pages[:5]) and all(r.text != "own" for r in out) and H.extract_pages(clash.limit(0)).count() == 0
+
+
 def test_html(spark):
     from tideline.llm.html_text import extract_pages, main_text
 
@@ -342,6 +656,12 @@ def test_mixing(spark, docs, empty):
     assert mix_sources(docs).count() == len(rows_of())
     mixed = mixed_documents(docs)
     assert mixed.columns == docs.columns
+    odd = docs.unionByName(docs.limit(30)).withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7)).withColumn("extra", F.create_map(F.lit("a"), F.col("n_chars")))
+    asked = Counter()
+    for r in mix_sources(odd).collect():
+        asked[(r.doc_id, r.source, r.size)] += r.copies
+    got = Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in mixed_documents(odd).collect())
+    assert got == Counter({k: n for k, n in asked.items() if n})  # ids that are null or shared: every row gets its own copies
     luck = np.random.default_rng(0)
     size = np.sort(luck.integers(1, 50, 40))[::-1].astype(float)
     runs = np.stack([round_fractions(np.full(40, 0.3), size, luck.random(41)) for _ in range(3000)])
@@ -406,6 +726,13 @@ def test_components(spark):
     for a, b in edges[:-1]:
         root[max(find(a), find(b))] = min(find(a), find(b))
     want = {a: find(a) for e in edges[:-2] for a in e if e[0] != e[1]}
+    edges += [(k, k + 1) for k in range(5000, 6500)]  # a chain that needs many rounds
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    root.clear()
+    for a, b in edges:
+        if a is not None:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {a: find(a) for e in edges for a in e if None not in e and e[0] != e[1]}
     for limit in (graphs.ONE_TASK, 0):
         keep, graphs.ONE_TASK = graphs.ONE_TASK, limit
         try:
@@ -428,6 +755,21 @@ def test_pipeline_stages(spark, docs, empty):
         assert (now.count() > 0) == (source is docs)
 
 
+def test_pipeline_leaves_no_tables(spark, docs):
+    """What stages write is deleted by the stages after them; of a whole run only what its result reads is left."""
+    import os
+
+    import corpus_pipeline as P
+    from tideline.llm.common import recording, written
+
+    with recording() as made:
+        now = docs
+        for k, (_, stage) in enumerate(P.STAGES):
+            now = written(stage(spark, now, ""), f"kept-{k}")
+    left = [os.path.basename(t._tideline_path) for t in made if os.path.exists(t._tideline_path.removeprefix("file://"))]
+    assert {x.split("-")[0] for x in left} <= {"kept", "pack", "cc"} and sum(not x.startswith("kept") for x in left) <= 3, left
+
+
 def test_pipeline_keeps_one_of_each_group(spark, docs):
     import corpus_pipeline as P
 
