@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tideline.llm.common import Words, crc_mod, mix64, slices
+from tideline.llm.common import Words, crc_mod, mix64, slices, trimmed
 
 #: Hash buckets of the word features.
 DIM = 1 << 17
@@ -68,10 +68,11 @@ class Crf:
     def fit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, label: np.ndarray, sequence: np.ndarray) -> None:
         """Maximum likelihood by Adagrad over forward-backward passes; ``sequence`` numbers rising runs of words."""
         k = len(self.labels)
-        flat, first = features(data, start, end)
-        count = np.diff(np.append(first, len(flat)))
-        word = np.repeat(np.arange(len(start)), count)
-        scale = 1 / np.sqrt(count)
+        chunks = []  # of words: their places, feature buckets, and the first of each word; all at once would fill a driver
+        for c in range(0, len(start), CHUNK):
+            flat, first = features(data, start[c : c + CHUNK], end[c : c + CHUNK])
+            chunks.append((slice(c, c + len(first)), flat.astype(np.int32), first))
+        scale = 1 / np.sqrt(np.concatenate([np.diff(np.append(first, len(flat))) for _, flat, first in chunks]))
         begin = np.flatnonzero(np.r_[True, sequence[1:] != sequence[:-1]])
         length = np.diff(np.append(begin, len(sequence)))
         at = begin[:, None] + np.arange(length.max())
@@ -83,7 +84,7 @@ class Crf:
         np.add.at(seen, (label[at[:, :-1]][pairs], label[at[:, 1:]][pairs]), 1)
         grown, grown_moves = np.full((DIM + 1, k), 1e-8), np.full((k, k), 1e-8)
         for _ in range(EPOCHS):
-            u = (np.add.reduceat(self.weights[flat], first, axis=0) * scale[:, None])[at]  # sequence, step, label
+            u = (np.concatenate([np.add.reduceat(self.weights[flat], first, axis=0) for _, flat, first in chunks]) * scale[:, None])[at]  # sequence, step, label
             u = np.where(real[:, :, None], u, 0.0)
             m = np.exp(self.moves)
             e = np.exp(u - u.max(2, keepdims=True))
@@ -101,7 +102,12 @@ class Crf:
             grad = np.zeros((len(start), k))
             grad[at[real]] = p[real]
             grad = (grad - truth) * scale[:, None]
-            full = np.stack([np.bincount(flat, grad[word, j], DIM + 1) for j in range(k)], 1) / len(length)
+            full = np.zeros((DIM + 1, k))
+            for own, flat, first in chunks:
+                word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
+                for j in range(k):
+                    full[:, j] += np.bincount(flat, grad[own, j][word], DIM + 1)
+            full /= len(length)
             full[DIM] = 0
             full += RIDGE * self.weights
             joint = a[:, :-1, :, None] * m * (e * b)[:, 1:, None, :]
@@ -215,6 +221,7 @@ def train(docs: DataFrame) -> Crf | None:
     sequence = np.concatenate([np.full(sum(stretches[i][1] - stretches[i][0] for i in pair), k) for k, pair in enumerate(picks)])
     field = Crf(labels)
     field.fit(words.data, words.start[at], words.end[at], label, sequence)
+    trimmed()
     return field
 
 
