@@ -24,7 +24,7 @@ SHINGLE, PERCENT = 4, 85
 #: order (an order is right whatever it is; this one keeps lists short); at most so many do.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Longer lists are joined by leaders and components instead of pair by pair.
-LIST = 64
+LIST = 16
 #: Entries of lists in one task.
 LIST_ROWS = 2_500_000
 #: Set sizes that the cost model tells apart (larger ones are large), and the cost of checking a candidate, in written rows.
