@@ -22,9 +22,9 @@ from tideline.llm.graphs import components
 SHINGLE, PERCENT = 4, 85
 #: A shingle that is in so many documents, counted where a task has it twice, goes to the end of the lists'
 #: order (an order is right whatever it is; this one keeps lists short); at most so many do.
-FREQUENT, MOST_FREQUENT = 32, 1_000_000
+FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Longer lists are joined by leaders and components instead of pair by pair.
-LIST = 16
+LIST = 64
 #: Entries of lists in one task.
 LIST_ROWS = 2_500_000
 #: Set sizes that the cost model tells apart (larger ones are large), and the cost of checking a candidate, in written rows.
