@@ -195,3 +195,38 @@ def test_path_queries_are_of_the_shipped_size(spark, monkeypatch, name):
 
     monkeypatch.setattr(C, "simulate_portfolio", simulated)
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() and sizes == [(50_000, 21)]
+
+
+def test_lookups_of_any_size(spark):
+    """The 1,001st currency has its rate, the 101st window its rows: no lookup table is cut."""
+    from tideline.operators import portfolio, stress
+
+    fx = spark.createDataFrame([(f"C{k}", 2.0 + k) for k in range(1500)], "currency string, rate_eur double")
+    held = spark.createDataFrame([(f"C{k}", 1.0, 1.0) for k in range(1500)], "currency string, mv_native double, cost_native double")
+    assert all(r.market_value_eur == 2.0 + int(r.currency[1:]) for r in portfolio.to_eur(held, fx).collect())
+    windows = stress.windows_table(spark, [(f"S{k}", "2020-01-01", "2020-01-31") for k in range(1200)])
+    prices = spark.sql("select 'A' ticker, date '2020-01-15' dt, 1.0D close")
+    assert stress.in_windows(prices, windows).count() == 1200
+
+
+def test_html_shows_every_row(spark):
+    from tideline.operators import report
+
+    page = report.html("t", {"s": spark.range(450).selectExpr("id", "cast(null as double) v")})
+    assert page.count("<tr>") == 451 and page.count("N/A") == 450
+
+
+def test_path_ends_in_blocks(spark):
+    """What blocks say of their paths is what windows over all steps say."""
+    import numpy as np
+
+    from tideline.kernels.paths import Model
+    from tideline.operators import montecarlo as C
+
+    one = np.ones(2)
+    model = Model(0 * one, 1e-5 * one, 0.05 * one, 0.9 * one, 2e-4 * one, np.eye(2), (0.02, 0.95), np.zeros((30, 2)), {"base": 0.01 * one, "excite": 0.1 * one, "mean": 0 * one, "sd": 0.02 * one, "decay": 0.5}, np.eye(2))
+    args = spark, model, np.array([0.6, 0.4]), 2500, 9, "gbm"
+    a = {r.path: r for r in C.simulated_ends(*args).collect()}
+    b = {r.path: r for r in C.path_ends(C.nav_paths(C.simulate_portfolio(*args))).collect()}
+    assert set(a) == set(b) and len(a) == 2500
+    assert all(abs(a[p][c] - b[p][c]) < 1e-9 for p in a for c in ("total", "drawdown", "m", "s", "down"))

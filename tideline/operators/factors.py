@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars as S
+from tideline.operators.joins import lookup
 from tideline.operators.series import tail
 
 FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma")
@@ -95,7 +96,7 @@ def single_factor(rows: DataFrame, x: str = "mkt_rf", least: int = LEAST_ROWS) -
 
 def style_labels(betas: DataFrame, bounds: DataFrame) -> DataFrame:
     """(ticker, factor, beta) with the style that a beta outside its factor's bounds has."""
-    joined = betas.join(F.broadcast(bounds.limit(100)), "factor")
+    joined = betas.join(lookup(bounds), "factor")
     return joined.withColumn("style", F.when(F.col("beta") > F.col("hi"), F.col("above")).when(F.col("beta") < F.col("lo"), F.col("below")).otherwise("neutral"))
 
 

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+#: Rows up to which a lookup table is broadcast.
+LOOKUP_ROWS = 1000
+
+
+def lookup(table: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Marks a table for broadcast if it has at most ``rows`` rows (counted); a larger one is joined as Spark sees fit."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
 
 def align_factors(returns: DataFrame, factors: DataFrame) -> DataFrame:
     """Returns with the factors of their date, and y = ret - rf."""

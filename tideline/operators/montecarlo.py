@@ -14,23 +14,42 @@ from tideline.kernels.paths import Model, simulate
 BLOCK = 2000
 
 
+def _blocks(spark: SparkSession, model: Model, weights: np.ndarray, paths: int, steps: int, kind: str, seed: int, rows, schema: str) -> DataFrame:
+    """``rows`` (first path, returns by path and step) of blocks of paths, each simulated from its own seed."""
+
+    def run(frames):
+        for frame in frames:
+            for b in frame["id"].tolist():
+                n = min(BLOCK, paths - b * BLOCK)
+                yield rows(b * BLOCK, simulate(model, n, steps, kind, np.random.Generator(np.random.PCG64([seed, b]))) @ weights)
+
+    blocks = -(-paths // BLOCK)
+    return spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+
+
 def simulate_portfolio(spark: SparkSession, model: Model, weights: np.ndarray, paths: int = 50_000, steps: int = 21, kind: str = "hawkes", seed: int = 42) -> DataFrame:
     """(path, step, ret) of a constant-mix portfolio: blocks of paths are simulated apart, each from its own seed.
 
     The model is a few vectors and matrices over the assets; a block's tensor is all that a task holds.
     """
-    blocks = -(-paths // BLOCK)
 
-    def run(frames):
-        for frame in frames:
-            for b in frame["id"].tolist():
-                n = min(BLOCK, paths - b * BLOCK)
-                r = simulate(model, n, steps, kind, np.random.Generator(np.random.PCG64([seed, b]))) @ weights
-                path = np.repeat(np.arange(b * BLOCK, b * BLOCK + n), steps)
-                yield pd.DataFrame({"path": path, "step": np.tile(np.arange(1, steps + 1), n), "ret": r.ravel()})
+    def rows(first: int, r: np.ndarray) -> pd.DataFrame:
+        n = len(r)
+        return pd.DataFrame({"path": np.repeat(np.arange(first, first + n), steps), "step": np.tile(np.arange(1, steps + 1), n), "ret": r.ravel()})
+
+    return _blocks(spark, model, weights, paths, steps, kind, seed, rows, "path long, step long, ret double")
+
+
+def simulated_ends(spark: SparkSession, model: Model, weights: np.ndarray, paths: int = 50_000, steps: int = 21, kind: str = "hawkes", seed: int = 42) -> DataFrame:
+    """What ``path_ends`` says of the same paths, taken in their blocks: a row per path and no shuffle."""
+
+    def rows(first: int, r: np.ndarray) -> pd.DataFrame:
+        nav = np.exp(np.cumsum(np.log1p(np.maximum(r, -0.999999)), axis=1))
+        peak = np.maximum.accumulate(np.maximum(nav, 1.0), axis=1)
+        down = np.sqrt((np.minimum(r, 0.0) ** 2).mean(1))
+        return pd.DataFrame({"path": np.arange(first, first + len(r)), "total": nav[:, -1] - 1, "drawdown": (nav / peak - 1).min(1), "m": r.mean(1), "s": r.std(1), "down": down})
 
-    ids = spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism)))
-    return ids.mapInPandas(run, "path long, step long, ret double")
+    return _blocks(spark, model, weights, paths, steps, kind, seed, rows, "path long, total double, drawdown double, m double, s double, down double")
 
 
 def nav_paths(paths: DataFrame) -> DataFrame:
@@ -46,9 +65,16 @@ def path_drawdown(nav: DataFrame) -> DataFrame:
     return nav.withColumn("d", F.col("nav") / peak - 1).groupBy("path").agg(F.min("d").alias("drawdown"))
 
 
-def tail_metrics(nav: DataFrame) -> DataFrame:
+def path_ends(nav: DataFrame) -> DataFrame:
+    """Per path: total return, largest drawdown, mean, deviation and downside deviation of its steps."""
+    w = W.partitionBy("path").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    fall = nav.withColumn("d", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
+    r = F.col("ret")
+    return fall.groupBy("path").agg((F.max_by("nav", "step") - 1).alias("total"), F.min("d").alias("drawdown"), F.avg(r).alias("m"), F.stddev_pop(r).alias("s"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))).alias("down"))
+
+
+def tail_metrics(ends: DataFrame) -> DataFrame:
     """One row: VaR and CVaR of the end value at 95 and 99 %, expected loss, loss chances, drawdown mean and 95 %."""
-    ends = nav.groupBy("path").agg((F.max_by("nav", "step") - 1).alias("total")).join(path_drawdown(nav), "path")
     cuts = ends.agg(F.percentile("total", F.lit(0.05)).alias("q05"), F.percentile("total", F.lit(0.01)).alias("q01"))
     t = F.col("total")
     rows = ends.join(F.broadcast(cuts))  # one row
@@ -59,12 +85,11 @@ def tail_metrics(nav: DataFrame) -> DataFrame:
     )
 
 
-def decision_metrics(nav: DataFrame) -> DataFrame:
+def decision_metrics(ends: DataFrame) -> DataFrame:
     """One row: medians and tenths of per-path Sharpe, Sortino and Calmar ratios (population moments), share of winners."""
-    r = F.col("ret")
-    per = nav.groupBy("path").agg(F.avg(r).alias("m"), F.stddev_pop(r).alias("s"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))).alias("down"), (F.max_by("nav", "step") - 1).alias("total"))
-    per = per.join(path_drawdown(nav), "path")
     root = math.sqrt(252)
-    per = per.select(F.try_divide(F.col("m") * root, F.nullif("s", F.lit(0.0))).alias("sharpe"), F.try_divide(F.col("m") * root, F.nullif("down", F.lit(0.0))).alias("sortino"), F.try_divide(F.col("m") * 252, F.nullif(-F.col("drawdown"), F.lit(0.0))).alias("calmar"), "total")
+    ratio = lambda a, b, n: F.try_divide(a, F.nullif(b, F.lit(0.0))).alias(n)
+    m = F.col("m")
+    per = ends.select(ratio(m * root, F.col("s"), "sharpe"), ratio(m * root, F.col("down"), "sortino"), ratio(m * 252, -F.col("drawdown"), "calmar"), "total")
     cut = lambda c, p, n: F.percentile(c, F.lit(p)).alias(n)
     return per.agg(cut("sharpe", 0.5, "sharpe_median"), cut("sharpe", 0.1, "sharpe_p10"), cut("sortino", 0.5, "sortino_median"), cut("calmar", 0.5, "calmar_median"), F.avg((F.col("total") > 0).cast("int")).alias("win_rate"))

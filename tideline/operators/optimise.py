@@ -156,10 +156,10 @@ def path_model(returns: DataFrame) -> tuple[list[str], Model, pd.DataFrame]:
     return names, Model(arr(fit, "mean"), arr(fit, "omega"), arr(fit, "alpha"), arr(fit, "beta"), arr(fit, "next_var"), base, (a, b), resid, jumps, fits.dcc_state(resid, a, b, base)), wide
 
 
-def walk_forward(aligned: DataFrame, train: int = 252, step: int = 63, span: int = 63, rf: float = 0.035) -> DataFrame:
+def walk_forward(aligned: DataFrame, train: int = 756, step: int = 63, span: int = 63, least: int = 252, rf: float = 0.035) -> DataFrame:
     """Per window: out-of-sample metrics of factor-implied, historical and equal weights; windows run in parallel.
 
-    A window's panel has train+span rows per asset at most; assets need train*2/3 rows of training.
+    A window's panel has train+span rows per asset at most; assets need ``least`` rows of training.
     """
     from tideline.operators.series import window_ids
 
@@ -167,7 +167,7 @@ def walk_forward(aligned: DataFrame, train: int = 252, step: int = 63, span: int
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         fit, test = g[g.pos < train], g[g.pos >= train]
-        good = [t for t, n in fit.groupby("ticker").size().items() if n >= train * 2 // 3]
+        good = [t for t, n in fit.groupby("ticker").size().items() if n >= least]
         panel = fit[fit.ticker.isin(good)].pivot_table(index="dt", columns="ticker", values="ret")
         names = list(panel.columns)
         out = {"w": key[0], "assets": len(names)}

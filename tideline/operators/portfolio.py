@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.joins import lookup
+
 DEFAULT_FX = {"USD": 0.92, "GBP": 1.17, "AUD": 0.59, "EUR": 1.0}
 #: Broker tickers that trade under another one, and names of instruments.
 REMAP = {"YNDX": "NBIS"}
@@ -19,7 +21,7 @@ def to_eur(holdings: DataFrame, fx: DataFrame) -> DataFrame:
     """market_value_eur and cost_basis_eur at the currency's rate; a currency without rate has its default."""
     default = F.create_map(*[F.lit(x) for kv in DEFAULT_FX.items() for x in kv])
     rate = F.coalesce("rate_eur", default[F.col("currency")], F.lit(1.0))
-    out = holdings.join(F.broadcast(fx.limit(1000)), "currency", "left").withColumn("rate_eur", rate)
+    out = holdings.join(lookup(fx), "currency", "left").withColumn("rate_eur", rate)
     return out.withColumn("market_value_eur", F.col("mv_native") * F.col("rate_eur")).withColumn("cost_basis_eur", F.col("cost_native") * F.col("rate_eur"))
 
 

@@ -69,13 +69,13 @@ def flagged(status: DataFrame) -> DataFrame:
     return status.filter("flag <> ''")
 
 
-def html(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
-    """An HTML page of small sections; each is cut at ``most`` rows, as a page is read by people."""
+def html(title: str, sections: dict[str, DataFrame]) -> str:
+    """An HTML page of the sections, with all their rows: a page is made of sections that are small by themselves."""
     from html import escape
 
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
     for name, df in sections.items():
         out.append(f"<h2>{escape(name)}</h2><table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr>")
-        out += ["<tr>" + "".join(f"<td>{escape('N/A' if v is None else f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect()]
+        out += ["<tr>" + "".join(f"<td>{escape('N/A' if v is None else f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in df.toLocalIterator()]
         out.append("</table>")
     return "".join(out) + "</body></html>"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.joins import lookup
+
 #: Historical scenarios: start, end, and class returns of equity benchmark, bonds and gold where prices lack (fixed values).
 HISTORICAL = (
     ("2008 GFC", "2008-09-01", "2009-03-31", -0.56, 0.08, 0.04),
@@ -25,8 +27,8 @@ def windows_table(spark: SparkSession, rows) -> DataFrame:
 
 
 def in_windows(prices: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of prices in each scenario's window; the scenario table is broadcast (its rows are constants)."""
-    return prices.join(F.broadcast(windows.limit(100)), F.col("dt").between(F.col("start_dt"), F.col("end_dt")))
+    """Rows of prices in each scenario's window; a scenario table of a checked size is broadcast."""
+    return prices.join(lookup(windows), F.col("dt").between(F.col("start_dt"), F.col("end_dt")))
 
 
 def historical(holdings: DataFrame, prices: DataFrame, betas: DataFrame, scenarios=HISTORICAL) -> DataFrame:

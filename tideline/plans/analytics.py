@@ -210,7 +210,7 @@ def _(spark, d):
     return R.collinearity(fx.factors(spark, d))
 
 
-fx.SQL["fx_ic"] = "select w, ticker, x, z from (select ticker, w, sum(ret) filter (pos < 126) x, sum(ret) filter (pos >= 126) z from (select ticker, ret, w, r-1-w*21 pos, c from (select ticker, dt, ret, unnest(range(greatest(0, cast(ceil((r-147)/21.0) as bigint)), (r-1)//21 + 1)) w, r, c from (select *, row_number() over (partition by ticker order by dt) r, count(*) over (partition by ticker) c from fx_returns)) where w*21+147 <= c) group by 1, 2) where w < 20"
+fx.SQL["fx_ic"] = "select w, ticker, x, z from (select ticker, w, sum(ret) filter (pos < 126) x, sum(ret) filter (pos >= 126) z from (select ticker, ret, w, r-1-w*21 pos, c from (select ticker, dt, ret, unnest(range(greatest(0, cast(ceil((r-147)/21.0) as bigint)), (r-1)//21 + 1)) w, r, c from (select *, row_number() over (partition by ticker order by dt) r, count(*) over (partition by ticker) c from fx_returns)) where w*21+147 <= c) group by 1, 2)"
 _IC = "select w, count(*) n, 1-6*sum((rx-ry)^2)/(count(*)*(count(*)*count(*)-1.0)) ic from (select w, row_number() over (partition by w order by round(x,9), ticker) rx, row_number() over (partition by w order by round(z,9), ticker) ry from fx_ic) group by 1 having count(*) > 1"
 
 
@@ -377,7 +377,7 @@ def _ema(src, value, alpha, out, least, keep="ticker, dt"):
     return f"select {keep}, case when r >= {least} then v end {out} from (select *, pow({dec!r}, r-1) * sum(case when r = 1 then {value} else {alpha!r}*{value} end * pow({dec!r}, 1-r)) over (partition by ticker order by dt) v from (select *, row_number() over (partition by ticker order by dt) r from {src}))"
 
 
-fx.SQL["fx_p300"] = "select * from fx_prices qualify row_number() over (partition by ticker order by dt) <= 400"
+fx.SQL["fx_p300"] = "select * from fx_prices"
 fx.SQL["fx_macd"] = f"select ticker, dt, f-s macd from ({_ema('fx_p300', 'close', 2 / 13, 'f', 12)}) join ({_ema('fx_p300', 'close', 2 / 27, 's', 26)}) using(ticker, dt)"
 
 
@@ -394,6 +394,14 @@ def _(spark, d):
     return X.rsi(fx.prices(spark, d)).select("ticker", "dt", "rsi14")
 
 
+_LAST = ", ".join(f"{_full('avg(close)', n)} sma{n}" for n in (20, 50, 200)) + f", {_full('avg(volume)', 10)} volume_sma10, {_full('stddev_pop(close)', 20)} dev"
+_RSI = f"select ticker, dt, case when g is null then null when l = 0 then 100.0 else 100-100/(1+g/l) end rsi14 from ({_ema('fx_moves', 'up', 1 / 14, 'g', 14)}) join ({_ema('fx_moves', 'down', 1 / 14, 'l', 14)}) using(ticker, dt)"
+fx.SQL["fx_last"] = (
+    f"select * from (select ticker, dt, close, volume, {_LAST}, count(*) over (partition by ticker) c from fx_prices) left join fx_macd using(ticker, dt) left join ({_ema('(select * from fx_macd where macd is not null)', 'macd', 0.2, 'macd_signal', 9)}) using(ticker, dt) "
+    f"left join ({_RSI}) using(ticker, dt) where c >= 30 qualify row_number() over (partition by ticker order by dt desc) = 1"
+)
+
+
 fx.SQL["fx_tr"] = "select ticker, dt, r, coalesce(greatest(high-low, abs(high-pc), abs(low-pc)), high-low) tr from (select *, lag(close) over (partition by ticker order by dt) pc, row_number() over (partition by ticker order by dt) r from fx_bars_d)"
 fx.SQL["fx_trs"] = "select ticker, dt, case when r = 14 then m else tr end x from (select *, avg(tr) over (partition by ticker order by dt rows between 13 preceding and current row) m from fx_tr) where r >= 14"
 
@@ -427,7 +435,7 @@ def _(spark, d):
     return X.drawdown(fx.returns(spark, d)).select("ticker", "dt", "cum", "drawdown")
 
 
-fx.SQL["fx_paths"] = "select o_custkey path, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) step, (o_totalprice - 200000)/4000000 ret from orders where o_custkey < 200"
+fx.SQL["fx_paths"] = "select o_custkey path, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) step, (o_totalprice - 200000)/4000000 ret from orders"
 
 
 def paths(spark, d):
@@ -439,7 +447,7 @@ def paths(spark, d):
 fx.SQL["fx_nav"] = "select path, step, ret, exp(sum(ln(1+ret)) over (partition by path order by step)) nav from fx_paths"
 
 
-@query("win_drawdown_nav", "select path, min(nav/greatest(1, peak)-1) drawdown from (select *, max(nav) over (partition by path order by step) peak from fx_nav) group by 1", d="drawdown", i="path")
+@query("win_drawdown_nav", "select path, min(nav/greatest(1, peak)-1) drawdown from (select *, max(nav) over (partition by path order by step) peak from fx_nav) group by 1", d="drawdown", i="path", digits=5)
 def _(spark, d):
     from tideline.operators.montecarlo import nav_paths, path_drawdown
 

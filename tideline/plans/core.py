@@ -32,7 +32,7 @@ def _(spark, d):
     return M.last_price(bars, quotes.join(bars.select("ticker").distinct(), "ticker", "left_semi"))
 
 
-@query("src_batch_close", "select p_brand ticker, cast(l_shipdate as date) dt, 100+10*ln(sum(l_extendedprice)/sum(l_quantity)) as close from lineitem join part on l_partkey=p_partkey where p_brand in ('Brand#11','Brand#12','Brand#13') and p_size % 5 = 0 group by 1, 2", d="close")
+@query("src_batch_close", "select p_brand ticker, cast(l_shipdate as date) dt, 100+10*ln(sum(l_extendedprice)/sum(l_quantity)) as close from lineitem join part on l_partkey=p_partkey where p_brand in ('Brand#11','Brand#12','Brand#13') group by 1, 2", d="close")
 def _(spark, d):
     part = fx.table(spark, d, "part").filter("p_brand in ('Brand#11','Brand#12','Brand#13')").select("p_partkey", "p_brand")
     names = ["Brand#11", "Brand#12", "Brand#13"]

@@ -23,6 +23,7 @@ from tideline.plans import fixtures as fx
 from tideline.plans.analytics import _al, _attr, _attribution, _port, _region_weights, _weights, paths
 from tideline.plans.core import runs
 from tideline.plans.registry import query
+from tideline.plans.scratch import written
 from tideline.streaming import bars as B
 
 _W = "(select ticker, sum(weight) weight from fx_eur group by 1)"
@@ -66,44 +67,44 @@ def _(spark, d):
     return O.jump_fits(fx.returns_region(spark, d))
 
 
-def _simulated(spark, d, kind, n=50_000, steps=21):
+def _simulated(spark, d, kind, n=50_000, steps=21, simulate=C.simulated_ends):
     names, model, _ = _model(spark, d)
     w = dict((r["ticker"], r["weight"]) for r in _region_weights(spark).collect())
-    return C.simulate_portfolio(spark, model, np.array([w[t] for t in names]), n, steps, kind)
+    return simulate(spark, model, np.array([w[t] for t in names]), n, steps, kind)
 
 
 @query("k_paths_hawkes")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "hawkes")))
+    return C.tail_metrics(written(_simulated(spark, d, "hawkes"), "paths"))
 
 
 @query("k_paths_garch")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "garch")))
+    return C.tail_metrics(written(_simulated(spark, d, "garch"), "paths"))
 
 
 @query("k_paths_gbm")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "gbm")))
+    return C.tail_metrics(written(_simulated(spark, d, "gbm"), "paths"))
 
 
 @query("k_simulate")
 def _(spark, d):
-    return _simulated(spark, d, "hawkes").groupBy("step").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
+    return _simulated(spark, d, "hawkes", simulate=C.simulate_portfolio).groupBy("step").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
 
 
 @query("k_mc_portfolio")
 def _(spark, d):
-    nav = C.nav_paths(_simulated(spark, d, "hawkes")).cache()
+    ends = written(_simulated(spark, d, "hawkes"), "paths")
     one = F.lit(1)
     cost = fx.holdings_eur(spark, d).agg(F.sum(S.trading_cost("market_value_eur", F.lit(500000.0))).alias("cost"))
-    out = C.tail_metrics(nav).withColumn("k", one).join(C.decision_metrics(nav).withColumn("k", one), "k").join(cost.withColumn("k", one), "k")
+    out = C.tail_metrics(ends).withColumn("k", one).join(C.decision_metrics(ends).withColumn("k", one), "k").join(cost.withColumn("k", one), "k")
     return out.drop("k")
 
 
 @query("k_mc_simple")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "gbm", 10_000, 30)))
+    return C.tail_metrics(written(_simulated(spark, d, "gbm", 10_000, 30), "paths"))
 
 
 _TAIL = "select path, arg_max(nav, step)-1 total, min(d) drawdown from (select *, nav/greatest(1, max(nav) over (partition by path order by step))-1 d from fx_nav) group by 1"
@@ -111,12 +112,12 @@ _TAIL = "select path, arg_max(nav, step)-1 total, min(d) drawdown from (select *
 
 @query("agg_mc_tail", f"with e as ({_TAIL}), q as (select quantile_cont(total, 0.05) q05, quantile_cont(total, 0.01) q01 from e) select any_value(-q05) var_95, any_value(-q01) var_99, -avg(case when total <= q05 then total end) cvar_95, -avg(case when total <= q01 then total end) cvar_99, -avg(case when total < 0 then total end) expected_loss, avg((total < -0.05)::int) p_loss_5, avg((total < -0.1)::int) p_loss_10, avg((total < -0.2)::int) p_loss_20, avg(drawdown) dd_mean, quantile_cont(drawdown, 0.05) dd_95 from e cross join q", d="var_95 var_99 cvar_95 cvar_99 expected_loss p_loss_5 p_loss_10 p_loss_20 dd_mean dd_95")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(paths(spark, d)))
+    return C.tail_metrics(C.path_ends(C.nav_paths(paths(spark, d))))
 
 
 @query("agg_mc_decision", f"with p as (select path, avg(ret) m, stddev_pop(ret) s, sqrt(avg(least(ret, 0)^2)) dn from fx_nav group by 1), e as ({_TAIL}), r as (select m*sqrt(252)/nullif(s,0) sharpe, m*sqrt(252)/nullif(dn,0) sortino, m*252/nullif(-drawdown,0) calmar, total from p join e using(path)) select quantile_cont(sharpe, 0.5) sharpe_median, quantile_cont(sharpe, 0.1) sharpe_p10, quantile_cont(sortino, 0.5) sortino_median, quantile_cont(calmar, 0.5) calmar_median, avg((total > 0)::int) win_rate from r", d="sharpe_median sharpe_p10 sortino_median calmar_median win_rate", digits=4)
 def _(spark, d):
-    return C.decision_metrics(C.nav_paths(paths(spark, d)))
+    return C.decision_metrics(C.path_ends(C.nav_paths(paths(spark, d))))
 
 
 @query("k_corr_break", "with s as (select a t, sqrt(cov) s from fx_ewcov where a = b), q as (select sqrt(sum(x.weight*y.weight*cov)) sigma, sqrt(sum(x.weight*y.weight*sa.s*sb.s*case when a=b then 1 else 0.85 end)) sigma_break from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b join s sa on sa.t=a join s sb on sb.t=b) select *, sigma_break/sigma ratio from q", d="sigma sigma_break ratio")
@@ -220,10 +221,18 @@ def _(spark, d):
     return I.bundle(fx.prices(spark, d)).select("ticker", "dt", "close", "sma20", "bb_upper")
 
 
-_SIG = "select ticker, arg_max(close, dt) c, arg_max(m, dt) m from (select ticker, dt, close, avg(close) over (partition by ticker order by dt rows between 19 preceding and current row) m from fx_prices) group by 1"
+_RULES = (
+    "case when sma50 <> 0 and sma200 <> 0 then case when sma50 > sma200 then 1.0 else -1.0 end end",
+    "case when close <> 0 and sma20 <> 0 then case when close > sma20 then 0.5 else -0.5 end end",
+    "case when macd is not null and macd_signal is not null then case when macd > macd_signal then 1.0 else -1.0 end end",
+    "case when rsi14 < 30 then 1.5 when rsi14 > 70 then -1.5 when rsi14 is not null then 0.0 end",
+    "case when sma20 - 2*dev <> 0 and sma20 + 2*dev <> 0 then case when close <= sma20 - 2*dev then 1.0 when close >= sma20 + 2*dev then -1.0 end end",
+    "case when volume <> 0 and volume_sma10 <> 0 and volume / volume_sma10 > 1.5 then 0.5 end",
+)
+_SIG = f"select ticker, {' + '.join(f'({r} is not null)::int' for r in ('r1', 'r2', 'r3', 'r4', 'r5', 'r6'))} n, {' + '.join(f'coalesce({r}, 0)' for r in ('r1', 'r2', 'r3', 'r4', 'r5', 'r6'))} t from (select ticker, {', '.join(f'{x} r{k}' for k, x in enumerate(_RULES, 1))} from fx_last)"
 
 
-@query("k_signals", f"select ticker, case when round(c,6) > round(m,6) then 0.25 else -0.25 end score from ({_SIG})", d="score")
+@query("k_signals", f"select ticker, case when n > 0 then t / n else 0 end score from ({_SIG})", d="score")
 def _(spark, d):
     return I.scored(I.bundle(fx.prices(spark, d))).select("ticker", "score")
 
@@ -317,10 +326,11 @@ def _(spark, d):
     return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.gate(n, n / 200.0, n / 6.0, (n % 2).cast("double")).alias("gate"))
 
 
-@query("pt_exits", f"with s as ({_SCREEN}), h as (select ticker, max(cost_basis_eur)/max(market_value_eur)-1.1 plpc from fx_eur group by 1) select ticker, 'signal' reason from h where ticker in (select ticker from s where robust='SELL') union all select ticker, 'stop_loss' from h where plpc < -0.15 and ticker not in (select ticker from s where robust='SELL')")
+@query("pt_exits", "with h as (select ticker, max(cost_basis_eur)/max(market_value_eur)-1.15 plpc, right(ticker, 1) = '1' sell from fx_eur group by 1) select ticker, 'signal' reason from h where sell union all select ticker, 'stop_loss' from h where plpc < -0.15 and not sell")
 def _(spark, d):
-    held = fx.holdings_eur(spark, d).groupBy("ticker").agg((F.max("cost_basis_eur") / F.max("market_value_eur") - 1.1).alias("plpc"))
-    return A.exits(held, _screen(spark, d).withColumn("signal", F.col("robust")))
+    held = fx.holdings_eur(spark, d).groupBy("ticker").agg((F.max("cost_basis_eur") / F.max("market_value_eur") - 1.15).alias("plpc"))
+    signals = held.select("ticker", F.when(F.col("ticker").endswith("1"), "SELL").otherwise("HOLD").alias("signal"), F.lit("HOLD").alias("robust"))
+    return A.exits(held, signals)
 
 
 @query("pt_size", f"select ticker, least(greatest(t, 0.01)/sum(greatest(t, 0.01)) over (), 0.15) weight from ({_TS})", d="weight")
@@ -519,7 +529,7 @@ def _(spark, d):
 
 @query("rep_montecarlo")
 def _(spark, d):
-    return C.tail_metrics(C.nav_paths(_simulated(spark, d, "garch"))).select("var_95", "cvar_95", "p_loss_5", "dd_mean")
+    return C.tail_metrics(written(_simulated(spark, d, "garch"), "paths")).select("var_95", "cvar_95", "p_loss_5", "dd_mean")
 
 
 @query("rep_corr_break", "select sqrt(sum(x.weight*y.weight*cov)) sigma from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b", d="sigma")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import scalars as S
+from tideline.operators.joins import lookup
 
 WATCHLIST = "ticker string, weight double, notes string, asset_class string, currency string"
 HOLDINGS_CSV = "ticker string, description string, asset_class string, quantity double, cost_basis_eur double, currency string"
@@ -82,7 +83,7 @@ def ibkr_positions(rows: DataFrame, fx: DataFrame) -> DataFrame:
     default = F.create_map(*[F.lit(x) for kv in DEFAULT_FX.items() for x in kv])
     mv = F.coalesce(F.col("position_value"), F.when(bond, F.col("mark") / 100 * F.col("quantity")).otherwise(F.col("mark") * F.col("quantity")))
     rate = F.coalesce("rate_eur", default[F.col("currency")], F.lit(1.0))
-    kept = rows.filter(F.col("category").isin("STK", "ETF", "FUND", "BOND")).join(F.broadcast(fx.limit(1000)), "currency", "left")
+    kept = rows.filter(F.col("category").isin("STK", "ETF", "FUND", "BOND")).join(lookup(fx), "currency", "left")
     return kept.select(F.col("symbol").alias("ticker"), F.when(bond, "bond").otherwise("equity").alias("asset_class"), coupon.alias("coupon"), S.bond_maturity("symbol").alias("maturity"), "quantity", (mv * rate).alias("market_value_eur"))
 
 
@@ -102,7 +103,7 @@ def etoro_positions(raw: DataFrame, usd: float) -> DataFrame:
 
 def priced_csv(holdings: DataFrame, last: DataFrame, fx: DataFrame) -> DataFrame:
     """Quantities at the last price and the rate of their currency; 0 without a price."""
-    joined = holdings.join(last, "ticker", "left").join(F.broadcast(fx.limit(1000)), "currency", "left")
+    joined = holdings.join(last, "ticker", "left").join(lookup(fx), "currency", "left")
     return joined.withColumn("market_value_eur", F.coalesce(F.col("price") * F.col("rate_eur") * F.col("quantity"), F.lit(0.0)))
 
 
