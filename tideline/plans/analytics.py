@@ -549,7 +549,12 @@ def _(spark, d):
 _PPF = "(case when p < 0.5 then -1 else 1 end) * (t - (2.515517+0.802853*t+0.010328*t*t)/(1+1.432788*t+0.189269*t*t+0.001308*t*t*t))"
 
 
-@query("fn_norm_cdf")
+_ERFC = "0.0"
+for _a in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    _ERFC = f"({_ERFC})*t + ({_a})"
+
+
+@query("fn_norm_cdf", f"select event_id, 0.5*case when x >= 0 then y else 2 - y end p from (select *, t*exp(-x*x + {_ERFC}) y from (select event_id, x, 1/(1+0.5*abs(x)) t from (select event_id, -value/50/sqrt(2.0::double) x from events)))", d="p", i="event_id")
 def _(spark, d):
     return fx.table(spark, d, "events").select("event_id", S.norm_cdf(F.col("value") / 50).alias("p"))
 

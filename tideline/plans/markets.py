@@ -370,7 +370,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- service tables
 
 
-@query("svc_poll")
+@query("svc_poll", "select event_type ticker, arg_max(value, ts) price, max(ts) ts from events where dayofweek(ts) between 1 and 5 and hour(ts)*60+minute(ts) between 870 and 1260 and value is not null group by 1", d="price")
 def _(spark, d):
     ticks = P.market_hours(fx.table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts"))
     return B.latest_prices(ticks)
