@@ -14,6 +14,7 @@ from tideline.operators import portfolio as P
 from tideline.operators import series as X
 from tideline.operators import stress as T
 from tideline.plans import fixtures as fx
+from tideline.plans import least_squares as L
 from tideline.plans.registry import query
 
 _W = "(select ticker, sum(weight) weight from fx_eur group by 1)"
@@ -153,7 +154,11 @@ def _(spark, d):
     return R.single_factor(fx.aligned(spark, d))
 
 
-@query("agg_ols5")
+_YEAR = "select * from fx_aligned qualify row_number() over (partition by ticker order by dt desc) <= 252"
+fx.SQL["fx_fit5"] = L.regression(_YEAR)
+
+
+@query("agg_ols5", "select *, alpha*252 alpha_ann, case when t_alpha > 1.5 then 'BUY' when t_alpha < -1.5 then 'SELL' else 'HOLD' end signal, case when abs(t_alpha) >= 3 then '★★★' when abs(t_alpha) >= 2 then '★★' when abs(t_alpha) >= 1.5 then '★' else '' end stars from fx_fit5", d=L.columns() + " alpha_ann", i="n")
 def _(spark, d):
     return R.factor_regression(fx.aligned(spark, d))
 
@@ -190,12 +195,12 @@ def _(spark, d):
     return R.dominant(_attribution(spark, d, 63))
 
 
-@query("agg_vif")
+@query("agg_vif", L.vifs("select * from fx_factors"), d="vif")
 def _(spark, d):
     return R.vif(fx.factors(spark, d)).select("factor", "vif")
 
 
-@query("agg_condnum")
+@query("agg_condnum", L.condition("select * from fx_factors"), d="cond")
 def _(spark, d):
     return R.vif(fx.factors(spark, d)).agg(F.max("cond").alias("cond"))
 
@@ -205,7 +210,11 @@ def _(spark, d):
     return R.high_pairs(fx.factors(spark, d), ("mkt_rf", "smb", "hml"), 0.005)
 
 
-@query("agg_collinearity")
+_RECENT = "select * from fx_factors order by dt desc limit 252"
+_PAIRS = " + ".join(f"(abs(corr({a}, {b})) > 0.4)::int" for k, a in enumerate(L.FACTORS) for b in L.FACTORS[k + 1 :])
+
+
+@query("agg_collinearity", f"select *, n >= 30 and (max_vif > 5 or cond > 10 or high_pairs > 0) has_warning from (select (select max(vif) from ({L.vifs(_RECENT)})) max_vif, (select cond from ({L.condition(_RECENT)})) cond, {_PAIRS} high_pairs, count(*) n from ({_RECENT}))", d="max_vif cond", i="high_pairs n")
 def _(spark, d):
     return R.collinearity(fx.factors(spark, d))
 
@@ -239,7 +248,10 @@ def _(spark, d):
     return _ic_rows(spark, d).groupBy("ticker").agg(F.when(F.count("*") >= 2, hit).alias("hit_rate"))
 
 
-@query("agg_dr2")
+_MOM = "select * from (select *, lag(ret, 21) over (partition by ticker order by dt) mom from fx_aligned) where mom is not null"
+
+
+@query("agg_dr2", f"select count(*) n, avg(s.r2 - f.r2) mean_dr2, median(s.r2 - f.r2) median_dr2, avg(abs(t_mom)) mean_t, avg((abs(t_mom) > 2)::int) share_t2 from ({L.regression(_MOM)}) f join ({L.regression(_MOM, factors=(*L.FACTORS, 'mom'))}) s using(ticker) where f.r2 is not null and s.r2 is not null", d="mean_dr2 median_dr2 mean_t share_t2", i="n")
 def _(spark, d):
     rows = fx.aligned(spark, d).withColumn("mom", F.lag("ret", 21).over(X.by())).filter("mom is not null")
     return R.added_r2(R.regress(rows), R.regress(rows, (*R.FACTORS, "mom")), "mom")
@@ -459,12 +471,25 @@ def _(spark, d):
     return X.trailing_moments(fx.returns(spark, d)).select("ticker", "dt", "ret", "n_before", "skew", "kurt")
 
 
-@query("win_roll_ols")
+def _windows(span):
+    """Aligned rows in each window of ``span`` rows that the series holds whole, a window every 21 rows."""
+    rows = "(select *, row_number() over (partition by ticker order by dt) r, count(*) over (partition by ticker) c from fx_aligned)"
+    return f"select * from (select *, r-1-w*21 pos from (select *, unnest(range(greatest(0, cast(ceil((r-{span})/21.0) as bigint)), (r-1)//21 + 1)) w from {rows})) where w*21+{span} <= c"
+
+
+fx.SQL["fx_roll5"] = L.regression(_windows(126), "ticker, w", least=126)
+
+
+@query("win_roll_ols", "select * from fx_roll5", d=L.columns(), i="w n")
 def _(spark, d):
-    return R.window_alphas(fx.aligned(spark, d), ("mkt_rf",))
+    return R.window_alphas(fx.aligned(spark, d), R.FACTORS)
+
 
+_MULTI = "select * from (select *, unnest([63, 126, 252]) win from (select *, row_number() over (partition by ticker order by dt desc) rn, count(*) over (partition by ticker) c from fx_aligned)) where rn <= win and c >= win"
+fx.SQL["fx_multi5"] = L.regression(_MULTI, "ticker, win")
 
-@query("win_multi")
+
+@query("win_multi", "select * from fx_multi5", d=L.columns(), i="win n")
 def _(spark, d):
     return R.multi_window(fx.aligned(spark, d))
 
@@ -496,7 +521,13 @@ def _(spark, d):
     return _ic_rows(spark, d).select("w", "ticker", F.row_number().over(w.orderBy("x", "ticker")).alias("rx"), F.row_number().over(w.orderBy("z", "ticker")).alias("ry"))
 
 
-@query("win_capital_run")
+_BOOK = f"select row_number() over (order by weight desc, ticker) place, ticker, weight*2 weight, price from {_W} join (select ticker, arg_max(close, dt) price from fx_prices group by 1) using(ticker)"
+_RUN = f"""with recursive book as materialized ({_BOOK}), run(place, ticker, qty, value, rest) as (select 0::bigint, ''::varchar, 0::bigint, 0.0::double, 100000.0::double
+    union all select place, ticker, qty, qty*price, case when qty >= 1 then rest - qty*price else rest end from (select b.place, b.ticker, b.price, rest, cast(floor(least(100000.0*b.weight, rest)/b.price) as bigint) qty from run join book b on b.place = run.place + 1))
+    select ticker, qty, value from run where qty >= 1"""
+
+
+@query("win_capital_run", _RUN, d="value", i="qty")
 def _(spark, d):
     last = fx.prices(spark, d).groupBy("ticker").agg(F.max_by("close", "dt").alias("price"))
     orders = _weights(spark, d).join(last, "ticker").withColumn("place", F.row_number().over(W.orderBy(F.desc("weight"), "ticker")))

@@ -489,7 +489,7 @@ def _(spark, d):
     return _attribution(spark, d, 21).groupBy("factor").agg(F.sum("contrib").alias("contrib"))
 
 
-@query("rep_quality")
+@query("rep_quality", "select count(alpha) fits, avg(r2) mean_r2, count(*) filter (abs(t_alpha) > 1.5) significant from fx_fit5", d="mean_r2", i="fits significant")
 def _(spark, d):
     return R.factor_regression(fx.aligned(spark, d)).agg(F.count("alpha").alias("fits"), F.avg("r2").alias("mean_r2"), F.count_if(F.abs("t_alpha") > 1.5).alias("significant"))
 
