@@ -20,7 +20,7 @@ from tideline.operators import series as X
 from tideline.operators import stress as T
 from tideline.operators import walk as V
 from tideline.plans import fixtures as fx
-from tideline.plans.analytics import _al, _attr, _attribution, _port, _region_weights, _weights, paths
+from tideline.plans.analytics import _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
 from tideline.plans.core import runs
 from tideline.plans.registry import query
 from tideline.plans.scratch import written
@@ -173,12 +173,28 @@ def _(spark, d):
     return O.marginal(r, J.weighted_sum(r, _weights(spark, d)), r.select("ticker").distinct())
 
 
-@query("k_robust")
+_FITTED = " + ".join(f"beta_{f}*{f}" for f in R.FACTORS)
+_EMAX = f"((1-{_G})*{_ppf_of('1-1/20.0::double')} + {_G}*{_ppf_of('1-1/(20.0::double*2.718281828459045::double)')})/sqrt(n)"
+fx.SQL["fx_moments"] = f"select ticker, any_value(n) n, any_value(alpha/sigma) ir_d, case when count(*) > 3 then avg(z^3) else 0 end g3, case when count(*) > 3 then avg(z^4) else 3 end g4 from (select *, (y - alpha - ({_FITTED}))/sigma z from ({_YEAR}) join fx_fit5 using(ticker) where sigma > 0) group by 1"
+fx.SQL["fx_agreed"] = "select ticker, count(*) n_windows, any_value(majority) majority, count(*) filter (s = majority) consistency from (select *, sign(sum(s) over (partition by ticker)) majority from (select ticker, case when abs(t_alpha) > 1.5 then sign(t_alpha) end s from fx_multi5)) group by 1"
+fx.SQL["fx_oos"] = f"select ticker, case when count(*) >= 2 then avg(((alpha > 0) = (ahead > 0))::int) end oos from fx_roll5 join (select ticker, w, avg(y) ahead from ({_windows(147)}) where pos >= 126 group by 1, 2) using(ticker, w) group by 1"
+fx.SQL["fx_psr"] = f"select ticker, n, ir_d, 0.5*case when x >= 0 then e else 2 - e end psr, (ir_d - {_EMAX})*sqrt(252) deflated from (select *, t*exp(-x*x + {_ERFC}) e from (select *, 1/(1+0.5*abs(x)) t from (select *, -ir_d*sqrt(n-1)/sqrt(v)/sqrt(2.0::double) x from (select *, case when 1-g3*ir_d+(g4-1)/4*ir_d*ir_d > 0 then 1-g3*ir_d+(g4-1)/4*ir_d*ir_d end v from fx_moments))))"
+fx.SQL["fx_robust"] = """select *, case when psr > 0.85 and consistency >= 2 and majority > 0 and (oos is null or oos > 0.52) and deflated > 0 then 'BUY'
+    when psr < 0.15 and consistency >= 2 and majority < 0 and (oos is null or oos < 0.48) and deflated < 0 then 'SELL' else 'HOLD' end robust from (select ticker, n, ir_d, psr, deflated, coalesce(n_windows, 0) n_windows, coalesce(consistency, 0) consistency, coalesce(majority, 0) majority, oos from fx_psr left join fx_agreed using(ticker) left join fx_oos using(ticker))"""
+
+
+@query("k_robust", "select * from fx_robust", d="ir_d psr deflated majority oos", i="n n_windows consistency")
 def _(spark, d):
     return R.robust_signal(fx.aligned(spark, d))
 
 
-@query("k_signal_weights")
+_CAPS = """with recursive turns(k, names, w) as (select 0, list(ticker order by ticker), list(ir/t order by ticker) from (select ticker, ir, sum(ir) over () t from fx_fit5 where ir > 0)
+    union all select k + 1, names, list_transform(w, lambda x: case when much < 1e-12 or room < 1e-12 then least(x, 0.2::double) when x > 0.2 then 0.2::double else x + much*(0.2::double - x)/room end)
+    from (select *, list_sum(list_transform(w, lambda x: greatest(x - 0.2::double, 0))) much, list_sum(list_transform(w, lambda x: greatest(0.2::double - x, 0))) room from turns where k < 30))
+    select unnest(names) ticker, unnest(list_transform(w, lambda x: x/list_sum(w))) weight from turns where k = 30"""
+
+
+@query("k_signal_weights", _CAPS, d="weight")
 def _(spark, d):
     scores = R.factor_regression(fx.aligned(spark, d)).filter("ir > 0").select("ticker", F.col("ir").alias("score"))
     return A.capped_weights(scores)
@@ -281,7 +297,7 @@ def _(spark, d):
     return A.expand_universe(w, pool, "1998-09-01", w.count() + 2)
 
 
-@query("pt_screen")
+@query("pt_screen", "select ticker, ir, case when t_alpha > 1.5 then 'BUY' when t_alpha < -1.5 then 'SELL' else 'HOLD' end signal, psr, robust from fx_fit5 join fx_robust using(ticker)", d="ir psr")
 def _(spark, d):
     fits = R.factor_regression(fx.aligned(spark, d)).select("ticker", "ir", "signal")
     return fits.join(R.robust_signal(fx.aligned(spark, d)).select("ticker", "psr", "robust"), "ticker").orderBy(F.desc_nulls_last("ir"))
@@ -426,7 +442,7 @@ def _(spark, d):
     return spark.read.schema(kinds).parquet(f"{base}/latest/v{q.lastProgress['batchId']}")
 
 
-@query("str_reload")
+@query("str_reload", "select event_type ticker, arg_max(value, ts) price, max(ts) ts from events where event_type in ('click', 'view') and value is not null group by 1", d="price")
 def _(spark, d):
     ticks = fx.table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts")
     on = spark.createDataFrame([("click",), ("view",)], "ticker string")
@@ -554,7 +570,7 @@ def _(spark, d):
     return spark.createDataFrame([(len(page) > 500, "Top positions" in page)], "written boolean, has_positions boolean")
 
 
-@query("src_ws")
+@query("src_ws", "select event_type ticker, count(*) n from events group by 1", i="n")
 def _(spark, d):
     from tideline.plans.scratch import folder
     from tideline.sources.services import pushed_events
