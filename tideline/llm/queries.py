@@ -47,7 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.neighbours import near_embeddings
 
-    return near_embeddings(table(spark, sf_dir, "embeddings"))
+    return near_embeddings(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +93,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Sets as lists of sorted shingles; equal ones are one class; links of classes of which 85 in 100 shingles are common;
+#: what is reached over links. Words hold no blank, so a blank keeps them apart in a shingle.
+_NGRAM_SQL = r"""with recursive docs as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sets as materialized (select doc_id, case when len(w) >= 4 then list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end s from docs),
+named as materialized (select doc_id, len(s) n, case when len(s) > 0 then md5(array_to_string(s, chr(10))) end name, s from sets),
+classes as materialized (select name, min(doc_id) doc_id, any_value(n) n, any_value(s) s from named where name is not null group by 1),
+entries as materialized (select name, n, unnest(s) x from classes),
+links as materialized (select a.name a, b.name b from entries a join entries b on a.x = b.x and a.name <> b.name and 100*least(a.n, b.n) >= 85*greatest(a.n, b.n) group by a.name, b.name, a.n, b.n having 100*count(*) >= 85*(a.n + b.n - count(*))),
+reach(a, b) as (select name, name from classes union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select r.a name, min(c.doc_id) component_id from reach r join classes c on c.name = r.b group by 1)
+select doc_id, cast(n as bigint) n_shingles, coalesce(component_id, doc_id) component_id from named left join least using(name)"""
+
+#: Every pair of rows with usable vectors, in double precision.
+_VECTORS_SQL = """with recursive rows as (select vec_id, embedding::double[] e, coalesce(len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) good from embeddings),
+units as materialized (select vec_id, e, sqrt(list_dot_product(e, e)) size from rows where good),
+links as materialized (select a.vec_id a, b.vec_id b from units a join units b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e)/(a.size*b.size) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from units union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, min(b) component from reach group by 1), counts as (select a, count(*) n from links group by 1)
+select vec_id, coalesce(n, 0) n_links, coalesce(component, vec_id) component_id, coalesce(component, vec_id) = vec_id kept from rows left join least l on l.a = vec_id left join counts c on c.a = vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": _NGRAM_SQL, "op6_embeddings": _VECTORS_SQL}
