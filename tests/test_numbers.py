@@ -225,3 +225,33 @@ def test_plans_stay_in_the_jvm_and_prune(spark):
 
     plan = fx.holdings_eur(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "l_tax" in plan and "l_shipdate" not in plan.split("ReadSchema")[-1]
+
+
+def test_least_squares_in_sql():
+    """Sweeps and the condition number against NumPy, also on correlated columns and on one that is a sum of others."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from tideline.plans import least_squares as L
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 5)) @ (np.eye(5) + 0.4 * rng.normal(size=(5, 5)))
+    rows = pd.DataFrame(x, columns=list(L.FACTORS)).assign(y=x @ [0.5, -0.2, 0.1, 0.0, 1.0] + rng.normal(size=300), ticker="A")
+    flat = rows.assign(ticker="B", cma=rows.mkt_rf + rows.smb)
+    few = rows.head(20).assign(ticker="C")
+    con = duckdb.connect()
+    con.register("t", pd.concat([rows, flat, few]))
+    got = con.execute(L.regression("select * from t")).df().set_index("ticker")
+    design = np.c_[np.ones(300), x]
+    coef, rss = np.linalg.lstsq(design, rows.y, rcond=None)[:2]
+    se = np.sqrt(rss[0] / (300 - 6) * np.diag(np.linalg.inv(design.T @ design)))
+    a = got.loc["A"]
+    assert np.allclose([a.alpha, *[a[f"beta_{f}"] for f in L.FACTORS]], coef)
+    assert np.allclose([a.se_alpha, *[a[f"se_{f}"] for f in L.FACTORS]], se)
+    assert np.isnan(got.loc["B"].alpha) and np.isnan(got.loc["C"].alpha) and got.loc["C"].n == 20
+    only = "select * exclude (y) from t where ticker = 'A'"
+    corr = np.corrcoef(x.T)
+    assert np.isclose(con.execute(L.condition(only)).fetchone()[0], np.linalg.cond(corr))
+    vif = dict(con.execute(L.vifs(only)).fetchall())
+    assert np.allclose([vif[f] for f in L.FACTORS], np.diag(np.linalg.inv(corr)))

@@ -20,7 +20,7 @@ from tideline.operators import series as X
 from tideline.operators import stress as T
 from tideline.operators import walk as V
 from tideline.plans import fixtures as fx
-from tideline.plans.analytics import _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
+from tideline.plans.analytics import _CF, _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
 from tideline.plans.core import runs
 from tideline.plans.registry import query
 from tideline.plans.scratch import written
@@ -120,7 +120,10 @@ def _(spark, d):
     return C.decision_metrics(C.path_ends(C.nav_paths(paths(spark, d))))
 
 
-@query("k_corr_break", "with s as (select a t, sqrt(cov) s from fx_ewcov where a = b), q as (select sqrt(sum(x.weight*y.weight*cov)) sigma, sqrt(sum(x.weight*y.weight*sa.s*sb.s*case when a=b then 1 else 0.85 end)) sigma_break from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b join s sa on sa.t=a join s sb on sb.t=b) select *, sigma_break/sigma ratio from q", d="sigma sigma_break ratio")
+_BREAK = "with s as (select a t, sqrt(cov) s from fx_ewcov where a = b), q as (select sqrt(sum(x.weight*y.weight*cov)) sigma, sqrt(sum(x.weight*y.weight*sa.s*sb.s*case when a=b then 1 else 0.85 end)) sigma_break from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b join s sa on sa.t=a join s sb on sb.t=b) select *, sigma_break/sigma ratio from q"
+
+
+@query("k_corr_break", _BREAK, d="sigma sigma_break ratio")
 def _(spark, d):
     return T.correlation_break(_region_weights(spark), M.ewma_covariances(_al(spark, d)))
 
@@ -164,15 +167,22 @@ _MARG = "(0.005+0.01*k)"
 _MVOL = f"sqrt((1-{_MARG})*(1-{_MARG})*vp+{_MARG}*{_MARG}*v+2*{_MARG}*(1-{_MARG})*c+1e-8)"
 
 
-@query("k_marginal", f"""with p as (select dt, sum(weight*ret) p from fx_returns join {_W} using(ticker) group by 1),
+fx.SQL["fx_marginal"] = f"""with p as (select dt, sum(weight*ret) p from fx_returns join {_W} using(ticker) group by 1),
     s as (select ticker, avg(ret)*252 m, avg(p)*252 mp, var_samp(ret)*252 v, var_samp(p)*252 vp, covar_samp(ret, p)*252 c, corr(ret, p) corr from fx_returns join p using(dt) group by 1 having count(*) >= 60),
     g as (select *, ((1-{_MARG})*mp+{_MARG}*m-0.035)/{_MVOL} sh, {_MVOL} vol from s cross join (select unnest(range(31)) k))
-    select ticker, {_MARG} weight, sh-(mp-0.035)/sqrt(vp) d_sharpe, vol-sqrt(vp) d_vol, corr from g qualify row_number() over (partition by ticker order by sh desc, k desc) = 1""", d="weight d_sharpe d_vol corr", digits=4)
-def _(spark, d):
+    select ticker, {_MARG} weight, sh-(mp-0.035)/sqrt(vp) d_sharpe, vol-sqrt(vp) d_vol, corr from g qualify row_number() over (partition by ticker order by sh desc, k desc) = 1"""
+
+
+def _marginal(spark, d):
     r = fx.returns(spark, d)
     return O.marginal(r, J.weighted_sum(r, _weights(spark, d)), r.select("ticker").distinct())
 
 
+@query("k_marginal", "select * from fx_marginal", d="weight d_sharpe d_vol corr", digits=4)
+def _(spark, d):
+    return _marginal(spark, d)
+
+
 _FITTED = " + ".join(f"beta_{f}*{f}" for f in R.FACTORS)
 _EMAX = f"((1-{_G})*{_ppf_of('1-1/20.0::double')} + {_G}*{_ppf_of('1-1/(20.0::double*2.718281828459045::double)')})/sqrt(n)"
 fx.SQL["fx_moments"] = f"select ticker, any_value(n) n, any_value(alpha/sigma) ir_d, case when count(*) > 3 then avg(z^3) else 0 end g3, case when count(*) > 3 then avg(z^4) else 3 end g4 from (select *, (y - alpha - ({_FITTED}))/sigma z from ({_YEAR}) join fx_fit5 using(ticker) where sigma > 0) group by 1"
@@ -196,8 +206,7 @@ _CAPS = """with recursive turns(k, names, w) as (select 0, list(ticker order by
 
 @query("k_signal_weights", _CAPS, d="weight")
 def _(spark, d):
-    scores = R.factor_regression(fx.aligned(spark, d)).filter("ir > 0").select("ticker", F.col("ir").alias("score"))
-    return A.capped_weights(scores)
+    return _signal_weights(spark, d)
 
 
 @query("k_walk_forward")
@@ -483,21 +492,49 @@ def _(spark, d):
     return T.worst(T.everything(_hist(spark, d), T.hypothetical(fx.holdings_eur(spark, d), 1.1)))
 
 
-@query("rep_indicators", f"select metric, value, value*0.9 before, value - value*0.9 change from ({_CHECK})", d="value before change")
-def _(spark, d):
-    now = _alerts(spark, d).select("metric", "value")
-    return Q.beside(now, now.withColumn("value", F.col("value") * 0.9))
+_CARD_COLUMNS = ("nav_eur", "var_95", "cvar", "cvar_ratio", "var_95_cf", "sharpe", "max_drawdown", "daily_loss", "beta", "hhi", "max_position")
+
+
+def _card_sql(rows: str = "select * from fx_returns", bench: str = "select * from fx_returns_region") -> str:
+    return f"""with p as materialized (select dt, sum(weight*ret) ret from (select *, row_number() over (partition by ticker order by dt desc) rn from ({rows})) join {_W} using(ticker) where rn <= 252 group by 1),
+    q as (select quantile_cont(ret, 0.05) q, skewness(ret) s, kurtosis(ret) k, stddev_samp(ret) sd, avg(ret) m, count(*) n, arg_max(ret, dt) last from p),
+    dd as (select min(cum/peak-1) dd from (select cum, max(cum) over (order by dt) peak from (select dt, exp(sum(ln(1+ret)) over (order by dt)) cum from p))),
+    b as (select covar_samp(p.ret, e.ret)/var_samp(e.ret) beta, count(*) n from p join ({bench}) e on e.dt = p.dt and e.ticker = 'EUROPE'),
+    h as (select sum(market_value_eur) nav_eur, sum(weight*weight) hhi, max(weight) max_position from fx_eur), c as (select -avg(ret) cvar from p, q where ret <= q.q)
+    select round(nav_eur, 2) nav_eur, -q.q var_95, cvar, cvar/-q.q cvar_ratio, case when q.n >= 21 then -{_CF}*sd end var_95_cf, case when q.n >= 21 and sd > 0 then (252*m-0.035)/(sqrt(252)*sd) end sharpe, -dd max_drawdown, -last daily_loss, case when b.n >= 21 then beta end beta, hhi, max_position from q, dd, b, h, c"""
+
+
+def _card(spark, d, days: int = 0):
+    """The card of the holdings, over the returns up to ``days`` before the last one."""
+    r, bench = fx.returns(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'")
+    if days:
+        last = r.agg(F.date_sub(F.max("dt"), days).alias("_until"))  # one row
+        r, bench = (x.join(F.broadcast(last), F.col("dt") <= F.col("_until")).drop("_until") for x in (r, bench))
+    return Q.risk_card(r, fx.holdings_eur(spark, d), bench).withColumn("nav_eur", F.round("nav_eur", 2)).select(*_CARD_COLUMNS)
 
 
-_EXPO = f"select factor, sum(weight*beta)/sum(weight) beta from (select ticker, unnest(['mkt_rf','smb','hml']) factor, unnest([regr_slope(y,mkt_rf), regr_slope(y,smb), regr_slope(y,hml)]) beta from fx_aligned group by 1) join {_W} w using(ticker) group by 1"
+def _metrics_sql(card: str) -> str:
+    return f"select unnest([{', '.join(repr(c) for c in _CARD_COLUMNS)}]) metric, unnest([{', '.join(_CARD_COLUMNS)}]) v from ({card})"
 
 
-@query("rep_exposure", _EXPO, d="beta")
+_UNTIL = "(select cast(max(dt) as date) - 7 from fx_returns)"
+_BEFORE = _card_sql(f"select * from fx_returns where dt <= {_UNTIL}", f"select * from fx_returns_region where dt <= {_UNTIL}")
+
+
+@query("rep_indicators", f"select metric, n.v as value, b.v as before, n.v - b.v change from ({_metrics_sql(_card_sql())}) n join ({_metrics_sql(_BEFORE)}) b using(metric)", d="value before change")
 def _(spark, d):
-    from tideline.plans.analytics import _betas
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in _CARD_COLUMNS]))
+    return Q.beside(_card(spark, d).select(cells), _card(spark, d, 7).select(cells))
 
-    names = ("mkt_rf", "smb", "hml")
-    return R.portfolio_exposure(_betas(spark, d), _weights(spark, d), names).select(F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("beta")) for c in names])))
+
+_EXPO = f"select factor, sum(weight*beta)/sum(weight) beta, sqrt(sum((weight*se)^2))/sum(weight) se from (select ticker, unnest([{', '.join(repr(f) for f in R.FACTORS)}]) factor, unnest([{', '.join(f'beta_{f}' for f in R.FACTORS)}]) beta, unnest([{', '.join(f'se_{f}' for f in R.FACTORS)}]) se from fx_fit5 where beta_{R.FACTORS[0]} is not null) join {_W} w using(ticker) group by 1"
+
+
+@query("rep_exposure", _EXPO, d="beta se")
+def _(spark, d):
+    fits = R.factor_regression(fx.aligned(spark, d))
+    card = R.portfolio_exposure(fits, _weights(spark, d), tuple(f"beta_{f}" for f in R.FACTORS), tuple(f"se_{f}" for f in R.FACTORS))
+    return card.select(F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"beta_{f}").alias("beta"), F.col(f"se_{f}").alias("se")) for f in R.FACTORS])))
 
 
 @query("rep_attribution", f"select factor, sum(contrib) contrib from ({_attr(21)}) group by 1", d="contrib", digits=5)
@@ -510,27 +547,34 @@ def _(spark, d):
     return R.factor_regression(fx.aligned(spark, d)).agg(F.count("alpha").alias("fits"), F.avg("r2").alias("mean_r2"), F.count_if(F.abs("t_alpha") > 1.5).alias("significant"))
 
 
-@query("rep_rankings", f"select ticker, t ir, row_number() over (order by round(t,6) desc, ticker) place from ({_TS})", d="ir", i="place")
+@query("rep_rankings", "select ticker, ir, row_number() over (order by round(ir, 6) desc nulls last, ticker) place from fx_fit5", d="ir", i="place")
 def _(spark, d):
-    t = fx.returns(spark, d).groupBy("ticker").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*"))) * 40).alias("ir"))
-    return Q.ranked(t, F.round("ir", 6).desc_nulls_last(), F.col("ticker"))
+    fits = R.factor_regression(fx.aligned(spark, d)).select("ticker", "ir")
+    return Q.ranked(fits, F.round("ir", 6).desc_nulls_last(), F.col("ticker"))
 
 
-@query("rep_signal_weights", f"select ticker, round(weight, 4) weight from (select ticker, least(greatest(t, 0.01)/sum(greatest(t, 0.01)) over (), 0.15) weight from ({_TS}))", d="weight", digits=4)
+def _signal_weights(spark, d):
+    return A.capped_weights(R.factor_regression(fx.aligned(spark, d)).filter("ir > 0").select("ticker", F.col("ir").alias("score")))
+
+
+@query("rep_signal_weights", f"select ticker, weight from ({_CAPS})", d="weight", digits=4)
 def _(spark, d):
-    t = fx.returns(spark, d).groupBy("ticker").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*"))) * 40).alias("ir"))
-    return A.order_weights(t).select("ticker", F.round("weight", 4).alias("weight"))
+    return _signal_weights(spark, d)
 
 
-@query("rep_rebalancing", f"select ticker, 0.04-weight delta from {_W} w where abs(0.04-weight) >= 0.002", d="delta")
+_MOVES = f"select ticker, c.weight - w.weight delta from {_W} w join ({_CAPS}) c using(ticker) where abs(c.weight - w.weight) >= 0.002"
+
+
+@query("rep_rebalancing", _MOVES, d="delta")
 def _(spark, d):
-    return _weights(spark, d).select("ticker", (0.04 - F.col("weight")).alias("delta")).filter(F.abs("delta") >= 0.002)
+    joined = _weights(spark, d).join(_signal_weights(spark, d).select("ticker", F.col("weight").alias("target")), "ticker")
+    return joined.select("ticker", (F.col("target") - F.col("weight")).alias("delta")).filter(F.abs("delta") >= 0.002)
 
 
-@query("rep_candidates", f"select ticker, case when weight > 0.006 and weight*2-0.025 > 0 then 'add' when weight > 0.006 then 'neutral' else 'skip' end verdict from {_W} w where ticker not in (select ticker from fx_watchlist)")
+@query("rep_candidates", "select ticker, case when weight > 0.006 and round(d_sharpe, 6) > 0 then 'add' when weight > 0.006 then 'neutral' else 'skip' end verdict from fx_marginal where ticker not in (select ticker from fx_watchlist)")
 def _(spark, d):
-    w = _weights(spark, d).join(fx.watchlist(spark, d), "ticker", "left_anti")
-    return w.select("ticker", A.candidate_verdict(F.col("weight"), F.col("weight") * 2 - 0.025).alias("verdict"))
+    gains = _marginal(spark, d).join(fx.watchlist(spark, d), "ticker", "left_anti")
+    return gains.select("ticker", A.candidate_verdict(F.col("weight"), F.round("d_sharpe", 6)).alias("verdict"))
 
 
 @query("rep_top10", _EQ.format("equity"), d="mv", digits=2)
@@ -548,9 +592,9 @@ def _(spark, d):
     return C.tail_metrics(written(_simulated(spark, d, "garch"), "paths")).select("var_95", "cvar_95", "p_loss_5", "dd_mean")
 
 
-@query("rep_corr_break", "select sqrt(sum(x.weight*y.weight*cov)) sigma from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b", d="sigma")
+@query("rep_corr_break", _BREAK, d="sigma sigma_break ratio")
 def _(spark, d):
-    return T.correlation_break(_region_weights(spark), M.ewma_covariances(_al(spark, d))).select("sigma")
+    return T.correlation_break(_region_weights(spark), M.ewma_covariances(_al(spark, d)))
 
 
 @query("rep_footer", "select ticker, concat('[', count(*), 'd window]') flag from fx_prices group by 1 having count(*) >= 21 and count(*) < 1400")
@@ -558,10 +602,9 @@ def _(spark, d):
     return Q.flagged(P.classify_series(fx.prices(spark, d), 1400)).select("ticker", "flag")
 
 
-@query("risk_card", f"with p as (select dt, sum(weight*ret) ret from (select *, row_number() over (partition by ticker order by dt desc) rn from fx_returns) join {_W} using(ticker) where rn <= 252 group by 1) select (select -quantile_cont(ret, 0.05) from p) var_95, (select (252*avg(ret)-0.035)/(sqrt(252)*stddev_samp(ret)) from p having count(*) >= 21) sharpe, (select sum(weight*weight) from fx_eur) hhi, (select max(weight) from fx_eur) max_position", d="var_95 sharpe hhi max_position")
+@query("risk_card", _card_sql(), d=" ".join(_CARD_COLUMNS))
 def _(spark, d):
-    card = Q.risk_card(fx.returns(spark, d), fx.holdings_eur(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'"))
-    return card.select("var_95", "sharpe", "hhi", "max_position")
+    return _card(spark, d)
 
 
 @query("sink_html")
