@@ -776,3 +776,19 @@ def test_pipeline_keeps_one_of_each_group(spark, docs):
     kept = P.dedup_stage(spark, docs, "").collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 120 in ids and not {121, 122, 123} & set(ids)
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op6_embeddings"])
+def test_whole_results_against_sql(spark, name):
+    """The queries over whole tables against the SQL of the exact sets, links and components."""
+    import duckdb
+
+    from tideline.llm import queries as Q
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df, want = Q.QUERIES[name](spark, folder), con.execute(Q.ORACLE_SQL[name])
+    order = [c[0] for c in want.description]
+    assert sorted(order) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*order).collect())) == sorted(want.fetchall())
