@@ -80,6 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_language(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "n_switches")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 #: Sets as lists of sorted shingles; equal ones are one class; links of classes of which 85 in 100 shingles are common;
