@@ -179,3 +179,34 @@ def trimmed() -> None:
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n: the folds of the contracts."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def byte_words(texts, solid: np.ndarray, apart: np.ndarray | None = None):
+    """The words of a batch of texts as they are: runs of bytes that ``solid`` (a table of 256) marks, A-Z lower-cased.
+
+    Returns the words as a large string array, the first word of each row (with the total at the end), and
+    for each word a number that grows where a byte of ``apart`` stands between it and the word before.
+    Rows never share a word; null is an empty text.
+    """
+    import pyarrow as pa
+
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
+    body = texts.buffers()[2]
+    data = _LOWER[np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]] if body is not None and n else np.zeros(0, np.uint8)
+    bound = offsets - offsets[0]
+    inside = solid[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    head = bound[:-1][bound[:-1] < len(data)]
+    begins[head] = inside[head]
+    start = np.flatnonzero(begins)
+    kept = np.cumsum(inside)
+    at = kept[start] - 1 if len(start) else np.zeros(0, np.int64)
+    ends = np.append(at, kept[-1] if len(kept) else 0).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    pieces = np.cumsum(apart[data])[start] if apart is not None and len(start) else np.zeros(len(start), np.int64)
+    return words, np.searchsorted(start, bound), pieces

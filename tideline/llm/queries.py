@@ -80,6 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_language(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "n_switches")
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.fingerprints import fingerprints
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op12_search": op12_search,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -120,4 +127,12 @@ reach(a, b) as (select vec_id, vec_id from units union select r.a, l.b from reac
 least as (select a, min(b) component from reach group by 1), counts as (select a, count(*) n from links group by 1)
 select vec_id, coalesce(n, 0) n_links, coalesce(component, vec_id) component_id, coalesce(component, vec_id) = vec_id kept from rows left join least l on l.a = vec_id left join counts c on c.a = vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": _NGRAM_SQL, "op6_embeddings": _VECTORS_SQL}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Scores of all documents that hold a term of an item.
+_SEARCH_SQL = f"""with docs as (select doc_id, w, len(w)::bigint size from (select doc_id, {_TERMS} w from documents) where len(w) > 0), total as (select count(*)::bigint many, sum(size)::bigint terms from docs),
+asked as (select distinct item_id, unnest({_TERMS}) t from benchmark), held as (select doc_id, size, t, count(*)::bigint tf from (select doc_id, size, unnest(w) t from docs) where t in (select t from asked) group by 1, 2, 3),
+weights as (select t, floor(1000*ln((2*many+2)/(2*count(*)+1)))::bigint w from held, total group by t, many),
+scores as (select item_id, doc_id, sum(w*((1000000000*tf)//(1000*tf+8*(10+(90*size*many)//terms))))::bigint score from asked join held using(t) join weights using(t), total group by 1, 2)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) rank, doc_id, score from scores where score > 0 qualify rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op12_search": _SEARCH_SQL, "op3_ngram_join": _NGRAM_SQL, "op6_embeddings": _VECTORS_SQL}
