@@ -80,6 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_language(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "n_switches")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.search import rank_documents
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op11_phrases": op11_phrases,
     "op12_search": op12_search,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -135,4 +142,17 @@ weights as (select t, floor(1000*ln((2*many+2)/(2*count(*)+1)))::bigint w from h
 scores as (select item_id, doc_id, sum(w*((1000000000*tf)//(1000*tf+8*(10+(90*size*many)//terms))))::bigint score from asked join held using(t) join weights using(t), total group by 1, 2)
 select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) rank, doc_id, score from scores where score > 0 qualify rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op12_search": _SEARCH_SQL, "op3_ngram_join": _NGRAM_SQL, "op6_embeddings": _VECTORS_SQL}
+#: Phrases by their words, counted within pieces.
+_PHRASES_SQL = r"""with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+words as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces), places as materialized (select lang, w, unnest(range(1, len(w) + 1)) i from words),
+ones as materialized (select lang, w[i] x, count(*)::bigint f from places group by 1, 2), totals as (select lang, sum(f)::bigint n from ones group by 1),
+pairs as materialized (select lang, w[i] x, w[i+1] y, count(*)::bigint f from places where i < len(w) group by all having count(*) >= 10),
+triples as materialized (select lang, w[i] x, w[i+1] y, w[i+2] z, count(*)::bigint f from places where i + 1 < len(w) group by all having count(*) >= 10),
+longer as (select lang, x, y, max(f) f from (select lang, x, y, f from triples union all select lang, y, z, f from triples) group by all),
+cuts as (select p.lang, p.x || ' ' || p.y phrase, 1 k, p.f a, l.f l, r.f r from pairs p join ones l on l.lang = p.lang and l.x = p.x join ones r on r.lang = p.lang and r.x = p.y left join longer o on o.lang = p.lang and o.x = p.x and o.y = p.y where o.f is null or 100*o.f < 50*p.f
+union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, 1, t.f, l.f, r.f from triples t join ones l on l.lang = t.lang and l.x = t.x join pairs r on r.lang = t.lang and r.x = t.y and r.y = t.z
+union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, 2, t.f, l.f, r.f from triples t join pairs l on l.lang = t.lang and l.x = t.x and l.y = t.y join ones r on r.lang = t.lang and r.x = t.z),
+scored as (select *, ((1000000::hugeint*a*a)//(l::hugeint*r))::bigint score from cuts), best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score from best join totals using(lang) qualify rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op11_phrases": _PHRASES_SQL, "op12_search": _SEARCH_SQL, "op3_ngram_join": _NGRAM_SQL, "op6_embeddings": _VECTORS_SQL}
