@@ -40,15 +40,34 @@ def encoder(path: str, pattern: str):
     return _encoders[path]
 
 
-def _tokens(path: str, pattern: str, eos: int):
+def exact_encoder(path: str):
+    """The same vocabulary from its JSON file: slower, without a limit on a run of blanks."""
+    if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[path] = Tokenizer.from_file(path)
+    return _encoders[path]
+
+
+def token_ids(text: str, path: str, pattern: str, json_path: str | None = None) -> list[int]:
+    """The ids of a whole text. The pattern's engine gives up on runs of very many blanks; such texts go to the JSON tokenizer."""
+    try:
+        return encoder(path, pattern).encode(text, allowed_special=set(SPECIAL))
+    except ValueError:
+        if json_path is None:
+            raise
+        return exact_encoder(json_path).encode(text, add_special_tokens=False).ids
+
+
+def _tokens(path: str, pattern: str, eos: int, json_path: str | None):
     def run(batches):
-        encode, block, places = encoder(path, pattern).encode, TaskContext.get().partitionId(), {}
+        block, places = TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 queues, ns, ids, place = part["queue"].to_pylist(), [], [], []
                 for queue, text in zip(queues, part["text"]):
-                    own = encode(text.as_py() or "", allowed_special=set(SPECIAL))
+                    own = token_ids(text.as_py() or "", path, pattern, json_path)
                     own.append(eos)
                     place.append(places.get(queue, 0))
                     places[queue] = place[-1] + len(own)
@@ -149,7 +168,8 @@ def _cut(totals: dict[str, int], weights: dict[str, int] | None, window: int, le
 
 
 def pack(
-    docs: DataFrame, ranks_path: str, pattern: str, eos: int = 1, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str | None, int] | None = None
+    docs: DataFrame, ranks_path: str, pattern: str, eos: int = 1, length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str | None, int] | None = None,
+    json_path: str | None = None,
 ) -> DataFrame:
     """Packs the tokens of all ``docs(doc_id, text, source)`` into sequences of ``length``.
 
@@ -163,12 +183,12 @@ def pack(
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window,
     source. Null text is an empty one (only ``eos``); null source has a queue of its own; null doc_ids are
-    kept; repeated rows are packed again each; long texts are tokenised whole; an empty table gives no
-    piece. Other columns of ``docs``, also those named like an output, aren't read.
+    kept; repeated rows are packed again each; long texts are tokenised whole (those with a run of blanks
+    beyond the pattern engine's stack by the tokenizer at ``json_path``); an empty table gives no piece. Other columns of ``docs``, also those named like an output, aren't read.
     """
     name = F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), "source"))
     texts = docs.select("doc_id", name.alias("queue"), "text")
-    tokens = written(texts.mapInArrow(_tokens(ranks_path, pattern, eos), _TOKENS), "pack-tokens")
+    tokens = written(texts.mapInArrow(_tokens(ranks_path, pattern, eos, json_path), _TOKENS), "pack-tokens")
     blocks = written(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")), "pack-blocks")
     totals = {r["queue"]: int(r["n"]) for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row per source
     shares = None

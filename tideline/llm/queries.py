@@ -22,7 +22,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tideline.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
