@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from tideline.llm.common import dropped, written
 
 #: Samples of a fingerprint: the likeness of two fingerprints strays by at most 1 / (2 sqrt(SAMPLES)).
-SAMPLES = 32
+SAMPLES = 64
 #: A term is a run without white space; longer runs count in pieces of so many characters.
 TERM = r"[^\x20\x09-\x0D]{1,16}"
 #: What a text without terms has in place of a sample.
 NOTHING = "----"
-#: So many samples share a term's r and beta.
-SHARED = 4
 
 
 def _terms(both: DataFrame, keep: list[str]) -> DataFrame:
@@ -42,20 +40,20 @@ def _samples(terms: DataFrame, by: list[str], samples: int) -> DataFrame:
 
     r and c are gamma (2, 1) and beta is uniform, all from hashes of the term: t = floor(ln w / r + beta),
     ln y = r (t - beta), a = c / (y e^r). Two texts have one least a if and only if one term is least in both
-    with the same t, the chance of which is the generalised Jaccard similarity of their weights. ``SHARED``
-    samples of a term have one r and beta, each with a c of its own: every sample keeps that chance.
+    with the same t, the chance of which is the generalised Jaccard similarity of their weights.
     """
     unit = lambda bits: (bits.cast("double") + 0.5) * (1.0 / (1 << 32))
     high, low = lambda z: unit(F.shiftrightunsigned(z, 32)), lambda z: unit(z.bitwiseAND(F.lit((1 << 32) - 1)))
     gamma = lambda z: -F.ln(high(z) * low(z))
-    draw = lambda k: F.xxhash64(F.col("h"), F.lit(k))
 
-    def shared(g: int) -> Column:
-        r, beta = gamma(draw(-1 - g)), high(F.xxhash64(draw(-1 - g), F.lit(2)))
-        return r * (F.floor(F.col("v") / r + beta) - beta + 1.0)
+    def a(k: int) -> Column:
+        x = F.xxhash64(F.col("h"), F.lit(k))
+        y = F.xxhash64(x, F.lit(1))
+        r, c, beta = gamma(x), gamma(y), high(F.xxhash64(y, F.lit(2)))
+        return F.ln(c) - r * (F.floor(F.col("v") / r + beta) - beta + 1.0)
 
-    rows = terms.select(*by, "h", F.ln("w").alias("v")).select(*by, "h", *[shared(g).alias(f"e{g}") for g in range(-(-samples // SHARED))])
-    return rows.groupBy(*by).agg(*[F.min(F.ln(gamma(draw(k))) - F.col(f"e{k // SHARED}")).alias(f"s{k}") for k in range(samples)])
+    # each sample is an aggregate of its own, whose code Spark splits off: one method for all isn't compiled
+    return terms.select(*by, "h", F.ln("w").alias("v")).groupBy(*by).agg(*[F.min(a(k)).alias(f"s{k}") for k in range(samples)])
 
 
 def _digits(samples: Column) -> Column:
@@ -102,15 +100,16 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
     links = _followed(rows)
-    needs = links.select(F.col("next_id").alias("id"), F.col("next_none").alias("none"), F.col("id").alias("to_id"), F.col("none").alias("to_none"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    needs = needs.join(links.select("id", "none", "th"), ["id", "none"])
-    given = rows.join(needs, ["id", "none"]).filter(F.xxhash64("text") == F.col("th"))
-    given = given.select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.substr("text", F.lit(1), F.col("need")).alias("gift")).dropDuplicates(["id", "none"])
+    key = ["id", "none"]
+    before = links.select(F.col("next_id").alias("id"), F.col("next_none").alias("none"), F.col("id").alias("to_id"), F.col("none").alias("to_none"), F.floor(F.col("n") / 4).cast("int").alias("need"))
+    needs = written(links.select(*key, F.col("th").alias("first")).join(before, key), "print-needs")
+    given = rows.join(needs, key).filter(F.xxhash64("text") == F.col("first"))
+    given = given.select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.substr("text", F.lit(1), F.col("need")).alias("gift")).dropDuplicates(key)
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr(F.coalesce("gift", F.lit("")), F.lit(1), quarter))
-    both = rows.join(given, ["id", "none"], "left").select("id", "none", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    own = ["id", "none", "th", "n_chars", "edited_sha256"]
-    terms = _terms(both.select("id", "none", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited"), own)
+    both = rows.join(given, key, "left").select(*key, F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    own = [*key, "th", "n_chars", "edited_sha256"]
+    terms = _terms(both.select(*key, "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited"), own)
     least = _samples(terms, [*own, "side"], samples)
     parts = least.select(*own, "side", F.array(*[f"s{k}" for k in range(samples)]).alias("s")).groupBy(*own).agg(F.collect_list(F.struct("side", "s")).alias("parts"))
 
@@ -119,10 +118,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         return _digits(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.array_min(F.transform(held, lambda s: F.get(s, k)))))
 
     prints = written(parts.select(*own, of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "prints")
-    ahead = prints.join(links.select("id", "none", "th"), ["id", "none", "th"]).select(F.col("id").alias("next_id"), F.col("none").alias("next_none"), F.col("fingerprint").alias("ahead"))
-    full = prints.join(links.select("id", "none", "next_id", "next_none"), ["id", "none"]).join(ahead, ["next_id", "next_none"])
-    every = rows.select("id", "none", F.xxhash64("text").alias("th"))
-    out = every.join(full, ["id", "none", "th"])
+    # the next document's fingerprint goes to its predecessor; repeated rows, once in ``prints``, come back as often as they were
+    ahead = prints.select(*key, "th", "fingerprint").join(needs, key).filter("th = first").select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.col("fingerprint").alias("ahead"))
+    again = rows.groupBy(*key, F.xxhash64("text").alias("th")).agg(F.count("*").alias("m")).filter("m > 1").groupBy(*key).agg(F.collect_list(F.struct("th", "m")).alias("again"))
+    copies = F.coalesce(F.get(F.filter("again", lambda x: x["th"] == F.col("th")), F.lit(0))["m"], F.lit(1))
+    out = prints.join(ahead, key).join(again, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
     return out.select(
         F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("ahead"), samples).alias("near_next"),
