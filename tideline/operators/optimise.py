@@ -10,76 +10,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.kernels import fits
+from tideline.kernels import critical_line as L
 from tideline.kernels import optimise as K
 from tideline.kernels.paths import Model, psd
 from tideline.operators import moments as M
-from tideline.operators.factors import implied_mean
 
 
-def moments_of(returns: DataFrame, mu: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tickers, yearly means and covariances on the driver: one row per asset pair, from aggregations."""
-    names = sorted(r["ticker"] for r in mu.collect())
-    means = {r["ticker"]: r["mu"] for r in mu.collect()}
-    at = {t: k for k, t in enumerate(names)}
-    cov = np.zeros((len(names), len(names)))
-    for r in M.covariances(returns).collect():
-        if r["a"] in at and r["b"] in at and r["cov"] is not None:
-            cov[at[r["a"]], at[r["b"]]] = r["cov"]
-    return names, np.array([means[t] for t in names]), psd(cov, 1e-10)
+def problems(returns: DataFrame, mu: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per problem (key ``by``): names, mu and cov as lists, from mu(ticker, mu) and the covariances of returns.
 
+    A pair without covariance counts 0. A problem is as large as its assets' covariance matrix.
+    """
+    assets = mu.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ticker", "mu"))).alias("assets"))
+    if by:
+        cov = M.matrix(returns.withColumn("_key", F.struct(*by)), key="ticker").groupBy(*by, "a", "b").agg((F.covar_samp("x", "y") * 252).alias("cov"))
+    else:
+        cov = M.covariances(returns)
+    cells = cov.groupBy(*by).agg(F.collect_list(F.struct("a", "b", "cov")).alias("cells"))
+    return assets.join(cells, list(by)) if by else assets.crossJoin(cells)  # one row each
 
-def optimal(returns: DataFrame, aligned: DataFrame, rf: float = 0.035, low: float = 0.005, high: float = 0.30) -> DataFrame:
-    """ticker, weight of the largest Sharpe ratio; no rows where the bounds are infeasible."""
-    names, mu, cov = moments_of(returns, implied_mean(aligned, rf))
-    w = K.max_sharpe(mu, cov, rf, low, high)
-    rows = [] if w is None else [(t, float(x)) for t, x in zip(names, w)]
-    return returns.sparkSession.createDataFrame(rows, "ticker string, weight double")
+
+def _arrays(row) -> tuple[list[str], np.ndarray, np.ndarray]:
+    names, mu = [x["ticker"] for x in row["assets"]], np.array([x["mu"] for x in row["assets"]], float)
+    at = {t: k for k, t in enumerate(names)}
+    cov = np.zeros((len(names), len(names)))
+    for x in row["cells"]:
+        if x["a"] in at and x["b"] in at and x["cov"] is not None:
+            cov[at[x["a"]], at[x["b"]]] = x["cov"]
+    return names, mu, psd(cov, 1e-10)
 
 
-def trace(returns: DataFrame, aligned: DataFrame, points: int = 80) -> DataFrame:
-    """(point, vol, ret) of the efficient frontier, a row per problem solved in parallel."""
-    names, mu, cov = moments_of(returns, implied_mean(aligned))
-    low, high = min(0.005, 1 / len(names)), max(0.30, 1.2 / len(names))
-    grid = np.linspace(8, -4, points)
+def _solved(problem: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(names, mu, cov)`` of every problem row, in tasks; yields rows of ``schema``."""
 
     def run(frames):
         for frame in frames:
-            out = []
-            for k in frame["id"].tolist():
-                w = K.utility(mu, cov, math.exp(grid[k]), low, high)
-                out.append((k, math.sqrt(float(w @ cov @ w)), float(w @ mu)))
-            yield pd.DataFrame(out, columns=["point", "vol", "ret"])
+            rows = [r for row in frame.to_dict("records") for r in solve(*_arrays(row))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return returns.sparkSession.range(points).repartition(8).mapInPandas(run, "point long, vol double, ret double")
+    return problem.mapInPandas(run, schema)
 
 
-def cloud(returns: DataFrame, aligned: DataFrame, n: int = 1200, seed: int = 42, rf: float = 0.035) -> DataFrame:
-    """(id, vol, ret, sharpe) of portfolios drawn uniformly from the simplex."""
-    _, mu, cov = moments_of(returns, implied_mean(aligned, rf))
+def _bounds(n: int, low: float, high: float) -> tuple[float, float]:
+    return min(low, 1 / n), max(high, 1.2 / n)
 
-    def run(frames):
-        for frame in frames:
-            ids = frame["id"].to_numpy()
-            w = np.stack([np.random.Generator(np.random.PCG64([seed, int(k)])).dirichlet(np.ones(len(mu))) for k in ids]) if len(ids) else np.zeros((0, len(mu)))
-            vol, ret = np.sqrt(np.einsum("ni,ij,nj->n", w, cov, w)), w @ mu
-            yield pd.DataFrame({"id": ids, "vol": vol, "ret": ret, "sharpe": (ret - rf) / vol})
 
-    return returns.sparkSession.range(n).mapInPandas(run, "id long, vol double, ret double, sharpe double")
+def optimal(returns: DataFrame, mu: DataFrame, rf: float = 0.035, low: float = 0.005, high: float = 0.30) -> DataFrame:
+    """ticker, weight, multiplier of the largest excess return over volatility with weights in [low, high].
+
+    From the corner portfolios (``kernels.critical_line``). The multiplier certifies it: with g = mu - rf -
+    theta cov w, theta = excess / variance, it is g less its mean over free assets: 0 where the weight is
+    between its bounds, at most 0 at the lower, at least 0 at the upper one. No rows where the bounds can't
+    sum to 1. Where no portfolio earns more than ``rf``, the best one of the efficient half.
+    """
+
+    def solve(names, mean, cov):
+        c = L.corners(mean, cov, low, high)
+        if c is None:
+            return []
+        w = L.tangency(c, mean, cov, rf)
+        g = mean - rf - (float(w @ mean) - rf) / float(w @ cov @ w) * (cov @ w)
+        return [(t, float(x), float(m)) for t, x, m in zip(names, w, L.multipliers(w, g, low, high))]
+
+    return _solved(problems(returns, mu), solve, "ticker string, weight double, multiplier double")
+
+
+def corner_portfolios(returns: DataFrame, mu: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """corner, trade, ticker, weight, multiplier: all corner portfolios, from the largest return to the least variance."""
+
+    def solve(names, mean, cov):
+        c = L.corners(mean, cov, low, high)
+        if c is None:
+            return []
+        return [(k, float(t), a, float(x), float(m)) for k, (t, w) in enumerate(zip(c.trade, c.weights)) for a, x, m in zip(names, w, L.multipliers(w, t * mean - cov @ w, low, high))]
+
+    return _solved(problems(returns, mu), solve, "corner long, trade double, ticker string, weight double, multiplier double")
+
+
+def trace(returns: DataFrame, mu: DataFrame, points: int = 80) -> DataFrame:
+    """(point, target, vol, ret): least variances at ``points`` targets from the least mean to 1.05 of the largest, weights of
+    at least 0; of those the efficient half. Targets beyond the largest mean have no portfolio.
+    """
+
+    def solve(names, mean, cov):
+        if len(names) < 2 or np.ptp(mean) < 1e-6:
+            return []
+        c, out = L.corners(mean, cov), []
+        for k, target in enumerate(mean.min() + (mean.max() * 1.05 - mean.min()) * np.arange(points) / (points - 1)):
+            if (w := L.at_return(c, mean, target)) is not None:
+                out.append((k, float(target), math.sqrt(float(w @ cov @ w)), float(w @ mean)))
+        return out
+
+    return _solved(problems(returns, mu), solve, "point long, target double, vol double, ret double")
+
+
+def cloud(returns: DataFrame, mu: DataFrame, n: int = 1200, seed: int = 42, rf: float = 0.035) -> DataFrame:
+    """(id, vol, ret, sharpe) of portfolios drawn uniformly from the simplex: exponentials of hashes over their sum.
+
+    A row per portfolio and asset; variances come from the pairs of a portfolio's assets, in one aggregation.
+    """
+    unit = (F.pmod(F.xxhash64("id", "ticker", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = returns.sparkSession.range(n).join(mu).withColumn("x", -F.ln(unit))  # the stated portfolios against the assets of one problem
+    drawn = drawn.join(drawn.groupBy("id").agg(F.sum("x").alias("all")), "id").select("id", "ticker", "mu", (F.col("x") / F.col("all")).alias("w"))
+    ret = drawn.groupBy("id").agg(F.sum(F.col("w") * F.col("mu")).alias("ret"))
+    a, b = (drawn.select("id", F.col("ticker").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
+    vol = a.join(b, "id").join(M.covariances(returns), ["a", "b"]).groupBy("id").agg(F.sqrt(F.sum(F.expr("wa*wb*cov"))).alias("vol"))
+    return ret.join(vol, "id").select("id", "vol", "ret", ((F.col("ret") - rf) / F.col("vol")).alias("sharpe"))
 
 
-def bundle(returns: DataFrame, aligned: DataFrame, current: DataFrame) -> DataFrame:
+def bundle(returns: DataFrame, mu: DataFrame, current: DataFrame) -> DataFrame:
     """kind, name, vol, ret, weight: assets, frontier, optimum and the current portfolio as one relation."""
-    names, mu, cov = moments_of(returns, implied_mean(aligned))
-    w = K.max_sharpe(mu, cov, low=min(0.005, 1 / len(names)), high=max(0.30, 1.2 / len(names)))
-    now = {r["ticker"]: r["weight"] for r in current.collect()}
-    c = np.array([now.get(t, 0.0) for t in names])
-    point = lambda v: (math.sqrt(float(v @ cov @ v)), float(v @ mu))
-    rows = [("asset", t, math.sqrt(cov[k, k]), float(mu[k]), None) for k, t in enumerate(names)]
-    rows += [("optimal", t, *point(w), float(x)) for t, x in zip(names, w)] + [("current", t, *point(c), float(x)) for t, x in zip(names, c)]
-    spark = returns.sparkSession
-    out = spark.createDataFrame(rows, "kind string, name string, vol double, ret double, weight double")
-    curve = trace(returns, aligned).select(F.lit("frontier").alias("kind"), F.col("point").cast("string").alias("name"), "vol", "ret", F.lit(None).cast("double").alias("weight"))
-    return out.unionByName(curve)
+    none = F.lit(None).cast("double")
+    cov = M.covariances(returns)
+    assets = mu.join(cov.filter("a = b").select(F.col("a").alias("ticker"), F.sqrt("cov").alias("vol")), "ticker").select(F.lit("asset").alias("kind"), F.col("ticker").alias("name"), "vol", F.col("mu").alias("ret"), none.alias("weight"))
+
+    def held(kind: str, weights: DataFrame) -> DataFrame:
+        w = mu.join(weights.select("ticker", "weight"), "ticker", "left").select("ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"), "mu")
+        ret = w.agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
+        point = M.quadratic_form(w, cov).crossJoin(ret)  # one row
+        return w.crossJoin(point).select(F.lit(kind).alias("kind"), F.col("ticker").alias("name"), F.col("sigma").alias("vol"), "ret", "weight")
+
+    curve = trace(returns, mu).select(F.lit("frontier").alias("kind"), F.col("point").cast("string").alias("name"), "vol", "ret", none.alias("weight"))
+    return assets.unionByName(held("optimal", optimal(returns, mu))).unionByName(held("current", current)).unionByName(curve)
 
 
 def marginal(returns: DataFrame, portfolio: DataFrame, candidates: DataFrame, rf: float = 0.035) -> DataFrame:

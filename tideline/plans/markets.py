@@ -20,6 +20,7 @@ from tideline.operators import series as X
 from tideline.operators import stress as T
 from tideline.operators import walk as V
 from tideline.plans import fixtures as fx
+from tideline.plans import quadratic as D
 from tideline.plans.analytics import _CF, _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
 from tideline.plans.core import runs
 from tideline.plans.registry import query
@@ -137,30 +138,69 @@ def _region_aligned(spark, d):
     return J.align_factors(_al(spark, d), fx.factors(spark, d))
 
 
-@query("k_max_sharpe")
+fx.SQL["fx_region_mu"] = "select ticker, case when count(*) >= 60 then 0.035+252*avg(ret-rf) else 252*avg(ret) end mu from fx_al join fx_factors using(dt) group by 1"
+_MU, _COV = "select * from fx_region_mu", "select a, b, cov from fx_cov"
+_BEST, _CURVE = D.tangency(_MU, _COV, 0.005, 0.30), D.frontier(_MU, _COV)
+
+
+def _region_mu(spark, d):
+    return R.implied_mean(_region_aligned(spark, d))
+
+
+@query("k_max_sharpe", _BEST, d="weight multiplier")
+def _(spark, d):
+    return O.optimal(_al(spark, d), _region_mu(spark, d))
+
+
+@query("k_frontier_qp", f"select point, target, vol, ret from ({_CURVE})", d="target vol ret", i="point")
 def _(spark, d):
-    return O.optimal(_al(spark, d), _region_aligned(spark, d))
+    return O.trace(_al(spark, d), _region_mu(spark, d))
 
 
-@query("k_frontier_qp")
+@query("k_corners")
 def _(spark, d):
-    return O.trace(_al(spark, d), _region_aligned(spark, d))
+    return O.corner_portfolios(_al(spark, d), _region_mu(spark, d))
 
 
 @query("k_cloud")
 def _(spark, d):
-    return O.cloud(_al(spark, d), _region_aligned(spark, d))
+    return O.cloud(_al(spark, d), _region_mu(spark, d))
+
 
+_POINT = "select any_value(sqrt(v)) vol, any_value(r) ret from (select sum(x.weight*y.weight*cov) v from fx_cov join ({0}) x on x.ticker=a join ({0}) y on y.ticker=b), (select sum(weight*mu) r from ({0}) join fx_region_mu using(ticker))"
+fx.SQL["fx_best"] = _BEST
 
-@query("k_frontier")
+
+@query("k_frontier", f"select 'asset' kind, ticker as name, sqrt(cov) vol, mu ret, null::double weight from fx_region_mu join fx_cov on a = ticker and b = ticker union all select 'frontier', cast(point as varchar), vol, ret, null from ({_CURVE}) "
+       f"union all select 'optimal', ticker, vol, ret, weight from fx_best, ({_POINT.format('select * from fx_best')}) union all select 'current', ticker, vol, ret, weight from fx_rw, ({_POINT.format('select * from fx_rw')})", d="vol ret weight")
 def _(spark, d):
-    return O.bundle(_al(spark, d), _region_aligned(spark, d), _region_weights(spark))
+    return O.bundle(_al(spark, d), _region_mu(spark, d), _region_weights(spark))
+
 
+#: What is held of each region's lines: its share of the value, and if it stands above its cost.
+fx.SQL["fx_held"] = "select r_name ticker, sum(l_extendedprice)/sum(sum(l_extendedprice)) over () weight, sum(l_extendedprice) > sum(l_extendedprice*(1-l_discount)*(1+l_tax)) gain from lineitem join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey join region on n_regionkey=r_regionkey group by 1"
 
-@query("k_rebalance", f"select ticker, 0.05-weight delta, case when abs(0.05-weight) < 0.02 then 3 when gain or abs(0.05-weight) < 0.05 then 2 else 1 end tier, row_number() over (order by case when abs(0.05-weight) < 0.02 then 3 when gain or abs(0.05-weight) < 0.05 then 2 else 1 end, round(abs(0.05-weight), 9) desc, ticker) place from (select ticker, sum(weight) weight, sum(market_value_eur) > sum(cost_basis_eur) gain from fx_eur group by 1)", d="delta", i="tier place")
+
+def _held(spark, d):
+    s, n, r = (fx.table(spark, d, x) for x in ("supplier", "nation", "region"))
+    where = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", F.col("r_name").alias("ticker"))
+    lines = fx.table(spark, d, "lineitem").join(where, F.col("l_suppkey") == F.col("s_suppkey"))
+    sums = lines.groupBy("ticker").agg(F.sum("l_extendedprice").alias("v"), F.sum(F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")).alias("cost"))
+    return sums.select("ticker", (F.col("v") / F.sum("v").over(P.every())).alias("weight"), (F.col("v") > F.col("cost")).alias("gain"))
+
+
+_TIER = "case when abs(delta) < 0.02 then 3 when (gain and delta < 0) or abs(delta) < 0.05 then 2 else 1 end"
+_MOVED = f"select *, {_TIER} tier from (select ticker, b.weight - h.weight delta, gain from fx_best b join fx_held h using(ticker))"
+
+
+def _rebalanced(spark, d):
+    """The holdings against the optimiser's weights; selling a winner is taxed."""
+    return A.rebalance(_held(spark, d), O.optimal(_al(spark, d), _region_mu(spark, d)), F.col("gain") & (F.col("delta") < 0))
+
+
+@query("k_rebalance", f"select ticker, delta, tier, row_number() over (order by tier, round(abs(delta), 9) desc, ticker) place from ({_MOVED})", d="delta", i="tier place")
 def _(spark, d):
-    h = fx.holdings_eur(spark, d).groupBy("ticker").agg(F.sum("weight").alias("weight"), (F.sum("market_value_eur") > F.sum("cost_basis_eur")).alias("gain"))
-    return A.rebalance(h, h.select("ticker", F.lit(0.05).alias("weight")), F.col("gain")).select("ticker", "delta", "tier", "place")
+    return _rebalanced(spark, d).select("ticker", "delta", "tier", "place")
 
 
 _MARG = "(0.005+0.01*k)"
@@ -562,13 +602,10 @@ def _(spark, d):
     return _signal_weights(spark, d)
 
 
-_MOVES = f"select ticker, c.weight - w.weight delta from {_W} w join ({_CAPS}) c using(ticker) where abs(c.weight - w.weight) >= 0.002"
-
-
-@query("rep_rebalancing", _MOVES, d="delta")
+@query("rep_rebalancing", f"select ticker, delta, tier, case tier when 3 then 'Hold' when 2 then 'Watch' else 'Act' end action, case when delta > 0 then 'Add' else 'Cut' end direction from ({_MOVED})", d="delta", i="tier")
 def _(spark, d):
-    joined = _weights(spark, d).join(_signal_weights(spark, d).select("ticker", F.col("weight").alias("target")), "ticker")
-    return joined.select("ticker", (F.col("target") - F.col("weight")).alias("delta")).filter(F.abs("delta") >= 0.002)
+    action = F.when(F.col("tier") == 3, "Hold").when(F.col("tier") == 2, "Watch").otherwise("Act")
+    return _rebalanced(spark, d).select("ticker", "delta", "tier", action.alias("action"), F.when(F.col("delta") > 0, "Add").otherwise("Cut").alias("direction"))
 
 
 @query("rep_candidates", "select ticker, case when weight > 0.006 and round(d_sharpe, 6) > 0 then 'add' when weight > 0.006 then 'neutral' else 'skip' end verdict from fx_marginal where ticker not in (select ticker from fx_watchlist)")
