@@ -133,19 +133,66 @@ def test_fits():
     assert fits.evt_var(np.array(r)) == pytest.approx(-np.percentile(r, 1), rel=0.15)
 
 
-def test_optimiser():
-    from tideline.kernels import optimise as K
+def test_critical_lines():
+    """Corners, targets and the largest Sharpe ratio meet the conditions of optimality and beat random portfolios."""
+    from tideline.kernels import critical_line as L
 
     rng = np.random.default_rng(11)
-    a = rng.normal(size=(6, 6))
-    cov, mu = a @ a.T * 0.01 + np.eye(6) * 0.01, rng.uniform(0.02, 0.2, 6)
-    w = K.max_sharpe(mu, cov)
-    assert w.sum() == pytest.approx(1) and w.min() >= 0.005 - 1e-9 and w.max() <= 0.30 + 1e-9
-    best = max(K.sharpe(K.project(rng.dirichlet(np.ones(6) * rng.uniform(0.3, 3)), 0.005, 0.3), mu, cov, 0.035) for _ in range(20_000))
-    assert K.sharpe(w, mu, cov, 0.035) >= best - 1e-3
-    assert K.max_sharpe(mu[:3], cov[:3, :3]) is None
-    curve = K.frontier(mu, cov, 20)
-    assert all(b[1] >= a[1] - 1e-9 for a, b in zip(curve, curve[1:]))
+    for n, low, high in ((1, 0.0, 1.0), (6, 0.005, 0.3), (12, 0.0, 1.0), (9, 0.01, 0.2), (40, 0.0, 0.5)):
+        a = rng.normal(size=(n, n + 2))
+        cov, mu = a @ a.T * 0.01 + np.eye(n) * 0.001, np.round(rng.uniform(0.0, 0.2, n), 2)  # with ties
+        c = L.corners(mu, cov, low, high)
+        assert np.allclose(c.weights.sum(1), 1) and c.trade[-1] == 0 and (np.diff(c.trade) <= 1e-9).all()
+        tests = [(w, (t * mu - cov @ w) / max(t, 1)) for t, w in zip(c.trade, c.weights)]
+        best = L.tangency(c, mu, cov, 0.035)
+        if mu @ best > 0.035:
+            tests.append((best, mu - 0.035 - (mu @ best - 0.035) / (best @ cov @ best) * (cov @ best)))
+        for w, g in tests:
+            m, free = L.multipliers(w, g, low, high), (w > low + 1e-9) & (w < high - 1e-9)
+            assert np.abs(m[free]).max(initial=0) < 1e-6 and m[w <= low + 1e-9].max(initial=-1) < 1e-6 and m[w >= high - 1e-9].min(initial=1) > -1e-6
+        ratio = lambda w: (w @ mu - 0.035) / np.sqrt(w @ cov @ w)
+        draws = [w for w in rng.dirichlet(np.ones(n) * 2, 4000) if w.min() >= low and w.max() <= high]
+        assert not draws or ratio(best) >= max(map(ratio, draws)) - 1e-9
+        for t in np.linspace(mu @ c.weights[-1], mu @ c.weights[0], 9):
+            w = L.at_return(c, mu, t)
+            assert w @ mu == pytest.approx(t, abs=1e-9) and all(x @ cov @ x >= w @ cov @ w - 1e-12 for x in draws if x @ mu >= t)
+    assert L.corners(mu[:3], cov[:3, :3], 0.005, 0.3) is None and L.at_return(c, mu, 1.0) is None
+
+
+def test_walk_forward_against_direct_windows(spark):
+    """Weights from differences of cumulative sums equal those of each window's own rows; what they earn, and the dates."""
+    import pandas as pd
+
+    from tideline.kernels import critical_line as L
+    from tideline.kernels.paths import psd
+    from tideline.operators.walk_forward import KINDS, walk_forward
+
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2015-01-01", periods=430)
+    wide = pd.DataFrame(rng.normal(0.0005, 0.01, (430, 7)) + rng.normal(0, 0.005, (430, 1)), days, list("ABCDEFG"))
+    wide = wide.mask(rng.random(wide.shape) < 0.1)
+    wide.loc[days[:200], "G"] = np.nan  # listed late
+    rows = [(t, d.date(), float(v), float(v) - 0.0001) for t in wide for d, v in wide[t].dropna().items()]
+    got = walk_forward(spark.createDataFrame(rows, "ticker string, dt date, ret double, y double"), train=126, step=21, least=63, fewest=4).toPandas()
+    before, want = {k: None for k in KINDS}, []
+    for w, pos in enumerate(range(126, 430 - 21 + 1, 21)):
+        train, test = wide.iloc[pos - 126 : pos], wide.iloc[pos : pos + 21]
+        good = [c for c in wide if train[c].count() >= 63 and not train[c].iloc[:5].isna().all()]
+        cov = psd(train[good].cov(min_periods=20).fillna(0).to_numpy() * 252, 1e-8)
+        n, low = len(good), max(0.001, 0.5 / len(good))
+        for kind, mu in (("implied", 0.035 + 252 * (train[good].mean() - 0.0001)), ("history", 252 * train[good].mean()), ("equal", None)):
+            x = np.full(n, 1 / n) if mu is None else L.tangency(L.corners(mu.to_numpy(), cov, low, min(1.0, max(min(0.4, 5 / n), 2 * low))), mu.to_numpy(), cov, 0.035)
+            r = test[good].ffill().fillna(0.0).to_numpy() @ x
+            cum = np.cumprod(1 + r)
+            now = dict(zip(good, x))
+            turn = 1.0 if before[kind] is None else sum(abs(now.get(t, 0) - before[kind].get(t, 0)) for t in wide) / 2
+            before[kind] = now
+            vol = r.std() * math.sqrt(252)
+            want.append((w, kind, n, train.index[0].date(), train.index[-1].date(), test.index[0].date(), test.index[-1].date(), 252 * r.mean(), vol, (252 * r.mean() - 0.035) / vol, (cum / np.maximum.accumulate(cum) - 1).min(), turn))
+    names = ["window", "kind", "assets", "train_start", "train_end", "test_start", "test_end", "ann_ret", "ann_vol", "sharpe", "max_dd", "turnover"]
+    a, b = got[names].sort_values(names[:2]).reset_index(drop=True), pd.DataFrame(want, columns=names).sort_values(names[:2]).reset_index(drop=True)
+    assert len(a) == len(b) and (a[names[1:7]] == b[names[1:7]]).all().all()
+    assert np.allclose(a[names[7:]], b[names[7:]], atol=1e-6)
 
 
 def test_allocation(spark):

@@ -193,7 +193,11 @@ def test_path_queries_are_of_the_shipped_size(spark, monkeypatch, name):
         sizes.append((paths, steps))
         return spark.createDataFrame([(0, 1, 0.01), (0, 2, -0.01), (1, 1, 0.02), (1, 2, -0.03)], "path long, step long, ret double")
 
+    def ends(*args):
+        return C.path_ends(C.nav_paths(simulated(*args)))
+
     monkeypatch.setattr(C, "simulate_portfolio", simulated)
+    monkeypatch.setattr(C, "simulated_ends", ends)
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() and sizes == [(50_000, 21)]
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tideline.kernels import fits
 from tideline.kernels import critical_line as L
-from tideline.kernels import optimise as K
 from tideline.kernels.paths import Model, psd
 from tideline.operators import moments as M
 
@@ -206,35 +205,3 @@ def path_model(returns: DataFrame) -> tuple[list[str], Model, pd.DataFrame]:
     jumps = {k: arr(jump, k) for k in ("base", "excite", "mean", "sd")} | {"decay": 0.5}
     jumps["base"] = jumps["base"] * 0.5
     return names, Model(arr(fit, "mean"), arr(fit, "omega"), arr(fit, "alpha"), arr(fit, "beta"), arr(fit, "next_var"), base, (a, b), resid, jumps, fits.dcc_state(resid, a, b, base)), wide
-
-
-def walk_forward(aligned: DataFrame, train: int = 756, step: int = 63, span: int = 63, least: int = 252, rf: float = 0.035) -> DataFrame:
-    """Per window: out-of-sample metrics of factor-implied, historical and equal weights; windows run in parallel.
-
-    A window's panel has train+span rows per asset at most; assets need ``least`` rows of training.
-    """
-    from tideline.operators.series import window_ids
-
-    rows = window_ids(aligned, train, step, train + span).select("w", "ticker", "dt", "ret", "y", "pos")
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        fit, test = g[g.pos < train], g[g.pos >= train]
-        good = [t for t, n in fit.groupby("ticker").size().items() if n >= least]
-        panel = fit[fit.ticker.isin(good)].pivot_table(index="dt", columns="ticker", values="ret")
-        names = list(panel.columns)
-        out = {"w": key[0], "assets": len(names)}
-        if len(names) >= 2 and len(test):
-            cov = psd(panel.cov(min_periods=20).fillna(0.0).to_numpy() * 252, 1e-8)
-            excess = fit[fit.ticker.isin(names)].groupby("ticker")["y"].mean().reindex(names).to_numpy()
-            low, high = max(0.001, 0.5 / len(names)), max(min(0.4, 5 / len(names)), 2 * max(0.001, 0.5 / len(names)))
-            future = test[test.ticker.isin(names)].pivot_table(index="dt", columns="ticker", values="ret").reindex(columns=names).ffill().fillna(0.0).to_numpy()
-            for kind, mu in (("implied", rf + 252 * excess), ("history", 252 * panel.mean().to_numpy()), ("equal", None)):
-                w = np.full(len(names), 1 / len(names)) if mu is None else K.max_sharpe(mu, cov, rf, low, min(1.0, high))
-                w = np.full(len(names), 1 / len(names)) if w is None else w
-                r = future @ w
-                vol = r.std() * math.sqrt(252)
-                out[f"ret_{kind}"], out[f"sharpe_{kind}"] = 252 * r.mean(), (252 * r.mean() - rf) / vol if vol > 1e-9 else 0.0
-        return pd.DataFrame([out]).reindex(columns=["w", "assets", *[f"{a}_{b}" for b in ("implied", "history", "equal") for a in ("ret", "sharpe")]])
-
-    schema = "w long, assets long, " + ", ".join(f"{a}_{b} double" for b in ("implied", "history", "equal") for a in ("ret", "sharpe"))
-    return rows.groupBy("w").applyInPandas(run, schema)

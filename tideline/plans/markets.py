@@ -19,6 +19,7 @@ from tideline.operators import report as Q
 from tideline.operators import series as X
 from tideline.operators import stress as T
 from tideline.operators import walk as V
+from tideline.operators.walk_forward import walk_forward
 from tideline.plans import fixtures as fx
 from tideline.plans import quadratic as D
 from tideline.plans.analytics import _CF, _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
@@ -68,8 +69,9 @@ def _(spark, d):
     return O.jump_fits(fx.returns_region(spark, d))
 
 
-def _simulated(spark, d, kind, n=50_000, steps=21, simulate=C.simulated_ends):
+def _simulated(spark, d, kind, n=50_000, steps=21, simulate=None):
     names, model, _ = _model(spark, d)
+    simulate = simulate or C.simulated_ends
     w = dict((r["ticker"], r["weight"]) for r in _region_weights(spark).collect())
     return simulate(spark, model, np.array([w[t] for t in names]), n, steps, kind)
 
@@ -251,7 +253,7 @@ def _(spark, d):
 
 @query("k_walk_forward")
 def _(spark, d):
-    return O.walk_forward(fx.aligned(spark, d))
+    return walk_forward(fx.aligned(spark, d))
 
 
 @query("k_experiment")
