@@ -13,6 +13,7 @@ from tideline.kernels import fits
 from tideline.kernels import critical_line as L
 from tideline.kernels.paths import Model, psd
 from tideline.operators import moments as M
+from tideline.operators.variance import fit_garch
 
 
 def problems(returns: DataFrame, mu: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -152,35 +153,19 @@ def marginal(returns: DataFrame, portfolio: DataFrame, candidates: DataFrame, rf
     return best.select("ticker", F.col("b.weight").alias("weight"), (F.col("b.s") - base).alias("d_sharpe"), (F.col("b.vol") - F.sqrt("vp")).alias("d_vol"), "corr")
 
 
-def fit_garch(returns: DataFrame) -> DataFrame:
-    """ticker, omega, alpha, beta, next_var, ok per ticker, each series in one task (a daily series is small)."""
+def jump_fits(returns: DataFrame, beyond: float = 2.0, decay: float = 0.5) -> DataFrame:
+    """ticker, base, excite, mean, sd of clustered jumps: rows beyond so many EWMA volatilities.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g = fits.garch(rows.sort_values("dt")["ret"].to_numpy())
-        return pd.DataFrame([{"ticker": key[0], **{k: g[k] for k in ("mean", "omega", "alpha", "beta", "next_var", "ok")}}])
-
-    return returns.select("ticker", "dt", "ret").groupBy("ticker").applyInPandas(run, "ticker string, mean double, omega double, alpha double, beta double, next_var double, ok boolean")
-
-
-def tail_var(returns: DataFrame, level: float = 0.99) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = fits.evt_var(rows["ret"].to_numpy(), level)
-        return pd.DataFrame([{"ticker": key[0], "var_evt": None if v != v else v}])
-
-    return returns.select("ticker", "ret").groupBy("ticker").applyInPandas(run, "ticker string, var_evt double")
-
-
-def jump_fits(returns: DataFrame) -> DataFrame:
-    """ticker, base, excite, mean, sd of clustered jumps against EWMA volatility."""
-    from tideline.operators.series import ewma_variance
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dt")
-        h = fits.hawkes(rows["ret"].to_numpy(), np.sqrt(rows["var"].to_numpy()))
-        return pd.DataFrame([{"ticker": key[0], **{k: h[k] for k in ("base", "excite", "mean", "sd")}}])
+    base is their share, excite twice the correlation of a jump with one the day before (0 to 0.8) times the
+    decay, mean and sd those of what stands over the bound, with its sign; 0 without jumps.
+    """
+    from tideline.operators.series import by, ewma_variance
 
-    v = ewma_variance(returns).select("ticker", "dt", "ret", "var")
-    return v.groupBy("ticker").applyInPandas(run, "ticker string, base double, excite double, mean double, sd double")
+    over = F.abs("ret") - beyond * F.sqrt("var")
+    rows = ewma_variance(returns).withColumn("hit", (over > 0).cast("double")).withColumn("big", F.when(over > 0, over * F.signum("ret"))).withColumn("was", F.lag("hit").over(by()))
+    sums = rows.groupBy("ticker").agg(F.avg("hit").alias("base"), F.sum("hit").alias("jumps"), F.count("*").alias("n"), F.corr("hit", "was").alias("rho"), F.avg("big").alias("mean"), F.stddev_samp("big").alias("sd"))
+    rho = F.when((F.col("jumps") > 2) & (F.col("jumps") < F.col("n")) & ~F.isnan("rho"), F.col("rho"))
+    return sums.select("ticker", "base", (decay * F.least(F.greatest(2 * F.coalesce(rho, F.lit(0.0)), F.lit(0.0)), F.lit(0.8))).alias("excite"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
 
 
 def portfolio_sigma(returns: DataFrame, weights: DataFrame) -> DataFrame:

@@ -18,10 +18,13 @@ from tideline.operators import portfolio as P
 from tideline.operators import report as Q
 from tideline.operators import series as X
 from tideline.operators import stress as T
+from tideline.operators import tails
+from tideline.operators import variance as H
 from tideline.operators import walk as V
 from tideline.operators.walk_forward import walk_forward
 from tideline.plans import fixtures as fx
 from tideline.plans import quadratic as D
+from tideline.plans import tail_sql
 from tideline.plans.analytics import _CF, _ERFC, _G, _YEAR, _al, _attr, _attribution, _port, _ppf_of, _region_weights, _weights, _windows, paths
 from tideline.plans.core import runs
 from tideline.plans.registry import query
@@ -33,14 +36,14 @@ _W = "(select ticker, sum(weight) weight from fx_eur group by 1)"
 # ---------------------------------------------------------------- kernels
 
 
-@query("k_gpd")
+@query("k_gpd", tail_sql.tail_var("select ticker, ret from fx_returns"), d="var_evt")
 def _(spark, d):
-    return O.tail_var(fx.returns(spark, d))
+    return tails.tail_var(fx.returns(spark, d))
 
 
 @query("k_garch_var")
 def _(spark, d):
-    return O.fit_garch(fx.returns_region(spark, d)).select("ticker", "next_var", "ok")
+    return H.fit_garch(fx.returns_region(spark, d), mean=False).select("ticker", "next_var", "ok")
 
 
 @query("k_port_sigma")
@@ -50,7 +53,7 @@ def _(spark, d):
 
 @query("k_fit_garch")
 def _(spark, d):
-    return O.fit_garch(_al(spark, d))
+    return H.fit_garch(_al(spark, d))
 
 
 def _model(spark, d):
@@ -59,12 +62,16 @@ def _model(spark, d):
 
 @query("k_fit_dcc")
 def _(spark, d):
-    names, model, _ = _model(spark, d)
-    rows = [(a, b, float(model.corr[i, j]), *map(float, model.dcc)) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return spark.createDataFrame(rows, "a string, b string, corr double, dcc_a double, dcc_b double")
+    r = _al(spark, d)
+    return H.fit_correlations(H.residuals(r, written(H.fit_garch(r), "garch")))
+
+
+fx.SQL["fx_ewma_region"] = fx.SQL["fx_ewma"].replace("from fx_returns)", "from fx_returns_region)")
+_JUMPS = "select *, lag(hit) over (partition by ticker order by dt) was from (select ticker, dt, (abs(ret) > 2*sqrt(var))::int hit, case when abs(ret) > 2*sqrt(var) then (abs(ret) - 2*sqrt(var))*sign(ret) end big from fx_ewma_region)"
+_HAWKES = f"select ticker, base, 0.5*least(greatest(2*case when jumps > 2 and jumps < n and isfinite(rho) then rho else 0 end, 0), 0.8) excite, coalesce(mean, 0) mean, coalesce(sd, 0) sd from (select ticker, avg(hit) base, sum(hit) jumps, count(*) n, corr(hit, was) rho, avg(big) mean, stddev_samp(big) sd from ({_JUMPS}) group by 1)"
 
 
-@query("k_hawkes_fit")
+@query("k_hawkes_fit", _HAWKES, d="base excite mean sd")
 def _(spark, d):
     return O.jump_fits(fx.returns_region(spark, d))
 
