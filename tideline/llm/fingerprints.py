@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import dropped, written
 
 #: Samples of a fingerprint: the likeness of two fingerprints strays by at most 1 / (2 sqrt(SAMPLES)).
-SAMPLES = 64
+SAMPLES = 48
 #: A term is a run without white space; longer runs count in pieces of so many characters.
 TERM = r"[^\x20\x09-\x0D]{1,16}"
 #: What a text without terms has in place of a sample.
@@ -103,13 +103,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     key = ["id", "none"]
     before = links.select(F.col("next_id").alias("id"), F.col("next_none").alias("none"), F.col("id").alias("to_id"), F.col("none").alias("to_none"), F.floor(F.col("n") / 4).cast("int").alias("need"))
     needs = written(links.select(*key, F.col("th").alias("first")).join(before, key), "print-needs")
-    given = rows.join(needs, key).filter(F.xxhash64("text") == F.col("first"))
-    given = given.select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.substr("text", F.lit(1), F.col("need")).alias("gift")).dropDuplicates(key)
+    same = lambda th: th.bitwiseXOR(F.col("first")) == 0  # noqa: E731  (no key of the join: texts keep one partitioning)
+    given = rows.join(needs, key).filter(same(F.xxhash64("text")))
+    given = given.select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.col("id").alias("next_id"), F.col("none").alias("next_none"), F.substr("text", F.lit(1), F.col("need")).alias("gift")).dropDuplicates(key)
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr(F.coalesce("gift", F.lit("")), F.lit(1), quarter))
-    both = rows.join(given, key, "left").select(*key, F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    own = [*key, "th", "n_chars", "edited_sha256"]
-    terms = _terms(both.select(*key, "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited"), own)
+    both = rows.join(given, key, "left").select(*key, F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "next_id", "next_none", "text", edited.alias("edited"))
+    own = [*key, "th", "n_chars", "next_id", "next_none", "edited_sha256"]
+    terms = _terms(both.select(*own[:-1], F.sha2("edited", 256).alias("edited_sha256"), "text", "edited"), own)
     least = _samples(terms, [*own, "side"], samples)
     parts = least.select(*own, "side", F.array(*[f"s{k}" for k in range(samples)]).alias("s")).groupBy(*own).agg(F.collect_list(F.struct("side", "s")).alias("parts"))
 
@@ -118,11 +119,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         return _digits(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.array_min(F.transform(held, lambda s: F.get(s, k)))))
 
     prints = written(parts.select(*own, of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "prints")
-    # the next document's fingerprint goes to its predecessor; repeated rows, once in ``prints``, come back as often as they were
-    ahead = prints.select(*key, "th", "fingerprint").join(needs, key).filter("th = first").select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.col("fingerprint").alias("ahead"))
+    # rows meet the next document's fingerprint; repeated rows, once in ``prints``, come back as often as they were
+    ahead = prints.select(*key, "th", "fingerprint").join(needs.select(*key, "first"), key).filter(same(F.col("th"))).select(F.col("id").alias("next_id"), F.col("none").alias("next_none"), F.col("fingerprint").alias("ahead"))
     again = rows.groupBy(*key, F.xxhash64("text").alias("th")).agg(F.count("*").alias("m")).filter("m > 1").groupBy(*key).agg(F.collect_list(F.struct("th", "m")).alias("again"))
     copies = F.coalesce(F.get(F.filter("again", lambda x: x["th"] == F.col("th")), F.lit(0))["m"], F.lit(1))
-    out = prints.join(ahead, key).join(again, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
+    out = prints.join(ahead, ["next_id", "next_none"]).join(again, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
     return out.select(
         F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("ahead"), samples).alias("near_next"),
