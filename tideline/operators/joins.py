@@ -73,10 +73,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def union_distinct(frames: list[DataFrame], key: str) -> DataFrame:
-    """Distinct keys in order of first appearance over the frames: key, place."""
+    """Distinct keys in order of first appearance over the frames: key, place.
+
+    Keys are sorted in ranges; a place is the key's one in its range after the counts of the ranges before.
+    """
+    from tideline.plans.scratch import written
+
     all_rows = None
     for k, f in enumerate(frames):
         own = f.select(F.col(key), F.lit(k).alias("_k"))
         all_rows = own if all_rows is None else all_rows.unionByName(own)
     first = all_rows.groupBy(key).agg(F.min("_k").alias("_k"))
-    return first.select(key, F.row_number().over(W.orderBy("_k", key)).alias("place"))
+    ranges = written(first.repartitionByRange("_k", key).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    heads = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy("_k", key))
+    return ranges.withColumn("_own", own).join(heads, "_part").select(key, (F.col("_head") + F.col("_own")).alias("place"))

@@ -10,14 +10,14 @@ from tideline.operators.joins import lookup
 #: Historical scenarios: start, end, and class returns of equity benchmark, bonds and gold where prices lack (fixed values).
 HISTORICAL = (
     ("2008 GFC", "2008-09-01", "2009-03-31", -0.56, 0.08, 0.04),
-    ("2020 COVID", "2020-02-01", "2020-03-31", -0.34, 0.06, -0.02),
-    ("2022 rate hikes", "2022-01-01", "2022-10-31", -0.35, -0.17, -0.09),
-    ("2000 dot-com", "2000-03-01", "2002-10-31", -0.49, 0.20, 0.12),
+    ("2020 COVID Crash", "2020-02-01", "2020-03-31", -0.34, 0.06, -0.02),
+    ("2022 Rate Hikes", "2022-01-01", "2022-10-31", -0.35, -0.17, -0.09),
+    ("2000 Dot-com Bust", "2000-03-01", "2002-10-31", -0.49, 0.20, 0.12),
     ("1987 Black Monday", "1987-10-19", "1987-10-19", -0.22, 0.02, 0.01),
 )
 #: Hypothetical shocks of equity (times beta), bonds and gold (fixed values).
-HYPOTHETICAL = (("Rates +200bps", -0.04, -0.12, -0.03), ("USD +15%", -0.08, -0.02, -0.10), ("USD -15%", 0.05, 0.01, 0.08), ("Oil -50%", -0.05, 0.01, -0.02), ("Tech -30%", -0.18, 0.0, 0.0))
-GAP = ("Single position gap -40%", -0.40)
+HYPOTHETICAL = (("Rates +200bps", -0.04, -0.12, -0.03), ("USD +15%", -0.08, -0.02, -0.10), ("USD -15%", 0.05, 0.01, 0.08), ("Oil -50%", -0.05, 0.01, -0.02), ("Tech Sector -30%", -0.18, 0.0, 0.0))
+GAP = ("Single Pos Gap -40%", -0.40)
 
 
 def windows_table(spark: SparkSession, rows) -> DataFrame:
@@ -27,8 +27,13 @@ def windows_table(spark: SparkSession, rows) -> DataFrame:
 
 
 def in_windows(prices: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of prices in each scenario's window; a scenario table of a checked size is broadcast."""
-    return prices.join(lookup(windows), F.col("dt").between(F.col("start_dt"), F.col("end_dt")))
+    """Rows of prices in each scenario's window. Windows are spread over their months, so the join has an equal key
+    whatever the number of scenarios; a table of a checked size is broadcast.
+    """
+    months = F.sequence(F.trunc("start_dt", "month"), F.trunc("end_dt", "month"), F.expr("interval 1 month"))
+    spread = windows.filter("start_dt <= end_dt").withColumn("_month", F.explode(months))
+    near = prices.withColumn("_month", F.trunc("dt", "month")).join(lookup(spread), "_month")
+    return near.filter(F.col("dt").between(F.col("start_dt"), F.col("end_dt"))).drop("_month")
 
 
 def historical(holdings: DataFrame, prices: DataFrame, betas: DataFrame, scenarios=HISTORICAL) -> DataFrame:

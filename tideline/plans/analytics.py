@@ -545,7 +545,7 @@ def _(spark, d):
 @query("top_worst3", "select scenario, pct_loss from (select s scenario, sum(weight*v) pct_loss from fx_eur cross join (values ('a', -0.1::double), ('b', -0.3::double), ('c', 0.2::double), ('d', -0.05::double)) t(s, v) where asset_class='equity' group by 1) order by round(pct_loss, 9), 1 limit 3", d="pct_loss")
 def _(spark, d):
     shocks = [("a", -0.1, 0.0, 0.0), ("b", -0.3, 0.0, 0.0), ("c", 0.2, 0.0, 0.0), ("d", -0.05, 0.0, 0.0)]
-    rows = T.hypothetical(fx.holdings_eur(spark, d), 1.0, shocks).filter("scenario <> 'Single position gap -40%'")
+    rows = T.hypothetical(fx.holdings_eur(spark, d), 1.0, shocks).filter("scenario <> 'Single Pos Gap -40%'")
     return T.worst(rows)
 
 

@@ -32,10 +32,10 @@ def _(spark, d):
     return M.last_price(bars, quotes.join(bars.select("ticker").distinct(), "ticker", "left_semi"))
 
 
-@query("src_batch_close", "select p_brand ticker, cast(l_shipdate as date) dt, 100+10*ln(sum(l_extendedprice)/sum(l_quantity)) as close from lineitem join part on l_partkey=p_partkey where p_brand in ('Brand#11','Brand#12','Brand#13') group by 1, 2", d="close")
+@query("src_batch_close", "select p_brand ticker, cast(l_shipdate as date) dt, 100+10*ln(sum(l_extendedprice)/sum(l_quantity)) as close from lineitem join part on l_partkey=p_partkey group by 1, 2", d="close")
 def _(spark, d):
-    part = fx.table(spark, d, "part").filter("p_brand in ('Brand#11','Brand#12','Brand#13')").select("p_partkey", "p_brand")
-    names = ["Brand#11", "Brand#12", "Brand#13"]
+    part = fx.table(spark, d, "part").select("p_partkey", "p_brand")
+    names = sorted(r["p_brand"] for r in part.select("p_brand").distinct().collect())  # a column per ticker of the batch
     lines = fx.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     wide = lines.groupBy(F.to_date("l_shipdate").alias("dt")).pivot("p_brand", names).agg(100 + 10 * F.log(F.sum("l_extendedprice") / F.sum("l_quantity")))
     return M.wide_closes(wide, names)
@@ -48,11 +48,11 @@ def _(spark, d):
 
 
 def _bodies(spark, d):
-    rows = fx.prices(spark, d).filter("dt >= date'1998-01-01'").select("ticker", F.struct((F.unix_date("dt").cast("long") * 86400000).alias("t"), F.col("close").alias("c")).alias("r"))
+    rows = fx.prices(spark, d).select("ticker", F.struct((F.unix_date("dt").cast("long") * 86400000).alias("t"), F.col("close").alias("c")).alias("r"))
     return rows.groupBy("ticker").agg(F.to_json(F.struct(F.collect_list("r").alias("results"))).alias("body"))
 
 
-@query("src_rest_daily", "select ticker, dt, close from fx_prices where dt >= date '1998-01-01'", d="close")
+@query("src_rest_daily", "select ticker, dt, close from fx_prices", d="close")
 def _(spark, d):
     return M.rest_daily(_bodies(spark, d))
 
@@ -80,9 +80,9 @@ def _(spark, d):
     return M.percent_factors(f.select("dt", *[(F.col(c) * 100).alias(c) for c in f.columns if c != "dt"]))
 
 
-@query("src_kf", "select dt, cma mom from fx_factors where dt >= date '1996-01-01'", d="mom", digits=9)
+@query("src_kf", "select dt, cma mom from fx_factors", d="mom", digits=9)
 def _(spark, d):
-    return M.percent_factors(fx.factors(spark, d).select("dt", (F.col("cma") * 100).alias("Mom   ")), {"Mom": "mom"}, "1996-01-01")
+    return M.percent_factors(fx.factors(spark, d).select("dt", (F.col("cma") * 100).alias("Mom   ")), {"Mom": "mom"}, "1900-01-01")
 
 
 _IB = "case when p_size % 9 = 0 then concat('T ', p_size % 5, ' ', p_size % 4 + 1, '/8 06/30/', 20 + p_size % 9) when p_size % 9 = 1 then concat('T ', p_size % 5, '.5 12/31/', 20 + p_size % 9) else p_brand end"

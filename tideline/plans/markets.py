@@ -315,13 +315,13 @@ def _(spark, d):
 
 _HS = "(values ('A', date '1995-03-01', date '1995-06-30', -0.56::double, 0.08::double, 0.04::double), ('B', date '1996-02-01', date '1996-03-31', -0.34, 0.06, -0.02), ('C', date '1997-10-20', date '1997-10-20', -0.22, 0.02, 0.01)) s(scenario, s, e, be, bo, go)"
 SCENARIOS = (("A", "1995-03-01", "1995-06-30", -0.56, 0.08, 0.04), ("B", "1996-02-01", "1996-03-31", -0.34, 0.06, -0.02), ("C", "1997-10-20", "1997-10-20", -0.22, 0.02, 0.01))
-_HIST = f"select scenario, sum(weight*coalesce(actual, case asset_class when 'bond' then bo when 'gold' then go else be*1.2 end)) pct_loss, sum(case when actual is not null then weight else 0 end) coverage from fx_eur cross join {_HS} left join (select scenario sc, ticker tk, arg_max(close, dt)/arg_min(close, dt)-1 actual from fx_prices join {_HS} on dt between s and e where ticker < 'Brand#20' group by 1, 2 having count(*) >= 2) on sc = scenario and tk = ticker group by 1"
+fx.SQL["fx_betas"] = "select r.ticker, case when count(*) >= 21 then covar_samp(r.ret, e.ret)/var_samp(e.ret) end beta from fx_returns r join fx_returns_region e on e.dt = r.dt and e.ticker = 'EUROPE' group by 1"
+_HIST = f"select scenario, sum(weight*coalesce(actual, case asset_class when 'bond' then bo when 'gold' then go else be*coalesce(nullif(beta, 0), 1) end)) pct_loss, sum(case when actual is not null then weight else 0 end) coverage from fx_eur left join fx_betas using(ticker) cross join {_HS} left join (select scenario sc, ticker tk, arg_max(close, dt)/arg_min(close, dt)-1 actual from fx_prices join {_HS} on dt between s and e group by 1, 2 having count(*) >= 2) on sc = scenario and tk = ticker group by 1"
 
 
 def _hist(spark, d):
-    h = fx.holdings_eur(spark, d)
-    betas = h.select("ticker").distinct().withColumn("beta", F.lit(1.2))
-    return T.historical(h, fx.prices(spark, d).filter("ticker < 'Brand#20'"), betas, SCENARIOS)
+    betas = M.beta(J.with_benchmark(fx.returns(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'")))
+    return T.historical(fx.holdings_eur(spark, d), fx.prices(spark, d), betas, SCENARIOS)
 
 
 @query("st_hist", _HIST, d="pct_loss coverage")
@@ -329,7 +329,7 @@ def _(spark, d):
     return _hist(spark, d)
 
 
-_HYPO = "select s scenario, sum(weight*case asset_class when 'equity' then e*1.1 when 'bond' then b when 'gold' then g else 0 end) pct_loss from fx_eur cross join (values ('Rates +200bps', -0.04::double, -0.12::double, -0.03::double), ('USD +15%', -0.08, -0.02, -0.10), ('USD -15%', 0.05, 0.01, 0.08), ('Oil -50%', -0.05, 0.01, -0.02), ('Tech -30%', -0.18, 0, 0)) t(s, e, b, g) group by 1 union all select 'Single position gap -40%', max(weight)*-0.4 from fx_eur"
+_HYPO = "select s scenario, sum(weight*case asset_class when 'equity' then e*1.1 when 'bond' then b when 'gold' then g else 0 end) pct_loss from fx_eur cross join (values ('Rates +200bps', -0.04::double, -0.12::double, -0.03::double), ('USD +15%', -0.08, -0.02, -0.10), ('USD -15%', 0.05, 0.01, 0.08), ('Oil -50%', -0.05, 0.01, -0.02), ('Tech Sector -30%', -0.18, 0, 0)) t(s, e, b, g) group by 1 union all select 'Single Pos Gap -40%', max(weight)*-0.4 from fx_eur"
 
 
 @query("st_hypo", _HYPO, d="pct_loss")
@@ -361,13 +361,11 @@ def _(spark, d):
     return fits.join(R.robust_signal(fx.aligned(spark, d)).select("ticker", "psr", "robust"), "ticker").orderBy(F.desc_nulls_last("ir"))
 
 
-_TS = "select ticker, avg(ret)/(stddev_samp(ret)/sqrt(count(*)))*40 t from fx_returns group by 1"
-_SCREEN = f"select ticker, case when t > 1.5 then 'BUY' when t < -1.5 then 'SELL' else 'HOLD' end robust from ({_TS})"
+_SCREEN = "select ticker, robust from fx_robust"
 
 
 def _screen(spark, d):
-    t = fx.returns(spark, d).groupBy("ticker").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*"))) * 40).alias("t"))
-    return t.select("ticker", P.signal(F.col("t")).alias("robust"))
+    return R.robust_signal(fx.aligned(spark, d)).select("ticker", "robust")
 
 
 @query("pt_promote", f"select ticker, robust from ({_SCREEN}) where robust <> 'HOLD' and ticker not in (select ticker from fx_watchlist)")
@@ -382,53 +380,135 @@ def _(spark, d):
 
 
 _PR = "select dt, sum(weight*ret) ret from fx_al join fx_rw using(ticker) group by 1"
+_PCF = f"select case when count(*) >= 21 then -{_CF}*sd end v from (select skewness(ret) s, kurtosis(ret) k, stddev_samp(ret) sd, count(*) n from p), p group by s, k, sd"
 
 
-@query("pt_risk", f"with p as ({_PR}) select 1.6449*sqrt((select sum(x.weight*y.weight*cov) from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b)) var_95, (select case when count(*) >= 21 then covar_samp(p.ret, e.ret)/var_samp(e.ret) end from p join fx_al e on e.dt=p.dt and e.ticker='EUROPE') beta, (select sum(weight*weight) from fx_rw) hhi", d="var_95 beta hhi")
+@query("pt_risk", f"with p as ({_PR}) select coalesce((select v from ({_PCF})), 1.6449*sqrt((select sum(x.weight*y.weight*cov) from fx_ewcov join fx_rw x on x.ticker=a join fx_rw y on y.ticker=b))) var_95, (select case when count(*) >= 21 then covar_samp(p.ret, e.ret)/var_samp(e.ret) end from p join fx_al e on e.dt=p.dt and e.ticker='EUROPE') beta, (select sum(weight*weight) from fx_rw) hhi", d="var_95 beta hhi")
 def _(spark, d):
     r, w = _al(spark, d), _region_weights(spark)
     one = F.lit(1)
-    var = M.quadratic_form(w, M.ewma_covariances(r)).select((M.Z95 * F.col("sigma")).alias("var_95"), one.alias("k"))
     port = J.weighted_sum(r, w).withColumn("ticker", F.lit("P"))
+    normal = M.quadratic_form(w, M.ewma_covariances(r)).select((M.Z95 * F.col("sigma")).alias("normal"), one.alias("k"))
+    var = M.cornish_fisher_var(port).select("var_cf", one.alias("k")).join(normal, "k", "right").select("k", F.coalesce("var_cf", "normal").alias("var_95"))
     beta = M.beta(J.with_benchmark(port, r.filter("ticker = 'EUROPE'"))).select("beta", one.alias("k"))
     return var.join(beta, "k").join(P.concentration(w).select("hhi", one.alias("k")), "k").drop("k")
 
 
-@query("pt_gates", "select p_partkey id, case when p_size > 10 then 'positions' when p_size/200.0 > 0.05 then 'var' when p_size/6.0 > 1.5 then 'beta' when p_size % 2 > 0.1 then 'drawdown' else 'ok' end gate from part", i="id")
+#: Each platform's portfolio and the paper one of regions: what it earned over the last 252 rows of its tickers, and what the gates ask of it.
+fx.SQL["fx_books"] = "select platform, ticker, sum(market_value_eur)/sum(sum(market_value_eur)) over (partition by platform) weight from fx_eur group by 1, 2 union all select 'PAPER', ticker, weight from fx_rw"
+fx.SQL["fx_book_rets"] = "select platform, dt, sum(weight*ret) ret from (select *, row_number() over (partition by ticker order by dt desc) rn from (select * from fx_returns union all select * from fx_returns_region)) join fx_books using(ticker) where rn <= 252 group by 1, 2"
+fx.SQL["fx_gates"] = """select platform, positions, var_95, beta, drawdown, case when positions > 10 then 'positions' when var_95 > 0.05 then 'var' when beta > 1.5 then 'beta' when drawdown > 0.1 then 'drawdown' else 'ok' end gate
+    from (select platform, count(*) positions from fx_books group by 1) join (select platform, -quantile_cont(ret, 0.05) var_95 from fx_book_rets group by 1) using(platform)
+    left join (select platform, case when count(*) >= 21 then covar_samp(p.ret, e.ret)/var_samp(e.ret) end beta from fx_book_rets p join fx_returns_region e on e.dt = p.dt and e.ticker = 'EUROPE' group by 1) using(platform)
+    join (select platform, -min(cum/peak-1) drawdown from (select platform, cum, max(cum) over (partition by platform order by dt) peak from (select platform, dt, exp(sum(ln(1+ret)) over (partition by platform order by dt)) cum from fx_book_rets)) group by 1) using(platform)"""
+
+
+def _gates(spark, d):
+    h = fx.holdings_eur(spark, d).groupBy("platform", "ticker").agg(F.sum("market_value_eur").alias("mv"))
+    books = h.withColumn("weight", F.col("mv") / F.sum("mv").over(W.partitionBy("platform")))
+    books = books.select("platform", "ticker", "weight").unionByName(_region_weights(spark).withColumn("platform", F.lit("PAPER")))
+    rets = X.tail(fx.returns(spark, d).unionByName(fx.returns_region(spark, d)), 252).join(books, "ticker").groupBy("platform", "dt").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret")).withColumnRenamed("platform", "ticker")
+    rets = written(rets, "books")
+    parts = [books.groupBy(F.col("platform").alias("ticker")).agg(F.count("*").alias("positions")), M.historical_var(rets, (0.95,)), X.drawdown(rets).groupBy("ticker").agg((-F.min("drawdown")).alias("drawdown"))]
+    out = M.beta(J.with_benchmark(rets, fx.returns_region(spark, d).filter("ticker = 'EUROPE'")))
+    for p in parts:
+        out = p.join(out, "ticker", "left")
+    return out.select(F.col("ticker").alias("platform"), "positions", "var_95", "beta", "drawdown", A.gate(F.col("positions"), F.col("var_95"), F.col("beta"), F.col("drawdown")).alias("gate"))
+
+
+@query("pt_gates", "select * from fx_gates", d="var_95 beta drawdown", i="positions")
 def _(spark, d):
-    n = F.col("p_size")
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.gate(n, n / 200.0, n / 6.0, (n % 2).cast("double")).alias("gate"))
+    return _gates(spark, d)
+
+
+#: Positions with their gain, and the signals of their regression and of the robust rule.
+fx.SQL["fx_signals"] = "select ticker, ir, case when t_alpha > 1.5 then 'BUY' when t_alpha < -1.5 then 'SELL' else 'HOLD' end signal, robust from fx_fit5 join fx_robust using(ticker)"
+fx.SQL["fx_exits"] = """with h as (select ticker, sum(market_value_eur)/sum(cost_basis_eur)-1 plpc from fx_eur group by 1), s as (select ticker from fx_signals where signal = 'SELL' or robust = 'SELL')
+    select ticker, 'signal' reason from h where ticker in (select ticker from s) union all select ticker, 'stop_loss' from h where plpc < -0.15 and ticker not in (select ticker from s)"""
+_SIZED = "select ticker, ir, least(greatest(coalesce(ir, 0), 0.01)/sum(greatest(coalesce(ir, 0), 0.01)) over (), 0.15) weight from fx_signals where signal = 'BUY' and robust <> 'SELL'"
+
+
+def _signals(spark, d):
+    fits = R.factor_regression(fx.aligned(spark, d)).select("ticker", "ir", "signal")
+    return fits.join(_screen(spark, d), "ticker")
+
+
+def _positions(spark, d):
+    sums = fx.holdings_eur(spark, d).groupBy("ticker").agg(F.sum("quantity").alias("quantity"), F.sum("market_value_eur").alias("mv"), F.sum("cost_basis_eur").alias("cost"))
+    return sums.withColumn("plpc", F.col("mv") / F.col("cost") - 1)
 
 
-@query("pt_exits", "with h as (select ticker, max(cost_basis_eur)/max(market_value_eur)-1.15 plpc, right(ticker, 1) = '1' sell from fx_eur group by 1) select ticker, 'signal' reason from h where sell union all select ticker, 'stop_loss' from h where plpc < -0.15 and not sell")
+def _buys(signals):
+    return A.order_weights(signals.filter("signal = 'BUY' and robust <> 'SELL'"))
+
+
+@query("pt_exits", "select * from fx_exits")
 def _(spark, d):
-    held = fx.holdings_eur(spark, d).groupBy("ticker").agg((F.max("cost_basis_eur") / F.max("market_value_eur") - 1.15).alias("plpc"))
-    signals = held.select("ticker", F.when(F.col("ticker").endswith("1"), "SELL").otherwise("HOLD").alias("signal"), F.lit("HOLD").alias("robust"))
-    return A.exits(held, signals)
+    return A.exits(_positions(spark, d), _signals(spark, d))
 
 
-@query("pt_size", f"select ticker, least(greatest(t, 0.01)/sum(greatest(t, 0.01)) over (), 0.15) weight from ({_TS})", d="weight")
+@query("pt_size", f"select ticker, weight from ({_SIZED})", d="weight")
 def _(spark, d):
-    t = fx.returns(spark, d).groupBy("ticker").agg((F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("*"))) * 40).alias("ir"))
-    return A.order_weights(t).select("ticker", "weight")
+    return _buys(_signals(spark, d)).select("ticker", "weight")
+
+
+#: Orders of one rebalancing in falling ir: whole shares within the equity that is left (the fold of ``budget_fold``).
+_ORDERS = f"""with recursive b as (select row_number() over (order by ir desc nulls last, ticker) place, ticker, weight, price from ({_SIZED}) join (select ticker, arg_max(close, dt) price from fx_prices group by 1) using(ticker) where ticker not in (select ticker from fx_exits)),
+    f(place, left_, ticker, qty, amount) as (select 0::bigint, 100000.0::double, null::varchar, 0.0::double, 0.0::double union all
+    select b.place, case when q >= 1 then left_ - q*price else left_ end, b.ticker, q, q*price from (select b.*, f.left_, floor(least(100000.0*b.weight, f.left_)/b.price) q from f join b on b.place = f.place + 1) b)
+    select 'sell' side, ticker, sum(quantity) qty, sum(market_value_eur) as value, any_value(reason) reason from fx_eur join fx_exits using(ticker) group by 2
+    union all select 'buy', ticker, qty, amount, 'signal' from f where qty >= 1 and (select bool_or(gate = 'ok') from fx_gates)"""
 
 
-@query("pt_pipeline")
+@query("pt_pipeline", _ORDERS, d="qty value", digits=4)
 def _(spark, d):
-    screened = R.factor_regression(fx.aligned(spark, d)).select("ticker", "ir", "signal").join(_screen(spark, d), "ticker")
-    buys = A.order_weights(screened.filter("robust = 'BUY'"))
+    signals = written(_signals(spark, d), "signals")
+    held = _positions(spark, d)
+    out = A.exits(held, signals)
+    sells = held.join(out, "ticker").select(F.lit("sell").alias("side"), "ticker", "quantity", F.col("mv").alias("value"), "reason")
     last = fx.prices(spark, d).groupBy("ticker").agg(F.max_by("close", "dt").alias("price"))
-    book = buys.join(last, "ticker").withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("ir"), "ticker")))
-    return A.budget_fold(book.select("place", "ticker", "weight", "price"), 100_000)
+    book = _buys(signals).join(out, "ticker", "left_anti").join(last, "ticker").withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("ir"), "ticker")))
+    open_ = _gates(spark, d).agg(F.bool_or(F.col("gate") == "ok").alias("open"))  # one row: if any book may grow
+    buys = A.budget_fold(book.select("place", "ticker", "weight", "price"), 100_000).crossJoin(open_).filter("open")
+    return sells.unionByName(buys.select(F.lit("buy").alias("side"), "ticker", F.col("qty").cast("double").alias("quantity"), "value", F.lit("signal").alias("reason"))).withColumnRenamed("quantity", "qty")
+
+
+_CARD_COLUMNS = ("nav_eur", "var_95", "cvar", "cvar_ratio", "var_95_cf", "sharpe", "max_drawdown", "daily_loss", "beta", "hhi", "max_position")
+
+
+def _card_sql(rows: str = "select * from fx_returns", bench: str = "select * from fx_returns_region") -> str:
+    return f"""with p as materialized (select dt, sum(weight*ret) ret from (select *, row_number() over (partition by ticker order by dt desc) rn from ({rows})) join {_W} using(ticker) where rn <= 252 group by 1),
+    q as (select quantile_cont(ret, 0.05) q, skewness(ret) s, kurtosis(ret) k, stddev_samp(ret) sd, avg(ret) m, count(*) n, arg_max(ret, dt) last from p),
+    dd as (select min(cum/peak-1) dd from (select cum, max(cum) over (order by dt) peak from (select dt, exp(sum(ln(1+ret)) over (order by dt)) cum from p))),
+    b as (select covar_samp(p.ret, e.ret)/var_samp(e.ret) beta, count(*) n from p join ({bench}) e on e.dt = p.dt and e.ticker = 'EUROPE'),
+    h as (select sum(market_value_eur) nav_eur, sum(weight*weight) hhi, max(weight) max_position from fx_eur), c as (select -avg(ret) cvar from p, q where ret <= q.q)
+    select round(nav_eur, 2) nav_eur, -q.q var_95, cvar, cvar/-q.q cvar_ratio, case when q.n >= 21 then -{_CF}*sd end var_95_cf, case when q.n >= 21 and sd > 0 then (252*m-0.035)/(sqrt(252)*sd) end sharpe, -dd max_drawdown, -last daily_loss, case when b.n >= 21 then beta end beta, hhi, max_position from q, dd, b, h, c"""
+
+
+def _card(spark, d, days: int = 0):
+    """The card of the holdings, over the returns up to ``days`` before the last one."""
+    r, bench = fx.returns(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'")
+    if days:
+        last = r.agg(F.date_sub(F.max("dt"), days).alias("_until"))  # one row
+        r, bench = (x.join(F.broadcast(last), F.col("dt") <= F.col("_until")).drop("_until") for x in (r, bench))
+    return Q.risk_card(r, fx.holdings_eur(spark, d), bench).withColumn("nav_eur", F.round("nav_eur", 2)).select(*_CARD_COLUMNS)
+
+
+_THRESHOLDS = {m: (t, how) for m, t, how in Q.THRESHOLDS}
 
 
-_METRICS = "select sum(weight*weight) hhi, max(weight) max_position, 1.9::double beta, 0.2::double sharpe, null::double max_drawdown from fx_eur"
-_CHECK = "select metric, value, threshold, case when value is null then 'GREY' when (metric <> 'sharpe' and value > threshold) or (metric = 'sharpe' and value < threshold) then 'RED' else 'GREEN' end status from (select unnest(['max_drawdown','max_position','hhi','beta','sharpe']) metric, unnest([max_drawdown, max_position, hhi, beta, sharpe]) as value, unnest([0.2::double, 0.3, 0.25, 1.5, 0.5]) threshold from (" + _METRICS + "))"
+def _check_sql() -> str:
+    """Every metric of the card against its threshold."""
+    names, limits = ", ".join(repr(m) for m in _THRESHOLDS), ", ".join(f"{t}::double" for t, _ in _THRESHOLDS.values())
+    below = ", ".join(repr(m) for m, (_, how) in _THRESHOLDS.items() if how == "below")
+    return f"select metric, value, threshold, case when value is null then 'GREY' when (metric not in ({below}) and value > threshold) or (metric in ({below}) and value < threshold) then 'RED' else 'GREEN' end status from (select unnest([{names}]) metric, unnest([{', '.join(_THRESHOLDS)}]) as value, unnest([{limits}]) threshold from ({_card_sql()}))"
 
 
 def _alerts(spark, d):
-    m = P.concentration(fx.holdings_eur(spark, d)).select("hhi", "max_position", F.lit(1.9).alias("beta"), F.lit(0.2).alias("sharpe"), F.lit(None).cast("double").alias("max_drawdown"))
-    return Q.alerts(m)
+    return Q.alerts(_card(spark, d))
+
+
+_CHECK = _check_sql()
 
 
 @query("al_check", f"select * from ({_CHECK}) where status = 'RED'", d="value threshold")
@@ -541,27 +621,6 @@ def _(spark, d):
     return T.worst(T.everything(_hist(spark, d), T.hypothetical(fx.holdings_eur(spark, d), 1.1)))
 
 
-_CARD_COLUMNS = ("nav_eur", "var_95", "cvar", "cvar_ratio", "var_95_cf", "sharpe", "max_drawdown", "daily_loss", "beta", "hhi", "max_position")
-
-
-def _card_sql(rows: str = "select * from fx_returns", bench: str = "select * from fx_returns_region") -> str:
-    return f"""with p as materialized (select dt, sum(weight*ret) ret from (select *, row_number() over (partition by ticker order by dt desc) rn from ({rows})) join {_W} using(ticker) where rn <= 252 group by 1),
-    q as (select quantile_cont(ret, 0.05) q, skewness(ret) s, kurtosis(ret) k, stddev_samp(ret) sd, avg(ret) m, count(*) n, arg_max(ret, dt) last from p),
-    dd as (select min(cum/peak-1) dd from (select cum, max(cum) over (order by dt) peak from (select dt, exp(sum(ln(1+ret)) over (order by dt)) cum from p))),
-    b as (select covar_samp(p.ret, e.ret)/var_samp(e.ret) beta, count(*) n from p join ({bench}) e on e.dt = p.dt and e.ticker = 'EUROPE'),
-    h as (select sum(market_value_eur) nav_eur, sum(weight*weight) hhi, max(weight) max_position from fx_eur), c as (select -avg(ret) cvar from p, q where ret <= q.q)
-    select round(nav_eur, 2) nav_eur, -q.q var_95, cvar, cvar/-q.q cvar_ratio, case when q.n >= 21 then -{_CF}*sd end var_95_cf, case when q.n >= 21 and sd > 0 then (252*m-0.035)/(sqrt(252)*sd) end sharpe, -dd max_drawdown, -last daily_loss, case when b.n >= 21 then beta end beta, hhi, max_position from q, dd, b, h, c"""
-
-
-def _card(spark, d, days: int = 0):
-    """The card of the holdings, over the returns up to ``days`` before the last one."""
-    r, bench = fx.returns(spark, d), fx.returns_region(spark, d).filter("ticker = 'EUROPE'")
-    if days:
-        last = r.agg(F.date_sub(F.max("dt"), days).alias("_until"))  # one row
-        r, bench = (x.join(F.broadcast(last), F.col("dt") <= F.col("_until")).drop("_until") for x in (r, bench))
-    return Q.risk_card(r, fx.holdings_eur(spark, d), bench).withColumn("nav_eur", F.round("nav_eur", 2)).select(*_CARD_COLUMNS)
-
-
 def _metrics_sql(card: str) -> str:
     return f"select unnest([{', '.join(repr(c) for c in _CARD_COLUMNS)}]) metric, unnest([{', '.join(_CARD_COLUMNS)}]) v from ({card})"
 
