@@ -30,6 +30,7 @@ from tideline.plans.core import runs
 from tideline.plans.registry import query
 from tideline.plans.scratch import written
 from tideline.streaming import bars as B
+from tideline.streaming import live as L
 
 _W = "(select ticker, sum(weight) weight from fx_eur group by 1)"
 
@@ -580,11 +581,60 @@ def _(spark, d):
     return spark.read.schema(kinds).parquet(f"{base}/latest/v{q.lastProgress['batchId']}")
 
 
-@query("str_reload", "select event_type ticker, arg_max(value, ts) price, max(ts) ts from events where event_type in ('click', 'view') and value is not null group by 1", d="price")
+def _ran(q):
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return q
+
+
+def _dealt(spark, d, base):
+    """The events as a stream of two batches: even and odd ids, in files of that order."""
+    import time
+
+    e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("key"))
+    for k in range(2):
+        e.filter(F.pmod("event_id", F.lit(2)) == k).coalesce(1).write.parquet(f"{base}/feed/part={k}")
+        time.sleep(1.1)  # files are taken in the order of their times
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/part=*"), e.schema
+
+
+#: Watchlist versions of the two batches (fixed values).
+WATCHED = ((0, "click"), (0, "view"), (1, "view"), (1, "purchase"))
+_RELOAD = "select event_type ticker, arg_max(value, ts) price, max(ts) ts from events where value is not null and ((event_id % 2 = 0 and event_type in ('click', 'view')) or (event_id % 2 = 1 and event_type in ('view', 'purchase'))) group by 1"
+
+
+@query("str_reload", _RELOAD, d="price")
 def _(spark, d):
-    ticks = fx.table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts")
-    on = spark.createDataFrame([("click",), ("view",)], "ticker string")
-    return B.latest_prices(ticks.join(on, "ticker", "left_semi"))
+    from tideline.plans.scratch import folder
+
+    base = folder(spark)
+    spark.createDataFrame(WATCHED, "version long, ticker string").write.parquet(f"{base}/watchlist")
+    stream, _ = _dealt(spark, d, base)
+    q = _ran(L.start_watched(stream.select("ticker", "price", "ts"), f"{base}/watchlist", f"{base}/latest", f"{base}/log"))
+    kinds = B.latest_prices(fx.table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts")).schema
+    return spark.read.schema(kinds).parquet(f"{base}/latest/v{q.lastProgress['batchId']}")
+
+
+_PUSHED = "select receiver, event_id % 2 epoch, event_type ticker, arg_max(value, ts) price from events, (select unnest(['first', 'second']) receiver) where value is not null group by all"
+
+
+@query("str_broadcast", _PUSHED, d="price", i="epoch")
+def _(spark, d):
+    import os
+
+    from tideline.plans.scratch import folder
+
+    base = folder(spark)
+    here = base.removeprefix("file://")
+    names = ["first", "second", "missing"]  # the third has no folder: it is dropped
+    for n in names[:2]:
+        os.makedirs(f"{here}/{n}")
+    stream, _ = _dealt(spark, d, base)
+    _ran(L.push_prices(stream, f"{here}/sent", [f"{here}/{n}" for n in names], f"{base}/log"))
+    sent = spark.read.schema("epoch long, prices array<struct<ticker: string, price: double>>").json([f"{base}/{n}" for n in names[:2]])
+    rows = sent.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("receiver"), "epoch", F.explode("prices").alias("p"))
+    return rows.select("receiver", "epoch", "p.ticker", "p.price")
 
 
 @query("str_bars", "select ticker, ts, open, high, low, close, volume from fx_bars_h", d="open high low close", i="volume")
@@ -592,11 +642,23 @@ def _(spark, d):
     return fx.bars_h(spark, d)
 
 
-@query("str_alert_dedup", "select event_type || cast(user_id as varchar) key, cast(min(ts) as date) first_day, count(distinct cast(ts as date)) n from events group by 1", i="n")
+_DAY = "list_reduce(list_transform(list_sort(list(ts)), lambda t: [t]), lambda sent, t: case when t[1] - sent[len(sent)] >= interval 24 hours then list_concat(sent, t) else sent end)"
+
+
+@query("str_alert_dedup", f"select key, unnest({_DAY}) ts from (select event_type || cast(user_id as varchar) key, ts from events where ts is not null) group by 1")
 def _(spark, d):
-    e = fx.table(spark, d, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), "ts")
-    daily = e.groupBy("key", F.to_date("ts").alias("day")).agg(F.min("ts").alias("ts"))
-    return daily.groupBy("key").agg(F.min("day").alias("first_day"), F.count("*").alias("n"))
+    from tideline.plans.scratch import folder
+
+    base, schema = folder(spark), fx.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    alerts = stream.select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), "ts")
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.STORE)
+    try:
+        _ran(L.alerts_once(alerts).writeStream.format("parquet").option("path", f"{base}/sent").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.schema("key string, ts timestamp").parquet(f"{base}/sent").select("key", F.col("ts").cast(schema["ts"].dataType).alias("ts"))
 
 
 # ---------------------------------------------------------------- report sections
