@@ -98,3 +98,30 @@ def test_tails_of_many_series(spark):
         like = lambda k, s: -len(x) * math.log(s) - (1 + 1 / k) * np.log1p(k * x / s).sum()  # noqa: E731, B023
         assert like(fit[t].shape, fit[t].scale) >= like(*fits.gpd(x)) - 1e-3
         assert got[t] == pytest.approx(fits.evt_var(series[t]), rel=0.01)
+
+
+def test_cholesky_in_blocks(spark):
+    """L L' is the matrix for sizes around a block's; a singular matrix takes jitter, an indefinite one is refused."""
+    from tideline.operators.cholesky import cholesky
+
+    rng = np.random.default_rng(9)
+
+    def table(m):
+        return spark.createDataFrame([(f"t{i:03}", f"t{j:03}", float(m[i, j])) for i in range(len(m)) for j in range(len(m))], "a string, b string, value double")
+
+    for n, size in ((1, 4), (4, 4), (7, 3)):
+        a = rng.normal(size=(n, n + 2))
+        m, low = a @ a.T, np.zeros((n, n))
+        for r in cholesky(table(m), size).collect():
+            low[int(r.a[1:]), int(r.b[1:])] = r.value
+            assert r.jitter == 0
+        assert np.allclose(low, np.linalg.cholesky(m))
+    flat = np.ones((3, 3))
+    got = cholesky(table(flat), 2).collect()
+    low = np.zeros((3, 3))
+    for r in got:
+        low[int(r.a[1:]), int(r.b[1:])] = r.value
+    assert got[0].jitter > 0 and np.allclose(low @ low.T, flat, atol=1e-3)
+    with pytest.raises(ValueError, match="positive"):
+        cholesky(table(np.array([[1.0, 2.0], [2.0, 1.0]])), 2)
+    assert cholesky(table(np.zeros((0, 0)))).count() == 0

@@ -57,6 +57,37 @@ def _(spark, d):
     return M.rest_daily(_bodies(spark, d))
 
 
+def _save_pages(folder: str):
+    def run(rows):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(f"{folder}/{r['ticker']}-{r['page']}.json", "w", encoding="utf-8") as f:
+                f.write(r["body"])
+
+    return run
+
+
+@query("src_get_retry", "select ticker, dt, close from fx_prices", d="close")
+def _(spark, d):
+    from tideline.plans.scratch import folder
+    from tideline.sources.services import read_pages
+
+    base = folder(spark)
+    here = base.removeprefix("file://")
+    w = W.partitionBy("ticker").orderBy("dt")
+    rows = fx.prices(spark, d).withColumn("page", F.floor((F.row_number().over(w) - 1) / 400).cast("int"))
+    result = F.struct((F.unix_date("dt").cast("long") * 86400000).alias("t"), F.col("close").alias("c"))
+    bodies = rows.groupBy("ticker", "page").agg(F.collect_list(result).alias("results"))
+    last = F.max("page").over(W.partitionBy("ticker"))
+    bodies = bodies.withColumn("next", F.col("page") < last).select("ticker", "page", F.to_json(F.struct("results", "next")).alias("body"))
+    bodies.foreachPartition(_save_pages(f"{here}/service"))
+    tickers = [r["ticker"] for r in bodies.select("ticker").distinct().collect()]  # what the service is asked for
+    got = read_pages(spark, f"file://{here}/service/{{ticker}}-{{page}}.json", tickers, pause=0.01, drill=2, cache=f"{here}/cache")
+    return M.rest_daily(got.select("ticker", "body"))
+
+
 @query("src_rest_snapshot", "select c_mktsegment || cast(c_custkey as varchar) ticker, case when c_acctbal > 0 then c_acctbal else 5.0 end price from customer where c_acctbal > 0 or c_nationkey > 5", d="price")
 def _(spark, d):
     name = F.concat("c_mktsegment", F.col("c_custkey").cast("string"))

@@ -21,6 +21,7 @@ from tideline.operators import stress as T
 from tideline.operators import tails
 from tideline.operators import variance as H
 from tideline.operators import walk as V
+from tideline.operators.cholesky import cholesky
 from tideline.operators.walk_forward import walk_forward
 from tideline.plans import fixtures as fx
 from tideline.plans import quadratic as D
@@ -68,6 +69,18 @@ def _(spark, d):
 
 
 fx.SQL["fx_ewma_region"] = fx.SQL["fx_ewma"].replace("from fx_returns)", "from fx_returns_region)")
+#: The factor by columns: each step takes the products of one column off the rest.
+_CHOL = """with recursive m0 as (select list(a order by a) t, list(r order by a) m from (select a, list(corr order by b) r from fx_cov group by a)),
+    f(t, m, l, k) as (select t, m, []::double[][], 1 from m0 union all
+    select t, list_transform(range(1, len(t)+1), lambda i: list_transform(range(1, len(t)+1), lambda j: m[i][j] - m[i][k]*m[k][j]/m[k][k])), list_concat(l, [list_transform(range(1, len(t)+1), lambda i: m[i][k]/sqrt(m[k][k]))]), k+1 from f where k <= len(t))
+    select t[i] a, t[j] b, l[j][i] as value, 0.0::double jitter from (select *, unnest(range(1, len(t)+1)) i from f where k = len(t)+1) , (select unnest(range(1, 6)) j) where j <= i"""
+
+
+@query("k_chol", _CHOL, d="value jitter")
+def _(spark, d):
+    return cholesky(M.covariances(_al(spark, d)).select("a", "b", F.col("corr").alias("value")), size=2)
+
+
 _JUMPS = "select *, lag(hit) over (partition by ticker order by dt) was from (select ticker, dt, (abs(ret) > 2*sqrt(var))::int hit, case when abs(ret) > 2*sqrt(var) then (abs(ret) - 2*sqrt(var))*sign(ret) end big from fx_ewma_region)"
 _HAWKES = f"select ticker, base, 0.5*least(greatest(2*case when jumps > 2 and jumps < n and isfinite(rho) then rho else 0 end, 0), 0.8) excite, coalesce(mean, 0) mean, coalesce(sd, 0) sd from (select ticker, avg(hit) base, sum(hit) jumps, count(*) n, corr(hit, was) rho, avg(big) mean, stddev_samp(big) sd from ({_JUMPS}) group by 1)"
 
