@@ -568,15 +568,19 @@ def test_html_scan_against_brute_force():
 
 
 def test_html_on_driver_pages(spark):
-    """The scan decides every page of the test tables: none is left to the rule for pages without a surge."""
+    """Of the test tables' pages nearly all surge; those with very little text never do, and keep all their lines."""
     import pyarrow.parquet as pq
 
     from tideline.llm import html_text as H
 
     pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
     lines = [H.lines(p["html"] or "") for p in pages]
-    surging = [bool(H._stretches(np.array([len(t) + H.DIVE * i for t, _, i in x]), H.WINDOW, H.SURGE, H.DIVE).any()) for x in lines if x]
-    assert surging and np.mean(surging) == 1
+    surging = [bool(H._stretches(np.array([len(t) + H.DIVE * i for t, _, i in x]), H.WINDOW, H.SURGE, H.DIVE).any()) for x in lines]
+    assert np.mean(surging) >= 0.9
+    for x, surges in zip(lines, surging):
+        if not surges:
+            assert sum(len(t) for t, _, _ in x) < H.SURGE and H.main_lines(x) == [t for t, k, i in x if i or k <= H.LINKED * len(t)]
+    assert H.main_text("<body><form id=f><div>All of the page</div><p>stands in a form</p></form></body>") == "All of the page\nstands in a form"
     clash = spark.createDataFrame([(p["page_id"], p["url"], p["html"], "own", 3) for p in pages[:5]] * 2, "page_id long, url string, html string, text string, n_chars long")
     out = H.extract_pages(clash).collect()
     assert len(out) == 2 * len(pages[:5]) and all(r.text != "own" for r in out) and H.extract_pages(clash.limit(0)).count() == 0

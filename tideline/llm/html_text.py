@@ -39,9 +39,9 @@ _BOX = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-def _boxed(name: str, rest: str, inside: bool) -> bool:
+def _boxed(name: str, rest: str, inside: bool, aside: frozenset) -> bool:
     """If an element stands beside the article, by its name or what its attributes say."""
-    if name in ASIDE or (name == "header" and not inside):
+    if name in aside or (name == "header" and not inside):
         return True
     if not rest or name in ("html", "body", "main"):
         return False
@@ -55,8 +55,8 @@ def _boxed(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The blocks of a page that stand in no box: text, its characters in links, and if in article or main."""
+def lines(page: str, aside: frozenset = frozenset(ASIDE)) -> list[tuple[str, int, bool]]:
+    """The blocks of a page that stand in no box (elements of ``aside``, or marked as one): text, its characters in links, and if in article or main."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = depth = inside = anchor = 0
@@ -104,7 +104,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             elif name == "a":
                 anchor = 0
         elif name not in VOID:
-            if _boxed(name, m["rest"], inside > 0):
+            if _boxed(name, m["rest"], inside > 0, aside):
                 close()
                 skip, depth = name, 1
             elif name in ("article", "main"):
@@ -131,7 +131,7 @@ def _stretches(size: np.ndarray, window: int, surge: int, dive: int) -> np.ndarr
 
 
 def main_lines(found: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[str]:
-    """The lines from each surge of the windowed text length to the dive after it, on every page.
+    """The lines from each surge of the windowed text length to the dive after it, on every page that surges.
 
     A line weighs its text length, link lists nothing; a stretch starts at the first line with text of a
     window of at least ``surge``, and ends before a window under ``dive``. Article and main elements are a
@@ -155,8 +155,12 @@ def main_lines(found: list[tuple[str, int, bool]], window: int = WINDOW, surge:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page, a block per line."""
-    return "\n".join(main_lines(lines(page or "")))
+    """The main text of a page, a block per line. A page that stands wholly in a form is read with its form."""
+    page = page or ""
+    found = lines(page)
+    if not found and re.search(r"<form\b", page, re.I):
+        found = lines(page, frozenset(ASIDE) - {"form"})
+    return "\n".join(main_lines(found))
 
 
 def _extract(frames):
