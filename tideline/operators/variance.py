@@ -45,7 +45,7 @@ def losses(rows: DataFrame, grid: DataFrame) -> DataFrame:
     One scan per beta and one aggregation for all points of it; ``rows(ticker, t, x)``.
     """
     scan = scanned(rows.join(grid.select("ticker", "j", "beta"), "ticker"), ["ticker", "j"])
-    size = grid.agg(F.max(F.size("points"))).first()[0] or 0
+    size = grid.agg(F.max(F.size("points"))).first()[0] or 1  # 1: no series is long enough
     point = lambda k: F.get("points", F.lit(k))
     joined = scan.join(grid.select("ticker", "j", "points"), ["ticker", "j"])
     value = [F.sum(F.log(v := _level(point(k)["w"], point(k)["alpha"])) + F.col("x") / v).alias(f"l{k}") for k in range(size)]
