@@ -125,3 +125,28 @@ def test_cholesky_in_blocks(spark):
     with pytest.raises(ValueError, match="positive"):
         cholesky(table(np.array([[1.0, 2.0], [2.0, 1.0]])), 2)
     assert cholesky(table(np.zeros((0, 0)))).count() == 0
+
+
+def test_paths_draw_residuals_from_a_table(spark):
+    """A table of residuals gives the paths that the same array gives; without dates common to all, paths are normal."""
+    from dataclasses import replace
+
+    from tideline.kernels.paths import Model
+    from tideline.operators import montecarlo as C
+
+    one, z = np.ones(2), np.random.default_rng(4).standard_normal((80, 2))
+    model = Model(0 * one, 1e-5 * one, 0.05 * one, 0.9 * one, 2e-4 * one, np.eye(2), (0.02, 0.95), z, {}, np.eye(2))
+    table = spark.createDataFrame([(datetime.date(2020, 1, 1) + datetime.timedelta(k), list(map(float, r))) for k, r in enumerate(z)], "dt date, z array<double>")
+    ends = lambda m: {r.path: r.total for r in C.simulated_ends(spark, m, np.array([0.6, 0.4]), 4500, 5, "hawkes").collect()}
+    a, b, none, normal = ends(model), ends(replace(model, residuals=table)), ends(replace(model, residuals=table.limit(0))), ends(replace(model, residuals=None))
+    assert len(a) == 4500 and a == b and none == normal != a
+
+
+def test_sample_model_is_of_the_last_rows(spark):
+    from tideline.operators.path_models import sample_model
+
+    rng = np.random.default_rng(5)
+    x = rng.multivariate_normal([0, 0], [[1e-4, 6e-5], [6e-5, 2e-4]], 200)
+    names, model = sample_model(frame(spark, {"A": x[:, 0], "B": x[:, 1]}))
+    sd = np.sqrt(model.variance)
+    assert names == ["A", "B"] and np.allclose(model.corr * np.outer(sd, sd), np.cov(x[-63:].T), rtol=1e-6) and not model.mean.any()

@@ -162,14 +162,15 @@ def test_correlations_use_every_residual_and_start_at_the_last_state(spark):
     import numpy as np
 
     from tideline.kernels.paths import simulate
-    from tideline.operators.optimise import path_model
+    from tideline.operators.path_models import path_model
 
     rng = np.random.default_rng(8)
     n = 900
     x, y = rng.standard_normal((2, n))
     y = np.where(np.arange(n) < 150, 0.95 * x + 0.3 * y, y)  # linked in the oldest rows only
     rows = [(t, day(k), float(v) * 0.01) for t, s in (("A", x), ("B", y)) for k, v in enumerate(s)]
-    _, model, _ = path_model(spark.createDataFrame(rows, "ticker string, dt date, ret double"))
+    _, model = path_model(spark.createDataFrame(rows, "ticker string, dt date, ret double"))
+    model.residuals = np.array([r.z for r in model.residuals.orderBy("dt").collect()])
     base = np.corrcoef(model.residuals.T)
     assert len(model.residuals) == n and np.allclose(model.corr, base) and abs(base[0, 1] - np.corrcoef(model.residuals[-750:].T)[0, 1]) > 0.05
     q, (a, b) = base, model.dcc

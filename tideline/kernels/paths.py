@@ -11,7 +11,8 @@ import numpy as np
 class Model:
     """Per-asset daily mean, variance recursion, standardised residuals, correlations and jump intensities.
 
-    ``start`` is the state of the dynamic correlations after the last row; without it, ``corr``.
+    ``start`` is the state of the dynamic correlations after the last row; without it, ``corr``. ``residuals`` is an
+    array (dates x assets) where paths are simulated; a model that is sent to tasks may name a table instead.
     """
 
     mean: np.ndarray
@@ -21,7 +22,7 @@ class Model:
     variance: np.ndarray
     corr: np.ndarray
     dcc: tuple[float, float] = (0.03, 0.93)
-    residuals: np.ndarray | None = None
+    residuals: object = None
     jumps: dict = field(default_factory=dict)
     start: np.ndarray | None = None
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,25 +13,47 @@ from pyspark.sql import functions as F
 from tideline.kernels.paths import Model, simulate
 
 BLOCK = 2000
+#: Cells of a block's correlation matrices (paths x assets x assets) at most.
+CELLS = 5_000_000
 
 
 def _blocks(spark: SparkSession, model: Model, weights: np.ndarray, paths: int, steps: int, kind: str, seed: int, rows, schema: str) -> DataFrame:
-    """``rows`` (first path, returns by path and step) of blocks of paths, each simulated from its own seed."""
+    """``rows`` (first path, returns by path and step) of blocks of paths, each simulated from its own seed.
 
-    def run(frames):
-        for frame in frames:
-            for b in frame["id"].tolist():
-                n = min(BLOCK, paths - b * BLOCK)
-                yield rows(b * BLOCK, simulate(model, n, steps, kind, np.random.Generator(np.random.PCG64([seed, b]))) @ weights)
+    Blocks are dealt to tasks; where paths draw residuals, their table (dt, z) is sent to each task by a shuffle.
+    """
+    size = max(1, min(BLOCK, CELLS // max(1, len(weights)) ** 2))
+    blocks = -(-paths // size)
+    tasks = min(blocks, max(1, spark.sparkContext.defaultParallelism))
+    drawn, bare = model.residuals if kind == "hawkes" else None, replace(model, residuals=None)
+
+    def block(b: int, residuals: np.ndarray | None) -> pd.DataFrame:
+        own = replace(bare, residuals=residuals)
+        return rows(b * size, simulate(own, min(size, paths - b * size), steps, kind, np.random.Generator(np.random.PCG64([seed, b]))) @ weights)
+
+    if not isinstance(drawn, DataFrame):
+
+        def run(frames):
+            for frame in frames:
+                for b in frame["id"].tolist():
+                    yield block(b, drawn)
+
+        return spark.range(0, blocks, 1, tasks).mapInPandas(run, schema)
+
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        z = frame[frame["z"].notna()].sort_values("dt")["z"]
+        residuals = np.stack(z.tolist()) if len(z) else None
+        return pd.concat([block(b, residuals) for b in range(key[0], blocks, tasks)])
 
-    blocks = -(-paths // BLOCK)
-    return spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+    every = drawn.select("dt", "z", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    empty = spark.range(tasks).select(F.lit(None).cast("date").alias("dt"), F.lit(None).cast("array<double>").alias("z"), F.col("id").cast("int").alias("task"))
+    return every.unionByName(empty).repartition(tasks, "task").groupBy("task").applyInPandas(task, schema)
 
 
 def simulate_portfolio(spark: SparkSession, model: Model, weights: np.ndarray, paths: int = 50_000, steps: int = 21, kind: str = "hawkes", seed: int = 42) -> DataFrame:
     """(path, step, ret) of a constant-mix portfolio: blocks of paths are simulated apart, each from its own seed.
 
-    The model is a few vectors and matrices over the assets; a block's tensor is all that a task holds.
+    The model is a few vectors and matrices over the assets; a task holds a block's tensor, and the residuals it draws.
     """
 
     def rows(first: int, r: np.ndarray) -> pd.DataFrame:

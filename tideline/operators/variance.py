@@ -122,7 +122,7 @@ def residuals(returns: DataFrame, fit: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- correlations
 
 
-def _pair_losses(points: list[tuple[float, float]]):
+def _pair_losses(points: list[tuple[float, float]], least: int):
     import numpy as np
     import pandas as pd
 
@@ -130,48 +130,65 @@ def _pair_losses(points: list[tuple[float, float]]):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("dt")
-        x, y, rho = rows["x"].to_numpy(), rows["y"].to_numpy(), float(rows["rho"].iloc[0])
-        qx, qy, qxy, total, rest = np.ones(len(a)), np.ones(len(a)), np.full(len(a), rho), np.zeros(len(a)), 1 - a - b
-        for u, v in zip(x.tolist(), y.tolist()):
-            r2 = np.clip(qxy * qxy / (qx * qy), 0, 1 - 1e-12)
-            r = np.sign(qxy) * np.sqrt(r2)
-            total += np.log1p(-r2) + (u * u - 2 * r * u * v + v * v) / (1 - r2)
-            qx, qy, qxy = rest + a * u * u + b * qx, rest + a * v * v + b * qy, rest * rho + a * u * v + b * qxy
-        return pd.DataFrame({"j": np.arange(len(a)), "loss": total, "q_xy": qxy, "q_x": qx, "q_y": qy, "n": len(rows)})
+        x, y, none = rows["x"].to_numpy(), rows["y"].to_numpy(), np.full(len(a), np.nan)
+        rho = float(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() > 0 and y.std() > 0 else np.nan
+        out = pd.DataFrame({"a": key[0], "b": key[1], "j": np.arange(len(a)), "rho": rho, "loss": none, "q_xy": none, "q_x": none, "q_y": none})
+        if len(x) >= least and np.isfinite(rho):
+            qx, qy, qxy, total, rest = np.ones(len(a)), np.ones(len(a)), np.full(len(a), rho), np.zeros(len(a)), 1 - a - b
+            for u, v in zip(x.tolist(), y.tolist()):
+                r2 = np.clip(qxy * qxy / (qx * qy), 0, 1 - 1e-12)
+                r = np.sign(qxy) * np.sqrt(r2)
+                total += np.log1p(-r2) + (u * u - 2 * r * u * v + v * v) / (1 - r2)
+                qx, qy, qxy = rest + a * u * u + b * qx, rest + a * v * v + b * qy, rest * rho + a * u * v + b * qxy
+            out["loss"], out["q_xy"], out["q_x"], out["q_y"] = total, qxy, qx, qy
+        return out.astype(object).where(out.notna(), None)
 
     return run
 
 
-def _losses(pairs: DataFrame, points: list[tuple[float, float]]) -> dict[int, float]:
-    """Summed losses of the points: a row per point on the driver."""
-    each = pairs.groupBy("a", "b").applyInPandas(_pair_losses(points), "j long, loss double, q_xy double, q_x double, q_y double, n long")
-    return {r["j"]: r["loss"] for r in each.groupBy("j").agg(F.sum("loss").alias("loss")).collect()}
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by keys over all shuffle partitions: groups are few bytes and much work, which coalescing can't see."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _losses(pairs: DataFrame, points: list[tuple[float, float]], least: int) -> DataFrame:
+    """Correlation, loss and last state of each pair at each point; without a loss where the pair doesn't count."""
+    return spread(pairs, "a", "b").groupBy("a", "b").applyInPandas(_pair_losses(points, least), "a string, b string, j long, rho double, loss double, q_xy double, q_x double, q_y double")
+
+
+def _best(losses: DataFrame) -> int | None:
+    """The point with the least sum of losses: a row per point on the driver."""
+    found = {r["j"]: r["loss"] for r in losses.groupBy("j").agg(F.sum("loss").alias("loss")).collect() if r["loss"] is not None}
+    return min(found, key=lambda j: (found[j], j)) if found else None
 
 
 def fit_correlations(z: DataFrame, least: int = 60) -> DataFrame:
-    """a, b, corr, dcc_a, dcc_b of each ordered pair: dynamic conditional correlations by composite likelihood.
+    """a, b, corr, dcc_a, dcc_b, state, level of each ordered pair: dynamic conditional correlations by composite likelihood.
 
     The likelihood is the sum of all pairs' bivariate ones, so no task holds a panel: a pair's recursion over
     its common dates is one grouped task that follows all points of a grid at once. Two grids: 0.005 to 0.1 by
     0.75 to 0.97, then around the best. corr is the long-run correlation over common dates. Pairs under
-    ``least`` dates don't count; with none that does, 0.03 and 0.93.
+    ``least`` dates don't count; with none that does, 0.03 and 0.93. state is the correlation after the last row
+    and level the mean of a's own state over its pairs (null for pairs that don't count, and of a with itself).
     """
     from tideline.plans.scratch import written
 
     x, y = z.select(F.col("ticker").alias("a"), "dt", F.col("z").alias("x")), z.select(F.col("ticker").alias("b"), "dt", F.col("z").alias("y"))
-    both = x.join(y, "dt").filter("a < b")
-    stats = both.groupBy("a", "b").agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n"))
-    pairs = written(both.join(stats.filter((F.col("n") >= least) & F.col("rho").isNotNull()), ["a", "b"]), "dcc-pairs")
+    pairs = written(x.join(y, "dt").filter("a < b"), "dcc-pairs")
     allowed = lambda p: 1e-4 <= p[0] <= 0.2 and 0.7 <= p[1] <= 0.9998 and sum(p) < 0.9999
-    best = (0.03, 0.93)
-    points = [(a, b) for a in (0.005, 0.02, 0.05, 0.1) for b in (0.75, 0.85, 0.92, 0.97)]
-    for _ in range(2):
-        points = [p for p in points if allowed(p)]
-        if not (found := _losses(pairs, points)):
-            break
-        best = points[min(found, key=lambda j: (found[j], j))]
-        points = [(best[0] * m, best[1] + d) for m in (0.7, 1, 1.4) for d in (-0.02, 0, 0.015)]
-    one = stats.select("a", "b", F.col("rho").alias("corr"))
-    own = z.select("ticker").distinct().select(F.col("ticker").alias("a"), F.col("ticker").alias("b"), F.lit(1.0).alias("corr"))
-    every = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
-    return every.withColumn("dcc_a", F.lit(best[0])).withColumn("dcc_b", F.lit(best[1]))
+    best, points = (0.03, 0.93), [(a, b) for a in (0.005, 0.02, 0.05, 0.1) for b in (0.75, 0.85, 0.92, 0.97)]
+    if (j := _best(_losses(pairs, points, least))) is not None:
+        best = points[j]
+    points = [p for m in (0.7, 1, 1.4) for d in (-0.02, 0, 0.015) if allowed(p := (best[0] * m, best[1] + d))]
+    each = written(_losses(pairs, points, least), "dcc-losses")
+    if (k := _best(each)) is not None:
+        best = points[k]
+    last = each.filter(F.col("j") == (k or 0))
+    state = F.col("q_xy") / F.sqrt(F.col("q_x") * F.col("q_y"))
+    one = last.select("a", "b", F.col("rho").alias("corr"), state.alias("state"), F.col("q_x").alias("q"))
+    both = one.unionByName(last.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rho").alias("corr"), state.alias("state"), F.col("q_y").alias("q")))
+    levels = both.groupBy("a").agg(F.avg("q").alias("level"))
+    named = both.join(levels, "a").select("a", "b", "corr", "state", F.when(F.col("state").isNotNull(), F.col("level")).alias("level"))
+    none = F.lit(None).cast("double")
+    own = z.select("ticker").distinct().select(F.col("ticker").alias("a"), F.col("ticker").alias("b"), F.lit(1.0).alias("corr"), none.alias("state"), none.alias("level"))
+    return named.unionByName(own).select("a", "b", "corr", F.lit(best[0]).alias("dcc_a"), F.lit(best[1]).alias("dcc_b"), "state", "level")

@@ -14,6 +14,7 @@ from tideline.operators import joins as J
 from tideline.operators import moments as M
 from tideline.operators import montecarlo as C
 from tideline.operators import optimise as O
+from tideline.operators import path_models as PM
 from tideline.operators import portfolio as P
 from tideline.operators import report as Q
 from tideline.operators import series as X
@@ -58,14 +59,10 @@ def _(spark, d):
     return H.fit_garch(_al(spark, d))
 
 
-def _model(spark, d):
-    return O.path_model(_al(spark, d))
-
-
 @query("k_fit_dcc")
 def _(spark, d):
-    r = _al(spark, d)
-    return H.fit_correlations(H.residuals(r, written(H.fit_garch(r), "garch")))
+    r = written(_al(spark, d), "aligned")
+    return H.fit_correlations(written(H.residuals(r, written(H.fit_garch(r), "garch")), "residuals"))
 
 
 fx.SQL["fx_ewma_region"] = fx.SQL["fx_ewma"].replace("from fx_returns)", "from fx_returns_region)")
@@ -90,8 +87,8 @@ def _(spark, d):
     return O.jump_fits(fx.returns_region(spark, d))
 
 
-def _simulated(spark, d, kind, n=50_000, steps=21, simulate=None):
-    names, model, _ = _model(spark, d)
+def _simulated(spark, d, kind, n=50_000, steps=21, simulate=None, model=None):
+    names, model = (model or PM.path_model)(_al(spark, d))
     simulate = simulate or C.simulated_ends
     w = dict((r["ticker"], r["weight"]) for r in _region_weights(spark).collect())
     return simulate(spark, model, np.array([w[t] for t in names]), n, steps, kind)
@@ -128,7 +125,8 @@ def _(spark, d):
 
 @query("k_mc_simple")
 def _(spark, d):
-    return C.tail_metrics(written(_simulated(spark, d, "gbm", 10_000, 30), "paths"))
+    ends = written(_simulated(spark, d, "gbm", 10_000, 30, model=PM.sample_model), "paths")
+    return C.tail_metrics(ends).crossJoin(ends.agg(F.avg((F.col("total") > 0).cast("int")).alias("p_positive")))  # one row each
 
 
 _TAIL = "select path, arg_max(nav, step)-1 total, min(d) drawdown from (select *, nav/greatest(1, max(nav) over (partition by path order by step))-1 d from fx_nav) group by 1"
