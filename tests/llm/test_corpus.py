@@ -104,6 +104,20 @@ def test_groups_that_fit_stay_whole(spark):
     assert spread([60] * 4 + [40] * 4, 4) == [1] * 8  # each shard is filled by one of both
 
 
+def test_labels_propagate(spark):
+    """Where all rows are linked, quotas are full from the start: cut edges fall by rounds, groups end whole."""
+    from tideline.llm.sharding import balance_shards
+
+    texts = [f"pair {k // 2}" for k in range(400)] + [f"ten {k // 10}" for k in range(200)] + ["large"] * 40
+    rounds = []
+    out = balance_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=8, rounds=rounds).collect()
+    counts, groups = Counter(r.shard for r in out), {}
+    for r in out:
+        groups.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(rounds) > 1 and all(b < a for a, b in zip(rounds, rounds[1:-1])) and rounds[-1] <= rounds[-2]
+    assert set(counts.values()) == {80} and sum(len(g) > 1 for g in groups.values()) == 0
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -13,14 +13,17 @@ from tideline.llm.common import dropped, written
 BUCKET_ROWS = 1024
 
 
-def balance_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+def balance_shards(docs: DataFrame, shards: int = 16, rounds: list | None = None) -> DataFrame:
     """Assigns every row of ``docs(doc_id, text, ...)`` to a shard; shard counts differ by one at most.
 
-    Links join rows of equal text. Labels start from a hash; in each round a link group asks for the shard
-    that holds most of it among those with room for all of it, and a shard admits groups, large ones first,
-    within the quota it has left; rounds end when no group left fits anywhere. Only a group larger than a
-    shard's quota is cut, at the quota. Rows without links are the filler: at the end, rows beyond a
-    shard's quota, unlinked ones first, move to shards that lack rows.
+    Links join rows of equal text. Labels start from a hash and propagate: in each round every linked row looks
+    at the shards that its neighbours are in now and wishes for the one with most of them, among those that come
+    before its own and have room; shards admit rows, many together first, within their quotas, and what leaves
+    makes room. Rounds end when the cut edges fall no more. Groups that are still cut then gather whole in a shard
+    with room for all of them, as long as one fits; groups of a sixteenth of a quota or more do so before the
+    rounds. Only a group larger than a shard's quota is cut, at the quota. Rows without links are the filler: at
+    the end, rows beyond a shard's quota, unlinked ones first, move to shards that lack rows. ``rounds`` is
+    given the cut edges before each round.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law ('rows'), shard, slot (0.. without gaps in
     each shard), grown_shard (null). Null texts have size 1, checksum 0 and are linked with one another
@@ -52,10 +55,9 @@ def balance_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     )
     dropped(rows)
     cells = written(placed.filter("linked").groupBy("unit", "start").agg(F.count("*").alias("n")), "shard-cells")
-    settled = _settled(cells, quota, shards)
-    moved = cells.select("unit", "start").join(settled, "unit")
+    moved = _moved(cells, quota, shards, [] if rounds is None else rounds)
     labelled = placed.join(moved, ["unit", "start"], "left").withColumn("shard", F.coalesce("moved", "start"))
-    return _even(labelled, n, shards, (placed, cells, linked, settled))
+    return _even(labelled, n, shards, (placed, cells, linked, moved))
 
 
 def _parts(rows: DataFrame, linked: DataFrame, quota: int) -> DataFrame:
@@ -73,26 +75,74 @@ def _parts(rows: DataFrame, linked: DataFrame, quota: int) -> DataFrame:
     return rows.filter(~own).withColumn("part", F.lit(0).cast("long")).unionByName(cut.drop("bucket", "at", "head"))
 
 
-def _settled(cells: DataFrame, quota: int, shards: int) -> DataFrame:
-    """unit, moved: the shard of each unit that fits whole into one.
+def _moved(cells: DataFrame, quota: int, shards: int, rounds: list) -> DataFrame:
+    """unit, start, moved: the shard of the rows of each cell (a unit's rows of one start).
 
-    Units of a sixteenth of a shard or more are few: the driver places them, the largest first. Requests of
-    the others are summed by (shard, size class, hash) and admitted on the driver while they fit; where no sum
+    Units of a sixteenth of a shard or more are few: the driver places them, the largest first. The others propagate
+    in the room that is left, and those that are cut after it are settled whole.
+    """
+    spark, room, large = cells.sparkSession, [quota] * shards, []
+    sizes = cells.groupBy("unit").agg(F.sum("n").alias("total"))
+    held = F.expr("transform(sort_array(collect_list(struct(n, -start as s)), false), x -> -x.s)")
+    for r in sorted(cells.join(sizes.filter(F.col("total") * 16 >= quota), "unit").groupBy("unit").agg(F.first("total").alias("total"), held.alias("held")).collect(), key=lambda r: (-r["total"], r["unit"])):  # 16 x shards at most
+        order = [*r["held"], *(x for x in range(shards) if x not in r["held"])]
+        if (to := next((x for x in order if room[x] >= r["total"]), None)) is not None:
+            room[to] -= r["total"]
+            large.append((r["unit"], to))
+    seeded = spark.createDataFrame(large, "unit long, moved int")
+    state = _propagated(written(cells.join(F.broadcast(seeded), "unit", "left_anti").withColumn("shard", F.col("start")), "shard-state"), list(room), shards, rounds)
+    votes = state.groupBy("unit").agg(F.sum("n").alias("total"), F.count_distinct("shard").alias("held"), F.first("shard").alias("shard"))
+    for r in votes.filter("held = 1").groupBy("shard").agg(F.sum("total").alias("n")).collect():
+        room[r["shard"]] -= r["n"]
+    settled = _settled(state.join(votes.filter("held > 1").select("unit"), "unit", "left_semi").groupBy("unit", "shard").agg(F.sum("n").alias("n")), room, shards)
+    kept = state.join(settled, "unit", "left").select("unit", "start", F.coalesce("moved", "shard").alias("moved"))
+    out = written(kept.unionByName(cells.select("unit", "start").join(F.broadcast(seeded), "unit")), "shard-moved")
+    dropped(state, settled)
+    return out
+
+
+def _propagated(state: DataFrame, room: list[int], shards: int, rounds: list) -> DataFrame:
+    """``state(unit, start, n, shard)`` after the rounds of propagation; ``rounds`` gets the cut edges before each.
+
+    A row's neighbours are its unit's rows, so their votes are a count per unit and shard, which is joined back in
+    each round. Requests are summed by (from, to, size class, hash); the driver sees these sums only. Rows move up
+    in their unit's order of shards, so linked rows never swap places.
+    """
+    for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        room[r["shard"]] -= r["n"]
+    while True:
+        votes = state.groupBy("unit", "shard").agg(F.sum("n").alias("n"))
+        rank = F.struct("n", F.pmod(F.xxhash64("unit", "shard"), F.lit(1 << 20)).alias("luck"), "shard")
+        order = votes.groupBy("unit").agg(F.sort_array(F.collect_list(rank), asc=False).alias("order"))  # a shard each at most
+        edges = F.expr("(pow(aggregate(order, 0L, (s, x) -> s + x.n), 2) - aggregate(order, 0.0D, (s, x) -> s + pow(x.n, 2))) / 2")
+        rooms = "array(" + ",".join(f"{x}L" for x in room) + ")"
+        before = "slice(order.shard, 1, cast(array_position(order.shard, shard) - 1 as int))"
+        asked = state.join(order, "unit").withColumn("want", F.expr(f"get(filter({before}, s -> {rooms}[s] >= n), 0)"))
+        asked = written(asked.select("unit", "start", "n", "shard", "want", F.floor(F.log2("n")).alias("class"), F.pmod(F.xxhash64("unit", F.lit(len(rounds))), F.lit(32)).alias("luck"), F.when(F.row_number().over(W.partitionBy("unit").orderBy("start")) == 1, edges).alias("cut")), "shard-asked")
+        dropped(state)
+        rounds.append(int(asked.agg(F.sum("cut")).first()[0] or 0))
+        key = ["want", "shard", "class", "luck"]
+        sums = asked.filter("want is not null").groupBy(*key).agg(F.sum("n").alias("n")).collect()
+        admitted = _admitted(sums, key, room, leaves=True)
+        if not admitted or (len(rounds) > 1 and rounds[-1] >= rounds[-2]):
+            return asked
+        yes = F.broadcast(asked.sparkSession.createDataFrame([(*a, True) for a in admitted], "want int, shard int, class long, luck int, yes boolean"))  # shards^2 x classes x 32 at most
+        state = written(asked.join(yes, key, "left").select("unit", "start", "n", F.when(F.col("yes"), F.col("want")).otherwise(F.col("shard")).alias("shard")), "shard-state")
+        dropped(asked)
+
+
+def _settled(cells: DataFrame, room: list[int], shards: int) -> DataFrame:
+    """unit, moved: the shard of each unit of ``cells(unit, shard, n)`` that fits whole into one.
+
+    Requests are summed by (shard, size class, hash) and admitted on the driver while they fit; where no sum
     fits, single units of a bounded number of requests do, so each round with a request admits one at least.
     """
-    spark, room, k, large, done = cells.sparkSession, [quota] * shards, 0, [], []
-    held = F.sort_array(F.collect_list(F.struct("n", (-F.col("start")).alias("s"))), asc=False)
+    spark, k, done = cells.sparkSession, 0, []
+    held = F.sort_array(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))), asc=False)
     turn = f"pmod(xxhash64(unit), {shards})"
     units = cells.groupBy("unit").agg(F.sum("n").alias("total"), held.alias("held")).withColumn("first", F.expr("transform(held, x -> -x.s)"))
     rest = f"filter(transform(sequence(0, {shards - 1}), x -> cast(pmod(x + {turn}, {shards}) as int)), x -> not array_contains(first, x))"
     pending = written(units.select("unit", "total", F.expr(f"concat(first, {rest})").alias("prefs")), "shard-units")
-    for r in sorted(pending.filter(F.col("total") * 16 >= quota).collect(), key=lambda r: (-r["total"], r["unit"])):  # 16 x shards at most
-        if (to := next((x for x in r["prefs"] if room[x] >= r["total"]), None)) is not None:
-            room[to] -= r["total"]
-            large.append((r["unit"], to))
-    rest_of = written(pending.filter(F.col("total") * 16 < quota), "shard-units")
-    dropped(pending)
-    pending = rest_of
     while True:
         rooms = "array(" + ",".join(f"{x}L" for x in room) + ")"
         want = pending.withColumn("want", F.expr(f"get(filter(prefs, s -> {rooms}[s] >= total), 0)")).filter("want is not null")
@@ -112,17 +162,19 @@ def _settled(cells: DataFrame, quota: int, shards: int) -> DataFrame:
         pending = written(asked.join(yes, key, "left_anti").select("unit", "total", "prefs"), "shard-units")
         dropped(asked)
         k += 1
-    out = written(reduce(DataFrame.unionByName, done, spark.createDataFrame(large, "unit long, moved int")), "shard-settled")
+    out = written(reduce(DataFrame.unionByName, done, spark.createDataFrame([], "unit long, moved int")), "shard-settled")
     dropped(*done)
     return out
 
 
-def _admitted(asks: list, key: list[str], room: list[int]) -> list[tuple]:
-    """Keys of the requests that fit, large classes first; takes their rows from ``room``."""
+def _admitted(asks: list, key: list[str], room: list[int], leaves: bool = False) -> list[tuple]:
+    """Keys of the requests that fit, large classes first; takes their rows from ``room`` (and frees it where they leave)."""
     out = []
     for r in sorted(asks, key=lambda r: (-r["class"], r["luck"], *(r[c] for c in key))):
         if r["n"] <= room[r["want"]]:
             room[r["want"]] -= r["n"]
+            if leaves:
+                room[r["shard"]] += r["n"]
             out.append(tuple(r[c] for c in key))
     return out
 
