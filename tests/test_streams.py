@@ -47,6 +47,31 @@ def test_alerts_once_in_24_hours(spark, tmp_path, store):
     assert got == sorted(want)
 
 
+def test_alert_state_is_kept_by_buckets(spark, tmp_path, store):
+    """Many keys cost few visits to the state store; windows end to the microsecond, also those begun in a run before."""
+    rng = random.Random(5)
+    rows = [(f"k{rng.randrange(2000)}", at(rng.randrange(0, 3 * 86_400))) for _ in range(6000)]
+    tiny = datetime.timedelta(microseconds=1)
+    rows += [("x", at(0) + 501 * tiny), ("x", at(86_400) + 500 * tiny), ("x", at(86_400) + 501 * tiny), (None, at(5)), (None, at(6))]
+    rows += [("y", at(80_000)), ("y", at(166_399)), ("y", at(166_400))]
+    want, last = [], {}
+    for key, ts in sorted(rows, key=lambda r: r[1]):
+        if key not in last or ts - last[key] >= datetime.timedelta(days=1):
+            want.append((key, ts))
+            last[key] = ts
+    schema, half, held = "key string, ts timestamp", at(86_400) + 400 * tiny, 0
+    for k, part in enumerate(([r for r in rows if r[1] < half], [r for r in rows if r[1] >= half])):
+        feed(spark, tmp_path, k, part, schema)
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/feed/part=*")
+        q = L.alerts_once(stream, buckets=8).writeStream.format("parquet").option("path", f"{tmp_path}/sent").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+        held = max([held, *(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])])
+    got = [(r.key, r.ts) for r in spark.read.parquet(f"{tmp_path}/sent").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert held <= 4 * 8  # a bucket's value and its timer, not a row per key
+
+
 def test_prices_are_pushed_once_and_dead_receivers_dropped(spark, tmp_path):
     for n in ("one", "two"):
         os.makedirs(tmp_path / n)

@@ -20,51 +20,67 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class _Once(StatefulProcessor):
-    """Keeps the last time that a key was sent; a timer drops it when the window is over."""
+    """Keeps when each key of a bucket was sent last (microseconds); a timer drops those whose window is over."""
 
     def __init__(self, seconds: int) -> None:
-        self.seconds = seconds
+        self.span = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "sent timestamp")
+        self.sent = handle.getValueState("sent", "keys array<string>, times array<bigint>")
+
+    def _read(self) -> dict:
+        state = self.sent.get() if self.sent.exists() else None
+        return dict(zip(*state)) if state else {}
+
+    def _keep(self, sent: dict, watermark: int) -> None:
+        """Later rows have times after the watermark (ms): a key whose window ends by then may be sent again and costs no state."""
+        live = {k: t for k, t in sent.items() if t + self.span > watermark * 1000}
+        if live:
+            self.sent.update((list(live), list(live.values())))
+            self.handle.registerTimer(-(-(min(live.values()) + self.span) // 1000))
+        else:
+            self.sent.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        times = pd.concat([f[["ts"]] for f in rows]).sort_values("ts")["ts"]
-        last, out = (self.last.get()[0] if self.last.exists() else None), []
-        for t in times:
-            if last is None or (t - pd.Timestamp(last)).total_seconds() >= self.seconds:
-                out.append(t)
-                last = t
-        if out:
-            self.last.update((last.to_pydatetime(),))
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(last.timestamp() * 1000) + self.seconds * 1000)
-        yield pd.DataFrame({"key": [key[0]] * len(out), "ts": pd.Series(out, dtype="datetime64[ns]")})
+        frame = pd.concat([f[["key", "us"]] for f in rows]).sort_values("us", kind="stable")
+        sent, keys, times = self._read(), [], []
+        for k, t in zip(frame["key"].tolist(), frame["us"].tolist()):
+            last = sent.get(k)
+            if last is None or t - last >= self.span:
+                keys.append(k)
+                times.append(t)
+                sent[k] = t
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self._keep(sent, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key": pd.Series(keys, dtype="object"), "us": pd.Series(times, dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        self.last.clear()  # the next one may be sent; a key that stays away costs no state
-        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[ns]")})
+        self._keep(self._read(), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "us": pd.Series([], dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def alerts_once(alerts: DataFrame, seconds: int = 86_400, late: str = "0 seconds") -> DataFrame:
+def alerts_once(alerts: DataFrame, seconds: int = 86_400, late: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """(key, ts) of the alerts of a stream that are sent: the first of a key, then those ``seconds`` or more after the last one sent.
 
-    A key's last time is its state, dropped by a timer when the watermark passes the window's end, so state
-    is bounded by the keys of one window. Within a batch a key's rows are taken in the order of ``ts``; rows
-    later than the watermark (``late``) are dropped. Needs the state store ``STORE``.
+    State is kept by bucket of keys (a hash), as a visit to the state store costs more than a key's rows: the last times of
+    a bucket's keys, dropped by a timer when the watermark passes the window's end, so state is bounded by the keys of one
+    window. A bucket's rows of a batch lie in memory at once and are taken in the order of ``ts``; rows later than the
+    watermark (``late``) are dropped. ``buckets`` can't change under a checkpoint. Needs the state store ``STORE``.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the state's first worker starts without shipped files
-    timed = alerts.select("key", F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(_Once(seconds), "key string, ts timestamp", "Append", "EventTime")
+    timed = alerts.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", late)
+    timed = timed.withColumn("us", F.unix_micros("ts")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    out = timed.groupBy("bucket").transformWithStateInPandas(_Once(seconds), "key string, us bigint", "Append", "EventTime")
+    return out.select("key", F.timestamp_micros("us").alias("ts"))
 
 
 # ---------------------------------------------------------------- prices to receivers
