@@ -111,3 +111,28 @@ def test_watchlist_changes_between_batches(spark, tmp_path):
     assert run(0, [("A", 1.0, at(1)), ("B", 1.0, at(1)), ("C", 1.0, at(1))]) == {"A": 1.0, "B": 1.0}
     spark.createDataFrame([(1, "B"), (1, "C")], lists).write.mode("append").parquet(f"{tmp_path}/list")  # A leaves, C joins
     assert run(1, [("A", 2.0, at(2)), ("B", 2.0, at(2)), ("C", 2.0, at(2))]) == {"A": 1.0, "B": 2.0, "C": 2.0}
+
+
+def test_push_takes_batches_and_events_are_dealt_by_many_tasks(spark, tmp_path):
+    """A task's last price per ticker comes from Arrow batches; an epoch's events are written by as many tasks as read them."""
+    import pyarrow as pa
+
+    from tideline.plans import markets
+
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("ticker", "price", "ts"), r)) for r in rows], pa.schema({"ticker": pa.string(), "price": pa.float64(), "ts": pa.timestamp("us", "UTC")}))
+    push = L._Push({"log": str(tmp_path), "receivers": ""})
+    sent = push.write(iter([batch(("A", 1.0, at(5)), ("A", 2.0, at(5)), ("B", 3.0, at(9)), ("C", None, at(9))), batch(), batch(("B", 4.0, at(8)), ("A", None, at(7)), ("D", 6.0, None), ("D", 7.0, at(1)), ("E", 8.0, None))]))
+    assert {t: p for t, _, p in sent.rows} == {"A": 2.0, "B": 3.0, "D": 7.0, "E": 8.0}
+
+    rows = [(k, at(k), k % 7, "ab"[k // 2 % 2], float(k)) for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    os.makedirs(tmp_path / "one")
+    base, was = f"file://{tmp_path}/base", spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # a task per file
+    try:
+        markets._dealt(spark, str(tmp_path), base, lambda stream: L.push_prices(stream, str(tmp_path / "sent"), [str(tmp_path / "one")], f"{base}/log"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+    assert all(len(list((tmp_path / "base/feed" / f"part={k}").glob("*.parquet"))) > 1 for k in range(2))
+    for k, want in enumerate(({"a": 396.0, "b": 398.0}, {"a": 397.0, "b": 399.0})):
+        assert {p["ticker"]: p["price"] for p in json.loads((tmp_path / "one" / f"{k}.json").read_text())["prices"]} == want

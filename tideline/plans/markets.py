@@ -599,15 +599,13 @@ def _ran(q):
     return q
 
 
-def _dealt(spark, d, base):
-    """The events as a stream of two batches: even and odd ids, in files of that order."""
-    import time
-
-    e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("key"))
+def _dealt(spark, d, base, start):
+    """Runs the query that ``start`` starts on a stream over the events with even ids, then from its checkpoint over those with odd ids: two epochs."""
+    e = fx.table(spark, d, "events").select("event_id", F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts")
     for k in range(2):
-        e.filter(F.pmod("event_id", F.lit(2)) == k).coalesce(1).write.parquet(f"{base}/feed/part={k}")
-        time.sleep(1.1)  # files are taken in the order of their times
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/part=*"), e.schema
+        e.filter(F.pmod("event_id", F.lit(2)) == k).write.parquet(f"{base}/feed/part={k}")
+        q = _ran(start(spark.readStream.schema(e.schema).parquet(f"{base}/feed/part=*")))
+    return q
 
 
 #: Watchlist versions of the two batches (fixed values).
@@ -621,8 +619,7 @@ def _(spark, d):
 
     base = folder(spark)
     spark.createDataFrame(WATCHED, "version long, ticker string").write.parquet(f"{base}/watchlist")
-    stream, _ = _dealt(spark, d, base)
-    q = _ran(L.start_watched(stream.select("ticker", "price", "ts"), f"{base}/watchlist", f"{base}/latest", f"{base}/log"))
+    q = _dealt(spark, d, base, lambda stream: L.start_watched(stream.select("ticker", "price", "ts"), f"{base}/watchlist", f"{base}/latest", f"{base}/log"))
     kinds = B.latest_prices(fx.table(spark, d, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("price"), "ts")).schema
     return spark.read.schema(kinds).parquet(f"{base}/latest/v{q.lastProgress['batchId']}")
 
@@ -641,8 +638,7 @@ def _(spark, d):
     names = ["first", "second", "missing"]  # the third has no folder: it is dropped
     for n in names[:2]:
         os.makedirs(f"{here}/{n}")
-    stream, _ = _dealt(spark, d, base)
-    _ran(L.push_prices(stream, f"{here}/sent", [f"{here}/{n}" for n in names], f"{base}/log"))
+    _dealt(spark, d, base, lambda stream: L.push_prices(stream, f"{here}/sent", [f"{here}/{n}" for n in names], f"{base}/log"))
     sent = spark.read.schema("epoch long, prices array<struct<ticker: string, price: double>>").json([f"{base}/{n}" for n in names[:2]])
     rows = sent.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("receiver"), "epoch", F.explode("prices").alias("p"))
     return rows.select("receiver", "epoch", "p.ticker", "p.price")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The state store that keyed state with timers needs.
@@ -91,18 +91,25 @@ class _Rows(WriterCommitMessage):
         self.rows = rows
 
 
-class _Push(DataSourceStreamWriter):
+class _Push(DataSourceStreamArrowWriter):
     """Tasks hand in their last price per ticker; an epoch's commit sends one message to each living receiver."""
 
     def __init__(self, options: dict) -> None:
         self.folder, self.receivers = options["log"], options["receivers"].split(",")
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator) -> WriterCommitMessage:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         last: dict = {}
-        for r in rows:  # a row per ticker is kept
-            if r["price"] is not None and (r["ticker"] not in last or r["ts"] >= last[r["ticker"]][0]):
-                last[r["ticker"]] = (r["ts"], r["price"])
-        return _Rows([(t, ts, p) for t, (ts, p) in last.items()])
+        for batch in batches:  # a row per ticker is kept; a row without a time comes before all others
+            rows = pa.table({"ticker": batch["ticker"], "price": batch["price"], "us": pc.fill_null(batch["ts"].cast("int64"), -(2**63))})
+            rows = rows.filter(pc.is_valid(rows["price"])).sort_by("us")
+            ends = rows.group_by("ticker", use_threads=False).aggregate([("us", "last"), ("price", "last")])
+            for t, us, p in zip(*(ends[c].to_pylist() for c in ("ticker", "us_last", "price_last"))):
+                if t not in last or us >= last[t][0]:
+                    last[t] = (us, p)
+        return _Rows([(t, us, p) for t, (us, p) in last.items()])
 
     def _dead(self) -> set[str]:
         return {n[len("dead-") :] for n in os.listdir(self.folder) if n.startswith("dead-")}
@@ -111,9 +118,9 @@ class _Push(DataSourceStreamWriter):
         os.makedirs(self.folder, exist_ok=True)
         last: dict = {}
         for m in messages:
-            for t, ts, p in m.rows if m else ():
-                if t not in last or ts >= last[t][0]:
-                    last[t] = (ts, p)
+            for t, us, p in m.rows if m else ():
+                if t not in last or us >= last[t][0]:
+                    last[t] = (us, p)
         text = json.dumps({"epoch": batchId, "prices": [{"ticker": t, "price": p} for t, (_, p) in sorted(last.items())]})
         dead = self._dead()
         for path in self.receivers:
@@ -153,7 +160,7 @@ class PushSink(DataSource):
     def schema(self) -> str:
         return "ticker string, price double, ts timestamp"
 
-    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
         return _Push(dict(self.options))
 
 
